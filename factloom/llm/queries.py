@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, packing, substring, tokens
+from . import decontaminate, jaccard, packing, quality, substring, tokens
 from .common import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +29,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -42,12 +47,24 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def trusted(labels: DataFrame) -> DataFrame:
+    """The trusted target: documents labelled as of good quality."""
+    return labels.where("quality = 1").select("doc_id")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), trusted(table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
+        "op2_decontamination": op2_decontamination,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_substring_dedup": op5_substring_dedup,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
