@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, packing, quality, substring, tokens
+from . import decontaminate, jaccard, lines, packing, quality, substring, tokens
 from .common import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -47,6 +47,11 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def trusted(labels: DataFrame) -> DataFrame:
     """The trusted target: documents labelled as of good quality."""
     return labels.where("quality = 1").select("doc_id")
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_substring_dedup": op5_substring_dedup,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+        "op9_line_dedup": op9_line_dedup,
         "op10_quality_rules": op10_quality_rules,
     }
 
