@@ -104,13 +104,13 @@ class Words:
         return range_hash(self.hashes, starts, ends, _WORD_BASE)
 
 
-def words_of(texts: list[bytes], lower: bool = False) -> Words:
-    """Words are runs of bytes other than ASCII white space (space, \\t to \\r)."""
+def words_of(texts: list[bytes], lower: bool = False, between: np.ndarray = _ASCII_SPACE) -> Words:
+    """Words are runs of bytes other than ASCII white space (space, \\t to \\r), or than the bytes marked in ``between``."""
     data = b"\n".join([*texts, b""])
     if lower:
         data = data.translate(LOWER)
     raw = np.frombuffer(data, np.uint8)
-    edge = np.diff(np.concatenate([[False], ~_ASCII_SPACE[raw], [False]]).astype(np.int8))
+    edge = np.diff(np.concatenate([[False], ~between[raw], [False]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
     hashes = range_hash(raw.astype(np.uint64) + np.uint64(1), starts, ends, _BYTE_BASE)

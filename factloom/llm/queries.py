@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, lines, packing, quality, substring, tokens
-from .common import shared_dir
+from . import decontaminate, html, jaccard, lines, packing, quality, substring, tokens, toxicity, warc
+from .common import materialise, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -34,6 +34,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -43,6 +47,26 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def damaged(pages: DataFrame) -> DataFrame:
+    """A second replica for the audit: every 97th page has lost its last character, every 211th is not there."""
+    cut = F.when(F.pmod("page_id", F.lit(97)) == 13, F.expr("substring(html, 1, length(html) - 1)")).otherwise(F.col("html"))
+    return pages.select("page_id", "url", cut.alias("html"), (F.pmod("page_id", F.lit(211)) == 7).alias("gone"))
+
+
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sound replica against one whose records were damaged in place: offsets are those of the sound archives."""
+    pages = table(spark, sf_dir, "pages")
+    sound = materialise(warc.hashed_records(pages), "records")
+    copy = damaged(pages)
+    hashes = copy.select("page_id", "gone", F.sha2(warc.record(F.col("page_id"), F.col("url"), F.col("html")), 256).alias("hash"))
+    replica = sound.drop("hash").join(hashes, "page_id").where("not gone").drop("gone")
+    return warc.audit(sound, materialise(replica, "records"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -66,8 +90,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
         "op2_decontamination": op2_decontamination,
+        "op3_html_extraction": op3_html_extraction,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_warc_fixity": op6_warc_fixity,
+        "op7_toxicity": op7_toxicity,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_line_dedup": op9_line_dedup,
         "op10_quality_rules": op10_quality_rules,
