@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, lines, packing, quality, substring, tokens, toxicity, warc
+from . import decontaminate, html, jaccard, lines, oracles, packing, quality, substring, tokens, toxicity, warc
 from .common import materialise, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -102,4 +102,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
