@@ -86,7 +86,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, percent:
     n_hit = covered.groupBy(*key).agg(F.count("*").alias("n_hit"))
     named = occurrences.select(*key, "window_id").distinct().join(windows.select("window_id", F.explode("items").alias("item")), "window_id")
     n_items = named.groupBy(*key).agg(F.array_sort(F.collect_set("item")).alias("items"))
-    hit = materialise(n_hit.join(n_items, key), "hit")
+    n_items = n_items.withColumnsRenamed({"doc_id": "item_doc", "text_key": "item_text"})
+    both = n_hit.join(n_items, F.col("doc_id").eqNullSafe(F.col("item_doc")) & (F.col("text_key") == F.col("item_text")))
+    hit = materialise(both.select(*key, "n_hit", "items"), "hit")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     same = (texts["doc_id"].eqNullSafe(hit["doc_id"])) & (texts["text_key"] == hit["text_key"])
     full = texts.join(hit, same, "left").select(texts["doc_id"], texts["text_key"], "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
