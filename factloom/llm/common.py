@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handed to Python at once; texts are long, so this keeps a batch to some MB.
@@ -50,6 +50,16 @@ def doc_text(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+_UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def split_words(text: Column, between: str = " \t\n\x0b\f\r", lower: bool = False) -> Column:
+    """The words between the given ASCII characters, A-Z lower-cased if asked, without regular expressions."""
+    upper, small = (_UPPER, _SMALL) if lower else ("", "")
+    spaced = F.translate(text, upper + between.replace(" ", ""), small + " " * len(between.replace(" ", "")))
+    return F.array_remove(F.split(spaced, " "), "")
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the word."""
     h = h ^ (h >> np.uint64(30))

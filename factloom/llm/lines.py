@@ -23,16 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, split_words
 
 MIN_WORDS, NEAR_WORDS = 3, 8
 
-WORD = r"[^\x20\x09-\x0D]+"
-
 
 def _words(line: Column) -> Column:
-    lowered = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lowered, F.lit(WORD), 0)
+    return split_words(line, lower=True)
 
 
 def _worded(docs: DataFrame) -> DataFrame:
