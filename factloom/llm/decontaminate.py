@@ -10,7 +10,7 @@ exact words of the item-sized window decide.
 The windows are sent to the documents, not the other way round, in blocks of at most ``BLOCK_WINDOWS``
 windows, so each broadcast has a bounded size however large the benchmark is, and no document is shuffled.
 
-Words: runs of bytes other than 0x00-0x2F, 0x3A-0x60, 0x7B-0x7F after lower-casing A-Z.
+Words: runs of characters other than 0x00-0x2F, 0x3A-0x60, 0x7B-0x7F after lower-casing A-Z.
 
 Defined results: null and empty texts have no words, are never hit, and items without words hit nothing; an
 item of fewer words than a window is one window; rows with the same doc_id and text are returned each, and rows that share
@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, split_words
 
 SIZE = 13
 #: Windows in one broadcast: some 200 bytes each.
@@ -33,14 +33,13 @@ BLOCK_WINDOWS = 100_000
 #: Share of a document's words, in hundredths, that must be hit for it to count as contaminated.
 PERCENT = 5
 
-#: Fixed by the contract.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, fixed by the contract.
+BETWEEN = "".join(map(chr, [*range(1, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
 def words(text: Column) -> Column:
-    """Lower-cases A-Z only."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lowered, F.lit(WORD), 0)
+    """Lower-cases A-Z only. A NUL, which translate() cannot map, is replaced first."""
+    return split_words(F.replace(F.coalesce(text, F.lit("")), F.lit("\0"), F.lit(" ")), BETWEEN, lower=True)
 
 
 def _windows(items: DataFrame, size: int) -> DataFrame:

@@ -32,7 +32,7 @@ RAW = frozenset("script style noscript template textarea iframe object svg math
 DROPPED = frozenset("head form button select option audio video map dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body br center dd details div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 MENUS = frozenset("nav menu header footer aside".split())
 BODIES = frozenset("article main".split())
@@ -106,7 +106,7 @@ def blocks_of(page: str) -> list[Block]:
     """The page's blocks with text, in page order."""
     stack = [_Open("", NEUTRAL, False)]
     out = [Block(NEUTRAL)]
-    links, at, end = 0, 0, len(page)
+    links, at, end, broken = 0, 0, len(page), -1
 
     def text(piece: str) -> None:
         if piece and not stack[-1].dropped:
@@ -126,6 +126,13 @@ def blocks_of(page: str) -> list[Block]:
         if token[2] is None:
             continue
         tag, closing, attributes = token[2].lower(), bool(token[1]), token[3] or ""
+        if tag == "br":  # one is white space, a second one parts blocks
+            if broken >= 0 and not page[broken : token.start()].strip():
+                out.append(Block(stack[-1].place))
+            else:
+                text(" ")
+            broken = at
+            continue
         if tag in BLOCKS:
             out.append(Block(stack[-1].place))
         if tag == "a":

@@ -125,24 +125,61 @@ def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of one column block: each document's shingles that others have too, with the number of documents."""
-    hashes, ids = _joined(table, "hashes", np.uint64), _joined(table, "ids", np.int64)
-    counts, sizes = _joined(table, "counts", np.uint32), _joined(table, "sizes", np.uint32)
-    cell = np.repeat(np.arange(len(ids)), counts)
-    order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    times = np.diff(np.append(first, len(ordered)))
-    df = np.empty(len(hashes), np.uint32)
-    df[order] = np.repeat(times, times)
-    kept = np.flatnonzero(df > 1)
-    cell = cell[kept]
-    edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-    pairs = np.empty(len(kept), _PAIR)
-    pairs["h"], pairs["d"] = hashes[kept], df[kept]
-    owner, edges = cell[edge], np.append(edge, len(cell))
-    return pa.table({"doc_id": ids[owner], "n": sizes[owner].astype(np.int64), "shared": np.diff(edges), "pairs": _binaries(pairs, edges)})
+def _shared(buckets: int) -> Callable[[pa.Table], pa.Table]:
+    """Of one column block: each document's shingles that others have too, with the number of documents, dealt by document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes, ids = _joined(table, "hashes", np.uint64), _joined(table, "ids", np.int64)
+        counts, sizes = _joined(table, "counts", np.uint32), _joined(table, "sizes", np.uint32)
+        cell = np.repeat(np.arange(len(ids)), counts)
+        order = np.argsort(hashes, kind="stable")
+        ordered = hashes[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        times = np.diff(np.append(first, len(ordered)))
+        df = np.empty(len(hashes), np.uint32)
+        df[order] = np.repeat(times, times)
+        kept = np.flatnonzero(df > 1)
+        bucket = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        kept = kept[np.lexsort((cell[kept], bucket[cell[kept]]))]
+        cell = cell[kept]
+        edge = np.flatnonzero(np.diff(cell, prepend=-1))
+        pairs = np.empty(len(kept), _PAIR)
+        pairs["h"], pairs["d"] = hashes[kept], df[kept]
+        owner, edges = cell[edge], np.append(edge, len(cell))
+        present, at = np.unique(bucket[owner], return_index=True)
+        cells = np.append(at, len(owner))
+        return pa.table(
+            {
+                "bucket": present,
+                "ids": _binaries(ids[owner], cells),
+                "sizes": _binaries(sizes[owner], cells),
+                "counts": _binaries(np.diff(edges).astype(np.uint32), cells),
+                "pairs": _binaries(pairs, edges[cells]),
+            }
+        )
+
+    return run
+
+
+def _sharing(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Of one bucket of documents: doc_id, n and all shared shingles of those that share enough of their n."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, sizes = _joined(table, "ids", np.int64), _joined(table, "sizes", np.uint32)
+        pairs = _joined(table, "pairs", _PAIR)
+        cell = np.repeat(np.arange(len(ids)), _joined(table, "counts", np.uint32))
+        order = np.lexsort((sizes[cell], ids[cell]))
+        cell = cell[order]
+        new = np.concatenate([[True], (np.diff(ids[cell]) != 0) | (np.diff(sizes[cell].astype(np.int64)) != 0)]) if len(cell) else np.zeros(0, bool)
+        edge = np.append(np.flatnonzero(new), len(cell))
+        owner, shared = cell[edge[:-1]], np.diff(edge)
+        good = np.flatnonzero(shared * 100 >= sizes[owner].astype(np.int64) * percent)
+        kept = np.repeat(good, shared[good])
+        at = edge[kept] + np.arange(len(kept)) - np.repeat(np.cumsum(shared[good]) - shared[good], shared[good])
+        edges = np.concatenate([[0], np.cumsum(shared[good])])
+        return pa.table({"doc_id": ids[owner[good]], "n": sizes[owner[good]].astype(np.int64), "pairs": _binaries(pairs[order][at], edges)})
+
+    return run
 
 
 def _rarest(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -151,7 +188,7 @@ def _rarest(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, n, own in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "n", "pairs")), strict=True):
-                pairs = np.frombuffer(b"".join(own), _PAIR)
+                pairs = np.frombuffer(own, _PAIR)
                 length = n - -(-n * percent // 100) + 1 - (n - len(pairs))
                 if length > 0:
                     pick = np.lexsort((pairs["h"], pairs["d"]))[:length]
@@ -216,7 +253,7 @@ def _linked(percent: int) -> Callable[[pa.Table], pa.Table]:
         a, b = [], []
         for rows in np.split(order, cuts) if len(order) else []:
             if len(rows) > 1:
-                sets = [np.frombuffer(b"".join(pairs[int(i)].as_py()), _PAIR)["h"] for i in rows]
+                sets = [np.frombuffer(pairs[int(i)].as_py(), _PAIR)["h"] for i in rows]
                 label = _product(sets, sizes[rows], percent)
                 moved = np.flatnonzero(label != np.arange(len(rows)))
                 a.append(ids[rows[moved]])
@@ -271,9 +308,8 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     total = described.agg(F.sum("n_shingles")).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_CELLS))
     dealt = texts.where("doc_id is not null").mapInArrow(_dealt(size, blocks), "block int, hashes binary, ids binary, sizes binary, counts binary")
-    shared = dealt.groupBy("block").applyInArrow(_shared, "doc_id long, n long, shared long, pairs binary")
-    members = shared.groupBy("doc_id", "n").agg(F.sum("shared").alias("shared"), F.collect_list("pairs").alias("pairs"))
-    members = materialise(members.where(F.col("shared") * 100 >= F.col("n") * percent).select("doc_id", "n", "pairs"), "sharing")
+    shared = dealt.groupBy("block").applyInArrow(_shared(blocks), "bucket int, ids binary, sizes binary, counts binary, pairs binary")
+    members = materialise(shared.groupBy("bucket").applyInArrow(_sharing(percent), "doc_id long, n long, pairs binary"), "sharing")
     rare = materialise(members.mapInArrow(_rarest(percent), "doc_id long, shingle long, size_class int"), "rare")
     families = materialise(_families(rare), "families")
     links = _links(members.join(families, "doc_id"), percent)

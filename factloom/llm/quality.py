@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, split_words
 
 BUCKETS = 1 << 13
 #: Counts added to each bucket.
@@ -29,63 +29,61 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _UNIT = 1 << 16
 
 #: Fixed by the contract.
-WORD, SYMBOLS, SPACES = r"[^\x20\x09-\x0D]+", "#*$%&|<>", " \t\n\x0b\f\r"
+SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\f\r"
 
 
 def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), 0)
-
-
 def _pairs(a: Column) -> tuple[Column, Column]:
     """Each element but the last with its successor."""
     n = F.greatest(F.size(a) - 1, F.lit(0))
     return F.slice(a, F.lit(1), n), F.slice(a, F.lit(2), n)
 
 
-def _repeat_words(w: str) -> Column:
-    """Words in 3-word windows that occur twice or more in the text; ``w`` names a column of words.
+def _repeat_words(counted: DataFrame) -> DataFrame:
+    """counted (w, ...) with n_repeat_words: words in 3-word windows that occur twice or more in the text.
 
     The windows' hashes are sorted with their places; neighbours that are equal give the
-    places of repeated windows, and each adds the words not covered by the one before.
+    places of repeated windows, and each adds the words not covered by the one before. Each
+    step is a projection of its own, so that Spark evaluates it once. Texts without a repeated window stop after the first.
     """
-    n = F.greatest(F.size(w) - 2, F.lit(0))
-    triples = F.arrays_zip(F.slice(w, F.lit(1), n).alias("a"), F.slice(w, F.lit(2), n).alias("b"), F.slice(w, F.lit(3), n).alias("c"))
-    hashes = F.transform(triples, lambda t: F.xxhash64(t))
-    placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    one, two = _pairs(placed)
+    n = F.greatest(F.size("w") - 2, F.lit(0))
+    triples = F.arrays_zip(F.slice("w", F.lit(1), n).alias("a"), F.slice("w", F.lit(2), n).alias("b"), F.slice("w", F.lit(3), n).alias("c"))
+    hashed = counted.withColumn("hashes", F.transform(triples, lambda t: F.xxhash64(t)))
+    some = hashed.withColumn("hashes", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.col("hashes")))
+    placed = some.withColumn("placed", F.array_sort(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    one, two = _pairs(F.col("placed"))
     found = F.filter(F.zip_with(one, two, lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"]))), lambda x: x.isNotNull())
-    places = F.array_sort(F.array_distinct(F.flatten(found)))
-    left, right = _pairs(places)
-    gained = F.zip_with(left, right, lambda x, y: F.least(y - x, F.lit(3)))
-    covered = F.when(F.size(places) > 0, F.aggregate(gained, F.lit(3), lambda s, x: s + x)).otherwise(F.lit(0))
-    return F.when(F.size(F.array_distinct(hashes)) == n, F.lit(0)).otherwise(covered).cast("long")
+    places = placed.withColumn("places", F.array_sort(F.array_distinct(F.flatten(found))))
+    left, right = _pairs(F.col("places"))
+    gained = F.aggregate(F.zip_with(left, right, lambda x, y: F.least(y - x, F.lit(3))), F.lit(3), lambda s, x: s + x)
+    return places.withColumn("n_repeat_words", F.when(F.size("places") > 0, gained).otherwise(0).cast("long")).drop("w", "hashes", "placed", "places")
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
-    text = _text()
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    counted = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"), words(text).alias("w")).select(
+    split = docs.select("doc_id", F.xxhash64(_text()).alias("text_key"), _text().alias("text"))
+    split = split.select("*", split_words(F.col("text")).alias("w"), F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0).alias("lines"))
+    counted = split.select(
         "doc_id",
         "text_key",
+        "w",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        _repeat_words("w").alias("n_repeat_words"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
+    repeated = _repeat_words(counted)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return counted.withColumn("base_failed", failed)
+    return repeated.withColumn("base_failed", failed)
 
 
 def _grams(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text_key, bucket: one row for each word and each pair of neighbours."""
     text = _text()
-    worded = docs.select("doc_id", F.xxhash64(text).alias("text_key"), words(text).alias("w"), *more)
+    worded = docs.select("doc_id", F.xxhash64(text).alias("text_key"), split_words(text).alias("w"), *more)
     one, two = _pairs(F.col("w"))
     bucket = lambda h, at: (F.pmod(h, F.lit(BUCKETS)) + at).cast("int")
     buckets = F.concat(F.transform("w", lambda x: bucket(F.xxhash64(x), 0)), F.zip_with(one, two, lambda x, y: bucket(F.xxhash64(x, y), BUCKETS)))

@@ -116,9 +116,9 @@ bad AS (SELECT module, target, min(forbidden) AS forbidden FROM wide JOIN rule O
 
 @query(f"WITH {E.IMPORT_SQL}, {_VIOLATION} SELECT module, target, forbidden FROM bad")
 def dependency_violations(s, d):
-    edges = E.imports(s, d).select("module", "target", "target_path")
+    edges = E.imports(s, d).select("module", "target", "target_path").distinct()
     head = lambda c: F.substring_index(c, "/", 1)
-    wide = edges.unionByName(edges.select("module", head("target").alias("target"), head("target_path").alias("target_path"))).distinct()
+    wide = G.written(edges.unionByName(edges.select("module", head("target").alias("target"), head("target_path").alias("target_path"))).distinct(), "imports")
     rules = s.createDataFrame(E.RULES, "unit string, forbidden string")
     regions = E.table(s, d, "region").select(F.col("r_name").alias("id"), F.col("r_name").alias("prefix"))
     paths = wide.select(F.col("module").alias("path")).unionByName(wide.select(F.col("target_path").alias("path"))).where("path is not null").distinct()

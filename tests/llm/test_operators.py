@@ -109,12 +109,12 @@ def test_op3_article_of_awkward_pages():
     page = """<html><head><title>T</title><style>p{}</style></head><body class="post"><header><h1>Site</h1><p>Welcome to all of the pages that we have for you and for your friends on this site.</p></header>
     <div id="cookie-notice"><p>We use cookies so that this is better for all of you, and by going on you agree to it.</p></div>
     <article class="post"><h1>A &lt;title&gt;</h1><p>The first  of the
-    paragraphs &amp; it is long, so that it is decided by its length and its words.<p>Be.<br>After
+    paragraphs &amp; it is long, so that it is decided by its length and its words.<p>Be.<br>After<br> <br>that
     <ul><li>one<li><a href="x">two</a></ul><div class="ad-slot">Buy this</div><script>if (a<b) "</p>"</script><form><p>Write to us about it and we will be with you</p></form>
     <!-- <p>gone</p> --><p title="a > b">Last&nbsp;one</p></article>
     <section class="comments"><p>I think that this is one of the best of all the articles that I have read here.</p></section>
     <aside>See also</aside><nav><a href="/">Home</a></nav><footer>&copy; us</footer></body></html>"""
-    want = ["A <title>", "The first of the paragraphs & it is long, so that it is decided by its length and its words.", "Be.", "After", "one", "two", "Last one"]
+    want = ["A <title>", "The first of the paragraphs & it is long, so that it is decided by its length and its words.", "Be. After", "that", "one", "two", "Last one"]
     assert html.main_text(page).split("\n\n") == want
     for empty in (None, "", "   ", "<", "<p", "<!--", "<script>x", "<nav>a</nav>"):
         assert html.main_text(empty) == "" or empty == "<"
