@@ -27,6 +27,8 @@ SMOOTHING = 1.0
 THRESHOLD = -0.1
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _UNIT = 1 << 16
+#: Low bits of a window's hash that hold its place: more words than a text can have.
+_PLACE_BITS = 30
 
 #: Fixed by the contract.
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\f\r"
@@ -45,33 +47,38 @@ def _pairs(a: Column) -> tuple[Column, Column]:
 def _repeat_words(counted: DataFrame) -> DataFrame:
     """counted (w, ...) with n_repeat_words: words in 3-word windows that occur twice or more in the text.
 
-    The windows' hashes are sorted with their places; neighbours that are equal give the
-    places of repeated windows, and each adds the words not covered by the one before. Each
+    Each window's place takes the low bits of its hash, so that sorting plain numbers brings windows that may be equal
+    together. Only those are then compared by whole hash: sorted with their places, neighbours that are equal
+    give the places of repeated windows, and each adds the words not covered by the one before. Each
     step is a projection of its own, so that Spark evaluates it once. Texts without a repeated window stop after the first.
     """
     n = F.greatest(F.size("w") - 2, F.lit(0))
-    triples = F.arrays_zip(F.slice("w", F.lit(1), n).alias("a"), F.slice("w", F.lit(2), n).alias("b"), F.slice("w", F.lit(3), n).alias("c"))
-    hashed = counted.withColumn("hashes", F.transform(triples, lambda t: F.xxhash64(t)))
+    hashed = counted.withColumn("hashes", F.transform(F.slice("w", F.lit(1), n), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))))
     some = hashed.withColumn("hashes", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.col("hashes")))
-    placed = some.withColumn("placed", F.array_sort(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    keyed = some.withColumn("keys", F.sort_array(F.transform("hashes", lambda h, i: h.bitwiseAND(F.lit(-1 << _PLACE_BITS)).bitwiseOR(i.cast("long")))))
+    part = lambda x: F.shiftright(x, _PLACE_BITS)
+    close = lambda x, i: (part(x) == part(F.get("keys", i + 1))) | ((i > 0) & (part(x) == part(F.get("keys", i - 1))))
+    near = keyed.withColumn("near", F.filter("keys", lambda x, i: F.coalesce(close(x, i), F.lit(False))))
+    place = lambda x: x.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int")
+    placed = near.withColumn("placed", F.array_sort(F.transform("near", lambda x: F.struct(F.get("hashes", place(x)).alias("h"), place(x).alias("i")))))
     one, two = _pairs(F.col("placed"))
     found = F.filter(F.zip_with(one, two, lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"]))), lambda x: x.isNotNull())
-    places = placed.withColumn("places", F.array_sort(F.array_distinct(F.flatten(found))))
+    places = placed.withColumn("places", F.sort_array(F.array_distinct(F.flatten(found))))
     left, right = _pairs(F.col("places"))
     gained = F.aggregate(F.zip_with(left, right, lambda x, y: F.least(y - x, F.lit(3))), F.lit(3), lambda s, x: s + x)
-    return places.withColumn("n_repeat_words", F.when(F.size("places") > 0, gained).otherwise(0).cast("long")).drop("w", "hashes", "placed", "places")
+    return places.withColumn("n_repeat_words", F.when(F.size("places") > 0, gained).otherwise(0).cast("long")).drop("w", "hashes", "keys", "near", "placed", "places")
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     split = docs.select("doc_id", F.xxhash64(_text()).alias("text_key"), _text().alias("text"))
-    split = split.select("*", split_words(F.col("text")).alias("w"), F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0).alias("lines"))
+    split = split.select("*", split_words(F.col("text")).alias("w"), F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "").alias("lines"))
     counted = split.select(
         "doc_id",
         "text_key",
         "w",
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
@@ -92,7 +99,9 @@ def _grams(docs: DataFrame, *more: str) -> DataFrame:
 
 def weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """bucket, weight for every bucket that occurs: at most 2 * BUCKETS rows. trusted: doc_id, one row each."""
-    marked = docs.select("doc_id", "text").join(trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("good", F.lit(True)), "doc_id", "left")
+    ids = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("good", F.lit(True))
+    # the ids grow with the documents: a plain shuffled join at every size
+    marked = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left")
     counts = materialise(_grams(marked, "good").groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target")), "buckets")
     totals = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
     if not totals["target"]:
