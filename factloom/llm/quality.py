@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import materialise, split_words
 
 BUCKETS = 1 << 13
-#: Counts added to each bucket.
+#: Counts added to each bucket of the target on average, shared out as the raw corpus is, so that what is rare leans to neither side.
 SMOOTHING = 1.0
 #: The lowest mean log-likelihood ratio of a document that is kept.
 THRESHOLD = -0.1
@@ -107,7 +107,8 @@ def weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     if not totals["target"]:
         return counts.select("bucket", F.lit(0).cast("long").alias("weight"))
     room = SMOOTHING * 2 * BUCKETS
-    ratio = F.log((F.col("target") + SMOOTHING) / (totals["target"] + room)) - F.log((F.col("raw") + SMOOTHING) / (totals["raw"] + room))
+    share = F.col("raw") / totals["raw"]
+    ratio = F.log((F.col("target") + room * share) / (totals["target"] + room)) - F.log(share)
     return materialise(counts.select("bucket", F.round(ratio * _UNIT).cast("long").alias("weight")), "weights")
 
 
@@ -115,7 +116,7 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     """base_rules' columns with score (mean log-likelihood ratio, null without n-grams) and kept, for every document."""
     table = F.broadcast(weights(docs, trusted))  # at most 2 * BUCKETS rows
     scores = _grams(docs).join(table, "bucket").groupBy("doc_id", "text_key").agg(F.sum("weight").alias("total"), F.count("*").alias("grams"))
-    base = base_rules(docs)
+    base = materialise(base_rules(docs), "base")  # filters on it must not be pushed into its array expressions
     same = base["doc_id"].eqNullSafe(scores["doc_id"]) & (base["text_key"] == scores["text_key"])
     both = base.join(scores, same, "left").select(*[base[c] for c in base.columns], "total", "grams")
     passed = F.coalesce(F.col("total") >= F.col("grams") * round(threshold * _UNIT), F.lit(False))
