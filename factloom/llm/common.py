@@ -53,10 +53,29 @@ def doc_text(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _folded(text: Column) -> Column:
+    """A-Z in lower case; other texts than ASCII have their bytes read as Latin-1 first.
+
+    Lower-casing Latin-1 moves the bytes 0xC0 to 0xDE up by 0x20. How many continuation bytes follow still tells
+    which byte it was, so texts stay different unless only the case of A-Z differs.
+    """
+    return F.lower(F.when(F.octet_length(text) == F.length(text), text).otherwise(F.decode(text.cast("binary"), "ISO-8859-1")))
+
+
 def split_words(text: Column, between: str = " \t\n\x0b\f\r", lower: bool = False) -> Column:
-    """The words between the given ASCII characters, A-Z lower-cased if asked, without regular expressions."""
-    upper, small = (_UPPER, _SMALL) if lower else ("", "")
-    spaced = F.translate(text, upper + between.replace(" ", ""), small + " " * len(between.replace(" ", "")))
+    """The words between the given ASCII characters, without regular expressions.
+
+    With ``lower``, words are equal as their forms with A-Z in lower case are; they are to be
+    compared, counted and hashed, not shown.
+    """
+    rest = between.replace(" ", "")
+    if len(rest) > 8:
+        upper, small = (_UPPER, _SMALL) if lower else ("", "")
+        spaced = F.translate(text, upper + rest, small + " " * len(rest))
+    else:
+        spaced = _folded(text) if lower else text
+        for c in rest:
+            spaced = F.replace(spaced, F.lit(c), F.lit(" "))
     return F.array_remove(F.split(spaced, " "), "")
 
 

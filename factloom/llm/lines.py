@@ -89,7 +89,7 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def flagged_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, line_no, gone for every line."""
-    lines = _lines(docs)
+    lines = materialise(_lines(docs), "worded")
     distinct = materialise(lines.where(F.col("n") >= MIN_WORDS).groupBy("n", "h").agg(_first().alias("first"), F.min("halves").alias("halves")), "lines")
     near = materialise(_near(docs, distinct), "near").withColumn("near", F.lit(True))
     known = materialise(distinct.select("n", "h", "first").join(near, ["n", "h"], "left"), "known")
