@@ -165,7 +165,23 @@ def test_op4_configurations_hold_the_histogram(seed):
         own = plan[plan.length == n]
         assert own.rank_from.iloc[0] == 0 and own.rank_to.iloc[-1] == k and (own.rank_from.iloc[1:].to_numpy() == own.rank_to.iloc[:-1].to_numpy()).all()
     used = (plan.sequence + (plan.rank_to - plan.rank_from) // plan.times).max()
-    assert used <= max(-(-int((lengths * counts).sum()) // 100) * 1.02 + 2, int(counts[lengths > 50].sum()) * 1.02 + 2)
+    assert used <= fewest(lengths, counts, 100) * 1.04 + 2
+
+
+def fewest(lengths, counts, capacity):
+    """A proven lower bound: pieces over half need a sequence each, and what cannot lie beside them needs more."""
+    total, best = lengths * counts, -(-int((lengths * counts).sum()) // capacity)
+    for k in range(capacity // 2 + 1):
+        alone, half = lengths > capacity - k, (lengths > capacity / 2) & (lengths <= capacity - k)
+        beside = total[(lengths >= k) & (lengths <= capacity / 2)].sum() - (counts[half].sum() * capacity - total[half].sum())
+        best = max(best, int(counts[alone].sum() + counts[half].sum()) + max(0, -(-int(beside) // capacity)))
+    return best
+
+
+def test_op4_packs_the_documents_to_the_bound(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    rows = packing.pack(docs, queries.tokenizer_path()).select("sequence_id", "length", "offset").collect()
+    assert check_packing(rows, 4096) <= -(-sum(r.length for r in rows) // 4096) + 1
 
 
 def test_op5_against_brute_force(spark):
