@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir), docs being the documents that its predec
 a DataFrame; ``run`` writes each stage's result as Parquet to the shared folder and reads it again for
 the next. All stages but the last return the columns of documents.
 
-Defined results: documents with null or empty texts fail the quality rules; a document that lost all its lines to
-earlier documents goes with them; of documents linked as near duplicates the smallest doc_id stays; contaminated documents
+Defined results: documents with null or empty texts fail the quality rules; a document goes when all its lines that
+hold a word repeat earlier ones, be they long enough to be removed or not; of documents linked as near duplicates the smallest doc_id stays; contaminated documents
 go; an empty table passes through every stage; repeated rows are treated alike by every stage but near
 duplicates, where one of them stays.
 """
@@ -32,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = lines.drop_repeated_lines(docs).where("n_removed = 0 or n_removed < n_lines")
+    done = lines.drop_repeated_lines(docs).where("not repeated")
     sized = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else done
     return sized.select(*docs.columns)
 

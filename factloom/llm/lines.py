@@ -4,7 +4,8 @@ A line goes if an earlier line, in any document or its own, is within the edit b
 insertions, deletions and substitutions of words: lines of ``NEAR_WORDS`` words or more may differ by one
 edit, lines of ``MIN_WORDS`` or more must be equal word for word, and shorter lines stay. Case of A-Z
 and white space do not count. Earlier means a smaller doc_id, or in one document a smaller line number. Lines are
-judged on the input, not on what is left.
+judged on the input, not on what is left. Shorter lines that repeat an earlier line word for word do not go, but count as matched: a
+document is ``repeated`` if it has lines with words and all of them went or are matched.
 
 Equal lines are aggregated first. Of distinct lines only those that share their first or last half with another one
 can be one edit apart; these emit every deletion of one word, and themselves, as hashed keys. Lines whose keys are equal
@@ -88,22 +89,22 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def flagged_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, line_no, gone for every line."""
+    """doc_id, text_key, line_no, gone, matched (null: a line without words) for every line."""
     lines = materialise(_lines(docs), "worded")
-    distinct = materialise(lines.where(F.col("n") >= MIN_WORDS).groupBy("n", "h").agg(_first().alias("first"), F.min("halves").alias("halves")), "lines")
+    distinct = materialise(lines.where("n > 0").groupBy("n", "h").agg(_first().alias("first"), F.min("halves").alias("halves")), "lines")
     near = materialise(_near(docs, distinct), "near").withColumn("near", F.lit(True))
     known = materialise(distinct.select("n", "h", "first").join(near, ["n", "h"], "left"), "known")
-    # short lines match nothing; a hash of their place spreads them
-    own = F.when(F.col("n") >= MIN_WORDS, F.col("h")).otherwise(F.xxhash64("doc_id", "text_key", "line_no"))
-    marked = lines.select("doc_id", "text_key", "line_no", F.when(F.col("n") >= MIN_WORDS, F.col("n")).otherwise(-1).alias("n"), own.alias("h")).join(known, ["n", "h"], "left")
+    # lines without words match nothing; a hash of their place spreads them
+    own = F.when(F.col("n") > 0, F.col("h")).otherwise(F.xxhash64("doc_id", "text_key", "line_no"))
+    marked = lines.select("doc_id", "text_key", "line_no", F.when(F.col("n") > 0, F.col("n")).otherwise(-1).alias("n"), own.alias("h")).join(known, ["n", "h"], "left")
     place = F.struct("doc_id", "text_key", "line_no")
-    gone = F.col("first").isNotNull() & ((F.col("first") < place) | F.coalesce("near", F.lit(False)))
-    return marked.select("doc_id", "text_key", "line_no", gone.alias("gone"))
+    matched = F.col("first").isNotNull() & ((F.col("first") < place) | F.coalesce("near", F.lit(False)))
+    return marked.select("doc_id", "text_key", "line_no", (matched & (F.col("n") >= MIN_WORDS)).alias("gone"), F.when(F.col("n") > 0, matched).alias("matched"))
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """Every document with the lines left in ``text``, and n_lines and n_removed; the other columns as they were."""
-    flags = flagged_lines(docs).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("line_no", "gone"))).alias("flags"))
+    """Every document with the lines left in ``text``, and n_lines, n_removed and repeated; the other columns as they were."""
+    flags = flagged_lines(docs).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("line_no", "gone", "matched"))).alias("flags"))
     keyed = docs.withColumn("line_dedup_key", F.xxhash64("text"))
     flags = flags.select(F.col("doc_id").alias("line_dedup_doc"), F.col("text_key").alias("line_dedup_text"), "flags").withColumnRenamed("flags", "line_dedup_flags")
     same = keyed["doc_id"].eqNullSafe(flags["line_dedup_doc"]) & (keyed["line_dedup_key"] == flags["line_dedup_text"])
@@ -113,5 +114,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     text = F.when(F.col("line_dedup_flags").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n = F.coalesce(F.size("line_dedup_flags"), F.lit(0))
     count = lambda x: F.when(F.col("line_dedup_flags").isNull(), 0).otherwise(x).cast("long")
-    others = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return joined.select(*others, text.alias("text"), count(n).alias("n_lines"), count(gone).alias("n_removed"))
+    some = lambda x: F.coalesce(F.exists("line_dedup_flags", lambda flag: F.coalesce(x(flag["matched"]), F.lit(False))), F.lit(False))
+    repeated = some(lambda matched: matched) & ~some(lambda matched: ~matched)
+    others = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed", "repeated")]
+    return joined.select(*others, text.alias("text"), count(n).alias("n_lines"), count(gone).alias("n_removed"), repeated.alias("repeated"))

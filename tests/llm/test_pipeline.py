@@ -69,3 +69,11 @@ def test_odd_rows_pass_every_stage(spark, tables):
     odd = table(spark, [(None, None), (None, long), (None, long), (1, None), (1, long), (1, long), (2, ""), (3, "x" * 200_000 + " " + long)])
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd, folder).count()
+
+
+def test_a_copy_does_not_survive_as_its_short_lines(spark, tables):
+    folder, docs = tables
+    body = "\n".join(f"line {i} of a longer text that stands {i} times here" for i in range(3))
+    rows = {1: f"{body}\nThe end\n", 2: f"{body}\nthe  END\n", 3: f"{body}\nNot yet\n\n", 4: "The end\nNot yet", 5: f"{body}\n \n", 6: None, 7: "", 8: "\n"}
+    left = corpus_pipeline.line_dedup(spark, table(spark, rows), folder)
+    assert {r.doc_id: r.text for r in left.collect()} == {1: rows[1], 3: "Not yet\n\n", 6: None, 7: "", 8: "\n"}
