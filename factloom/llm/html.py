@@ -3,8 +3,11 @@
 A page is cut into blocks at block-level tags; what stands in scripts, styles, forms and other elements that
 never hold article text is left out. First pass: each block is decided by its length, link density and
 density of function words; where it stands (article, menu, header, footer, sidebar, advert, notice,
-comment) sets how much of these it must show. Second pass: blocks too short to decide
-take the label of their nearest decided neighbours; where the two disagree, the nearer one's, and on a tie the place decides.
+comment) shifts how much of these it must show. Classes that name a sidebar, advert or the like are a hint only: an article or
+main element inside such an element is judged as an article, and if a page has no good block elsewhere, all
+blocks under such hints are judged as if they had none. Second pass: blocks too short to decide
+take the label of their nearest decided neighbours; where the two disagree, the nearer one's, and on a tie the place decides. So do
+long blocks of an article without function words (tables, code, other languages). Menus are no neighbours to an article's blocks.
 Blocks labelled good are the main text, in page order.
 
 Character references are decoded, white space inside a block becomes one space, ends are trimmed, blocks are joined by
@@ -53,6 +56,8 @@ STOP = frozenset(
 )
 #: Blocks of fewer characters are ambiguous unless their links or their place decide.
 SHORT, LINKED, STOPPED = 70, 0.5, 0.08
+#: The same inside an article: more links, fewer function words.
+BODY_LINKED, BODY_STOPPED = 0.8, 0.04
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$))|[^>])*)(?:>|$)", re.S)
 _MARK = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -64,7 +69,8 @@ def _plain(parts: list[str]) -> str:
     return " ".join(html.unescape("".join(parts)).split())
 
 
-IN_BODY, NEUTRAL, IN_MENU = 1, 0, -1
+#: HINTED: a menu by class, id or role alone.
+IN_BODY, NEUTRAL, HINTED, IN_MENU = 1, 0, -1, -2
 
 
 @dataclass
@@ -95,8 +101,10 @@ def _place(tag: str, attributes: str, outer: _Open) -> tuple[int, bool]:
         return place, outer.dropped
     if tag in BODIES and place != IN_MENU and not (marks and ASIDE.search(marks)):
         place = IN_BODY
-    elif tag in MENUS or (marks and ASIDE.search(marks)):
+    elif tag in MENUS:
         place = IN_MENU
+    elif marks and place != IN_MENU and ASIDE.search(marks):
+        place = HINTED
     elif marks and place == NEUTRAL and BODY.search(marks):
         place = IN_BODY
     return place, outer.dropped
@@ -158,55 +166,59 @@ def blocks_of(page: str) -> list[Block]:
     return [b for b in out if b.text]
 
 
-def _first_pass(block: Block, has_body: bool) -> None:
+def _first_pass(block: Block) -> None:
     """Label a block by length, link density and density of function words; ambiguous ones stay undecided."""
     size = len(block.text)
     linked = len(_plain(block.linked))
-    if block.place == IN_MENU:
+    inside = block.place == IN_BODY
+    if block.place in (HINTED, IN_MENU):
         block.good = False
-    elif linked > LINKED * size and (block.place == NEUTRAL or linked == size and size < SHORT):
-        block.good = False if block.place == NEUTRAL else None
+    elif linked > (BODY_LINKED if inside else LINKED) * size:
+        block.good = None if inside and size < SHORT else False
     elif size < SHORT:
         block.good = None
-    elif block.place == IN_BODY:
-        block.good = True
     else:
         words = block.text.lower().split(" ")
-        dense = sum(w.strip(".,;:!?\"'()") in STOP for w in words) >= STOPPED * len(words)
-        block.good = dense and not has_body
+        dense = sum(w.strip(".,;:!?\"'()") in STOP for w in words) >= (BODY_STOPPED if inside else STOPPED) * len(words)
+        block.good = dense or (None if inside else False)
 
 
 def _second_pass(blocks: list[Block]) -> None:
     """Undecided blocks take the label of their nearest decided neighbours of the first pass."""
-    decided = [i for i, b in enumerate(blocks) if b.good is not None]
-    labels = {i: blocks[i].good for i in decided}
+    labels = [b.good for b in blocks]
+    _inherit(blocks, labels, [i for i, b in enumerate(blocks) if labels[i] is not None], False)
+    _inherit(blocks, labels, [i for i, b in enumerate(blocks) if labels[i] is not None and b.place in (IN_BODY, NEUTRAL)], True)
+
+
+def _inherit(blocks: list[Block], labels: list[bool | None], decided: list[int], inside: bool) -> None:
     k = 0
     for i, block in enumerate(blocks):
         while k < len(decided) and decided[k] < i:
             k += 1
-        if block.good is not None:
+        if labels[i] is not None or (block.place == IN_BODY) != inside:
             continue
         before = decided[k - 1] if k else None
         after = decided[k] if k < len(decided) else None
-        if before is None or after is None:
-            near = after if before is None else before
-            block.good = labels[near] if near is not None and block.place == NEUTRAL else block.place == IN_BODY
-        elif labels[before] == labels[after]:
-            block.good = labels[before]
-        elif i - before != after - i and block.place == NEUTRAL:
-            block.good = labels[before if i - before < after - i else after]
+        if before is None and after is None:
+            block.good = inside
+        elif before is None or after is None:
+            block.good = labels[after if before is None else before]
+        elif labels[before] == labels[after] or i - before != after - i:
+            block.good = labels[before if i - before <= after - i else after]
         else:
-            block.good = block.place == IN_BODY
-        if block.place == IN_BODY:  # between two menus inside an article a short paragraph is still the article's
-            block.good = True
+            block.good = inside
 
 
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
-    has_body = any(b.place == IN_BODY for b in blocks)
-    for block in blocks:
-        _first_pass(block, has_body)
-    _second_pass(blocks)
+    for released in (False, True):
+        for block in blocks:
+            if released and block.place == HINTED:
+                block.place = NEUTRAL
+            _first_pass(block)
+        _second_pass(blocks)
+        if any(b.good for b in blocks):
+            break
     return "\n\n".join(b.text for b in blocks if b.good)
 
 

@@ -126,6 +126,21 @@ def test_op3_pages_without_article_inherit_labels():
     assert html.main_text(page).split("\n\n") == [long, "Yes.", long]
 
 
+def test_op3_place_only_shifts_the_thresholds():
+    long = "The cat is on the mat and it is one of the best of all the cats that there are in the house."
+    links = "".join(f'<a href="/{i}">Another story of the cat that is on the mat {i}</a> ' for i in range(4))
+    # a marked element does not veto prose elsewhere
+    assert html.main_text(f'<div class="intro-text">Hello</div><p>{long}</p><p>{long}</p>').split("\n\n")[-2:] == [long, long]
+    # a list of links inside an article is not its text
+    assert html.main_text(f"<article><p>{long}</p><p>{links}</p><p>{long}</p></article>").split("\n\n") == [long, long]
+    # classes that name an aside are hints
+    for inner in (f"<main><p>{long}</p></main>", f"<p>{long}</p>"):
+        assert html.main_text(f'<div class="with-sidebar">{inner}</div><footer>{long}</footer>') == long
+    # long text without function words of the four languages goes with its neighbours, or with its place
+    other = "qwxz " * 30
+    assert html.main_text(f"<nav>{long}</nav><article><p>{other}</p></article>") == other.strip()
+
+
 def test_op3_every_page_keeps_its_article(spark, sf):
     got = queries.op3_html_extraction(spark, sf)
     rows = got.collect()
