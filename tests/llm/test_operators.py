@@ -238,6 +238,29 @@ def test_op6_reads_archives(spark, tmp_path):
     assert got == [("a.warc", 0, n, "http://a", "<p>é</p>"), ("a.warc", n, len(data) - n, "", ""), ("arc.gz", 0, n, "http://a", "<p>é</p>")][: len(got)] and len(got) >= 3
 
 
+def test_op6_an_archive_that_only_the_lower_tree_has(spark):
+    pages = spark.createDataFrame([(i, "u", "x" * 900) for i in (*range(5), *range(1000, 1005))], "page_id long, url string, html string")
+    sound = warc.hashed_records(pages)
+    grown = sound.where("page_id = 1004").withColumn("offset", F.lit(warc.RANGE_BYTES * 600).cast("long"))
+    replica = sound.where("archive = 1").unionByName(grown)
+    want = {(i, "missing") for i in range(5)} | {(1004, "extra")}
+    assert {(r.page_id, r.kind) for r in warc.audit(sound, replica).collect()} == want
+    assert {(r.page_id, r.kind) for r in warc.audit(replica, sound).collect()} == {(i, "extra" if k == "missing" else "missing") for i, k in want}
+
+
+def test_op6_reading_goes_on_after_damage(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"u{i}", "abcdefgh" * i) for i in range(1, 5)], "page_id long, url string, html string")
+    made = [r.r.encode() for r in pages.orderBy("page_id").select(warc.record(F.col("page_id"), F.col("url"), F.col("html")).alias("r")).collect()]
+    # junk between, a payload that lost bytes, a length that is no number, a cut end
+    data = made[0] + b"junk" + made[1][:-9] + made[2] + made[0].replace(b"Length: 8", b"Length: x") + made[3] + made[3][:-20]
+    (tmp_path / "a.warc").write_bytes(data)
+    got = warc.read_warc(spark, f"file://{tmp_path}").orderBy("offset").collect()
+    assert [(r.url, bytes(r.payload).decode()) for r in got] == [("u1", "abcdefgh"), ("u3", "abcdefgh" * 3), ("u4", "abcdefgh" * 4)]
+    gaps = [(r.offset, r.length) for r in warc.read_gaps(spark, f"file://{tmp_path}").orderBy("offset").collect()]
+    assert len(gaps) == 3 and sorted([*gaps, *[(r.offset, r.length) for r in got]])[0][0] == 0
+    assert sum(n for _, n in gaps) + sum(r.length for r in got) == len(data)
+
+
 def test_op7_learns_a_pair_and_keeps_clean(spark):
     draw = random.Random(1)
     docs, labels = [], []
