@@ -156,6 +156,7 @@ def first_edge_per_key(s, d):
     return first.select(F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey"), F.col("l_returnflag").alias("resolution"), F.col("l_orderkey").alias("orderkey"))
 
 
+#: Only the SQL stops here. The queries themselves run until nothing new is reached.
 _DEPTH = 12
 _REACH = f"""reach AS (SELECT node, min(d) AS distance FROM (SELECT * FROM walk) GROUP BY node)"""
 
@@ -174,7 +175,7 @@ def _busiest(calls: DataFrame) -> DataFrame:
 @query(f"{_walk(_BUSIEST)} SELECT node, CAST(distance AS BIGINT) AS distance FROM reach")
 def impact_reach(s, d):
     calls = E.calls(s, d)
-    return G.reverse_reach(calls, _busiest(calls), _DEPTH).select("node", F.col("distance").cast("long").alias("distance"))
+    return G.reverse_reach(calls, _busiest(calls)).select("node", F.col("distance").cast("long").alias("distance"))
 
 
 @query(
@@ -183,7 +184,7 @@ FROM reach r JOIN call ON caller = r.node JOIN reach n ON n.node = callee AND n.
 )
 def impact_via(s, d):
     calls = G.written(E.calls(s, d), "calls")
-    via = G.arriving(G.reverse_reach(calls, _busiest(calls), _DEPTH), calls)
+    via = G.arriving(G.reverse_reach(calls, _busiest(calls)), calls)
     return via.select("node", F.col("distance").cast("long").alias("distance"), F.size("via").cast("long").alias("n_via"), F.array_join(F.array_sort(F.transform("via", lambda v: v.cast("string"))), ",").alias("via"))
 
 
@@ -192,7 +193,7 @@ def impact_by_path(s, d):
     """A path as target stands for all nodes of that module; here users of one decade."""
     calls = E.calls(s, d)
     nodes = calls.select(F.col("caller").alias("node")).union(calls.select("callee")).distinct()
-    return G.reverse_reach(calls, nodes.where(F.floor(F.col("node") / 10) == 3), _DEPTH).select("node", F.col("distance").cast("long").alias("distance"))
+    return G.reverse_reach(calls, nodes.where(F.floor(F.col("node") / 10) == 3)).select("node", F.col("distance").cast("long").alias("distance"))
 
 
 @query(

@@ -363,3 +363,13 @@ def test_catalog_answers(spark, golden):
     assert c.pack()["dependencies"].count() >= 1 and c.mermaid().startswith("graph LR")
     c.register()
     assert spark.sql("select count(*) from symbols").first()[0] == 2
+
+
+@pytest.mark.parametrize("name", ["impact_reach", "impact_via", "impact_by_path"])
+def test_impact_has_no_depth_limit(spark, monkeypatch, name):
+    from factloom import queries
+
+    chain = [(1, 30), (2, 30), (100, 30), *((i + 1, i) for i in range(100, 114))]
+    monkeypatch.setattr(queries.E, "calls", lambda s, d: s.createDataFrame(chain, "caller long, callee long"))
+    got = {r.node: r.distance for r in queries.QUERIES[name](spark, "").collect()}
+    assert all(got[100 + i] == i + 1 for i in range(15))
