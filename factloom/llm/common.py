@@ -1,18 +1,21 @@
 """What the operators of this subpackage share: shared folders, column picking and hashed words.
 
-Words, shingles and windows are hashed to 64 bits for a whole Arrow batch at once with
-numpy: prefix sums of a polynomial in an odd base, modulo 2**64, give the hash of any range
-of bytes or words in constant time.
+A word is hashed once for each Arrow batch that holds it, by a 64-bit hash of its bytes. Ranges of words are
+hashed by doubling: the hash of 2k words mixes those of its halves, non-linearly, and a range of another
+length mixes the two largest such windows that cover it. No range is a polynomial in its words, so texts built of
+regular patterns meet no more often than others.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +24,6 @@ ARROW_ROWS = 1000
 #: Bytes hashed at once.
 CHUNK_BYTES = 1 << 21
 
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Lower-cases A-Z only.
@@ -29,8 +31,12 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), below a local default."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new folder below ``spark.checkpoint.dir``. Only a local session, whose tasks share its folders, may leave that unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/factloom"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -88,39 +94,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_powers: dict[int, np.ndarray] = {}
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = _powers[base] = np.multiply.accumulate(have)
-    return have[:n]
-
-
-def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hash of values[start:end] for each range; equal contents give equal hashes wherever they stand."""
-    n = len(values)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * _power(base, n), out=sums[1:])
-    inverse = _power(pow(base, -1, 1 << 64), n + 1)
-    raw = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+def joined_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two ranges one after the other (or overlapping), from theirs."""
+    return mix(mix(a + _LEFT) * _RIGHT + b)
 
 
 @dataclass
 class Words:
-    """The words of some texts: byte range, hash, and first word of each text (one more at the end)."""
+    """The words of some texts: byte range, hash, and first word of each text (one more at the end).
+
+    ``distinct`` are the different words and ``codes`` which of them each word is.
+    """
 
     data: bytes
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
     first: np.ndarray
+    distinct: list[bytes]
+    codes: np.ndarray
+    _doubled: list[np.ndarray] = field(default_factory=list)
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of all windows of ``size`` words inside one text, and their texts."""
@@ -129,8 +125,24 @@ class Words:
         at = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts) + self.first[text]
         return at, text
 
-    def window_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return range_hash(self.hashes, starts, ends, _WORD_BASE)
+    def doubled(self, k: int) -> np.ndarray:
+        """Hashes of the windows of 2**k words at every place."""
+        if not self._doubled:
+            self._doubled.append(self.hashes)
+        while len(self._doubled) <= k:
+            have, half = self._doubled[-1], 1 << (len(self._doubled) - 1)
+            self._doubled.append(joined_hash(have[: max(len(have) - half, 0)], have[half:]))
+        return self._doubled[k]
+
+    def window_hash(self, starts: np.ndarray, size: int) -> np.ndarray:
+        """Hash of the ``size`` words from each start; windows of unlike sizes are not to be compared."""
+        k = size.bit_length() - 1
+        have = self.doubled(k)
+        return have[starts] if size == 1 << k else joined_hash(have[starts], have[starts + (size - (1 << k))])
+
+
+def _hash_each(values: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, values), np.uint64, len(values))
 
 
 def words_of(texts: list[bytes], lower: bool = False, between: np.ndarray = _ASCII_SPACE) -> Words:
@@ -139,11 +151,15 @@ def words_of(texts: list[bytes], lower: bool = False, between: np.ndarray = _ASC
     if lower:
         data = data.translate(LOWER)
     raw = np.frombuffer(data, np.uint8)
-    edge = np.diff(np.concatenate([[False], ~between[raw], [False]]).astype(np.int8))
+    inside = ~between[raw]
+    edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
-    hashes = range_hash(raw.astype(np.uint64) + np.uint64(1), starts, ends, _BYTE_BASE)
-    return Words(data, starts, ends, hashes, np.searchsorted(starts, offsets))
+    bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    packed = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw[inside])])
+    coded = packed.dictionary_encode()
+    distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    return Words(data, starts, ends, _hash_each(distinct)[codes] if distinct else np.zeros(0, np.uint64), np.searchsorted(starts, offsets), distinct, codes)
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

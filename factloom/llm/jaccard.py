@@ -6,16 +6,17 @@
    documents of each shingle and keeps what at least two share.
 3. Size bounds: a partner at similarity t holds at least t * n of a document's n shingles, so documents that share fewer
    than that with all others together go, and two partners share one of each one's n - ceil(t * n) + 1 rarest
-   shingles. Documents that meet there, sizes within t, form families: a star for each shingle and size class, not pairs.
-4. Within families, row blocks of bounded size are multiplied block by block: overlap counts
-   accumulate over column slices, pairs below the size bound go, and only edges that connect
-   enter the result. A family of many blocks is first held against one block of it (linear work); after that only
-   documents outside its largest component meet the rest.
+   shingles. Documents that have such a shingle in common, with sizes within t, form a group.
+4. Products. In each group one document, the hub, is held against those that are not linked with it yet: overlaps
+   accumulate over slices of the hub's columns, and a pair goes as soon as what is left cannot lift it to its bound. What is
+   linked becomes one component, and after ``HUBS`` such rounds only pairs of different components are left in the groups. These
+   are collected once each, in tiles of bounded size, and multiplied as well. So the work grows with the candidates: copies by the
+   thousand cost one product each, and no group is joined with another before a link is proven.
 
-Hashes have 64 bits; equal hashes count as equal shingles.
+Hashes have 64 bits; equal hashes count as equal shingles, two of them as equal sets.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; fewer words than a shingle are
-one shingle; rows that share a doc_id count as one document for links, and each gets its row; a null doc_id has no
+one shingle; rows that share a doc_id count as one document, which has the links of each of its texts, and each gets its row; a null doc_id has no
 component but for its copies' smallest doc_id; an empty table gives no rows; other columns are ignored.
 """
 
@@ -25,15 +26,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, doc_text, materialise, mix, small_batches, text_chunks, words_of
 from .graph import components
 
 SHINGLE, PERCENT = 5, 80
-#: Incidences in a column block, documents in a row block, columns of a slice.
-BLOCK_CELLS, BLOCK_ROWS, SLICE = 1 << 21, 256, 2048
+#: Incidences in a column block, documents in a row block, columns of a slice, rounds of hubs.
+BLOCK_CELLS, BLOCK_ROWS, SLICE, HUBS = 1 << 21, 256, 2048, 2
 #: Sets of one task that are remembered, so that a copy in the same task adds no incidence.
 SEEN = 1 << 18
 
@@ -44,11 +45,11 @@ def _sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.nda
     """Distinct shingle hashes ordered by text, the text of each, and how many each text has."""
     words = words_of(texts, lower=True)
     at, text = words.windows(size)
-    hashes = words.window_hash(at, at + size)
+    hashes = words.window_hash(at, size)
     counts = np.diff(words.first)
-    short = np.flatnonzero((counts > 0) & (counts < size))
-    if len(short):
-        hashes = np.concatenate([hashes, words.window_hash(words.first[short], words.first[short + 1])])
+    for n in range(1, size):  # shorter texts are one shingle, which their number of words keeps apart
+        short = np.flatnonzero(counts == n)
+        hashes = np.concatenate([hashes, mix(words.window_hash(words.first[short], n) + np.uint64(n))])
         text = np.concatenate([text, short])
     order = np.lexsort((hashes, text))
     hashes, text = hashes[order], text[order]
@@ -85,14 +86,16 @@ def _binaries(values: np.ndarray, edges: np.ndarray) -> pa.Array:
 
 
 def _dealt(size: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The incidence by column block: block, hashes, and doc_id, set size and number of hashes of each document."""
+    """The incidence by column block: block, hashes, and doc_id, label (set size, part of its digest) and number of hashes of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for rows, texts in text_chunks(batches):
             hashes, text, n = _sets(texts, size)
             fresh = np.zeros(len(texts), bool)
-            for i, key in enumerate(zip(*(x.tolist() for x in _digest(hashes, text, len(texts))), strict=True)):
+            digest = _digest(hashes, text, len(texts))
+            label = (n.astype(np.int64) << 32) | (digest[0] & 0xFFFFFFFF)
+            for i, key in enumerate(zip(*(x.tolist() for x in digest), strict=True)):
                 fresh[i] = key not in seen
                 if len(seen) < SEEN:
                     seen.add(key)
@@ -112,10 +115,10 @@ def _dealt(size: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
                     pa.array(present.astype(np.int32)),
                     _binaries(hashes, np.append(cell, len(hashes))[cells]),
                     _binaries(ids[owner].astype(np.int64), cells),
-                    _binaries(n[owner].astype(np.uint32), cells),
+                    _binaries(label[owner], cells),
                     _binaries(counts.astype(np.uint32), cells),
                 ],
-                names=["block", "hashes", "ids", "sizes", "counts"],
+                names=["block", "hashes", "ids", "labels", "counts"],
             )
 
     return run
@@ -130,7 +133,7 @@ def _shared(buckets: int) -> Callable[[pa.Table], pa.Table]:
 
     def run(table: pa.Table) -> pa.Table:
         hashes, ids = _joined(table, "hashes", np.uint64), _joined(table, "ids", np.int64)
-        counts, sizes = _joined(table, "counts", np.uint32), _joined(table, "sizes", np.uint32)
+        counts, labels = _joined(table, "counts", np.uint32), _joined(table, "labels", np.int64)
         cell = np.repeat(np.arange(len(ids)), counts)
         order = np.argsort(hashes, kind="stable")
         ordered = hashes[order]
@@ -152,7 +155,7 @@ def _shared(buckets: int) -> Callable[[pa.Table], pa.Table]:
             {
                 "bucket": present,
                 "ids": _binaries(ids[owner], cells),
-                "sizes": _binaries(sizes[owner], cells),
+                "labels": _binaries(labels[owner], cells),
                 "counts": _binaries(np.diff(edges).astype(np.uint32), cells),
                 "pairs": _binaries(pairs, edges[cells]),
             }
@@ -162,141 +165,199 @@ def _shared(buckets: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def _sharing(percent: int) -> Callable[[pa.Table], pa.Table]:
-    """Of one bucket of documents: doc_id, n and all shared shingles of those that share enough of their n."""
+    """Of one bucket of documents: doc_id, label and all shared shingles of those that share enough of their n."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, sizes = _joined(table, "ids", np.int64), _joined(table, "sizes", np.uint32)
+        ids, labels = _joined(table, "ids", np.int64), _joined(table, "labels", np.int64)
         pairs = _joined(table, "pairs", _PAIR)
         cell = np.repeat(np.arange(len(ids)), _joined(table, "counts", np.uint32))
-        order = np.lexsort((sizes[cell], ids[cell]))
+        order = np.lexsort((pairs["h"], labels[cell], ids[cell]))
         cell = cell[order]
-        new = np.concatenate([[True], (np.diff(ids[cell]) != 0) | (np.diff(sizes[cell].astype(np.int64)) != 0)]) if len(cell) else np.zeros(0, bool)
-        edge = np.append(np.flatnonzero(new), len(cell))
+        owner_id, owner_label, h = ids[cell], labels[cell], pairs["h"][order]
+        same = np.zeros(len(cell), bool)
+        same[1:] = (owner_id[1:] == owner_id[:-1]) & (owner_label[1:] == owner_label[:-1])
+        again = same.copy()  # rows with one doc_id and one text in different tasks
+        again[1:] &= h[1:] == h[:-1]
+        cell, order, same = cell[~again], order[~again], same[~again]
+        edge = np.append(np.flatnonzero(~same), len(cell))
         owner, shared = cell[edge[:-1]], np.diff(edge)
-        good = np.flatnonzero(shared * 100 >= sizes[owner].astype(np.int64) * percent)
+        good = np.flatnonzero(shared * 100 >= (labels[owner] >> 32) * percent)
         kept = np.repeat(good, shared[good])
         at = edge[kept] + np.arange(len(kept)) - np.repeat(np.cumsum(shared[good]) - shared[good], shared[good])
         edges = np.concatenate([[0], np.cumsum(shared[good])])
-        return pa.table({"doc_id": ids[owner[good]], "n": sizes[owner[good]].astype(np.int64), "pairs": _binaries(pairs[order][at], edges)})
+        return pa.table({"doc_id": ids[owner[good]], "label": labels[owner[good]], "pairs": _binaries(pairs[order][at], edges)})
 
     return run
 
 
 def _rarest(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each document's shared shingles among its n - ceil(t * n) + 1 rarest; what it has alone comes first."""
+    """Each document's shared shingles among its n - ceil(t * n) + 1 rarest, and their places among all by rarity; what it has alone comes first.
+
+    Sizes within t are of one class or of two neighbouring ones; each document is of the groups of its class and of the next.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, n, own in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "n", "pairs")), strict=True):
-                pairs = np.frombuffer(own, _PAIR)
-                length = n - -(-n * percent // 100) + 1 - (n - len(pairs))
+            out: list[tuple[np.ndarray, ...]] = []
+            for doc, label, own in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "label", "pairs")), strict=True):
+                pairs, n = np.frombuffer(own, _PAIR), label >> 32
+                alone = n - len(pairs)
+                length = n - -(-n * percent // 100) + 1 - alone
                 if length > 0:
                     pick = np.lexsort((pairs["h"], pairs["d"]))[:length]
                     size_class = int(np.log(n) / np.log(100 / percent) + 1e-9)
                     k = len(pick)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, doc)), pa.array(pairs["h"][pick].view(np.int64)), pa.array(np.full(k, size_class, np.int32))], names=["doc_id", "shingle", "size_class"])
+                    for c in (size_class, size_class + 1):
+                        out.append((mix(pairs["h"][pick] + np.uint64(c)).view(np.int64), np.full(k, doc), np.full(k, label), (alone + np.arange(k)).astype(np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["meet", "doc_id", "label", "place"])
 
     return run
 
 
-def _families(rare: DataFrame) -> DataFrame:
-    """doc_id, family: documents that meet in a rare shingle with sizes within the bound, joined by stars."""
-    hubs = materialise(rare.groupBy("shingle", "size_class").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")), "hubs")
-    spokes = rare.join(hubs.where("hub < last"), ["shingle", "size_class"]).select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-    # partners are of one size class or of neighbouring ones
-    near = hubs.select("shingle", (F.col("size_class") + 1).alias("size_class"), F.col("hub").alias("b"))
-    across = hubs.select("shingle", "size_class", F.col("hub").alias("a")).join(near, ["shingle", "size_class"]).select("a", "b")
-    found = components(spokes.unionByName(across))
-    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-
-
-def _label(mask: np.ndarray) -> np.ndarray:
-    """Component of each row of a symmetric boolean matrix: the smallest index reached."""
-    label = np.arange(len(mask))
-    while True:
-        low = np.minimum(label, np.where(mask, label[None, :], len(mask)).min(axis=1, initial=len(mask)))
-        low = low[low]
-        if (low == label).all():
-            return label
-        label = low
-
-
-def _product(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Labels of rows linked at the bound; overlaps accumulate over slices of the shared columns."""
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    names, columns, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.cumsum(times > 1) - 1
-    kept = times[columns] > 1
-    rows, columns = rows[kept], rank[columns[kept]]
-    order = np.argsort(columns, kind="stable")
-    rows, columns = rows[order], columns[order]
-    overlap = np.zeros((len(sets), len(sets)), np.float32)
-    width = int((times > 1).sum())
-    for at in range(0, width, SLICE):
-        a, b = np.searchsorted(columns, [at, at + SLICE])
-        part = np.zeros((len(sets), min(SLICE, width - at)), np.float32)
-        part[rows[a:b], columns[a:b] - at] = 1
-        overlap += part @ part.T
-    union = sizes[:, None] + sizes[None, :] - overlap.astype(np.int64)
-    return _label(100 * overlap.astype(np.int64) >= percent * union)
-
-
-def _linked(percent: int) -> Callable[[pa.Table], pa.Table]:
-    """Edges (a, b) that connect what is linked among the rows of each family of the task."""
+def _size(label: Column) -> Column:
+    return F.shiftright(label, 32)
+
+
+def _within(percent: int, a: str, b: str, place_a: str, place_b: str) -> Column:
+    """Whether two documents' sizes, and what follows a common shingle in both, leave room for the bound.
+
+    What follows bounds the overlap from the first common shingle on; linked pairs pass at that one at least.
+    """
+    m, n = _size(F.col(a)), _size(F.col(b))
+    rest = F.least(m - F.col(place_a), n - F.col(place_b))
+    return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & ((100 + percent) * rest >= percent * (m + n))
+
+
+def _overlaps(hub: np.ndarray, sets: list[np.ndarray], n_hub: int, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets are linked with the hub's. Overlaps accumulate over slices of the hub's columns; pairs below their bound go."""
+    columns = np.sort(hub)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    cells = np.concatenate(sets)
+    at = np.searchsorted(columns, cells)
+    inside = np.flatnonzero(at < len(columns))
+    inside = inside[columns[at[inside]] == cells[inside]]
+    order = inside[np.argsort(at[inside], kind="stable")]
+    owner, at = owner[order], at[order]
+    need = -(-percent * (n_hub + sizes) // (100 + percent))
+    overlap, alive = np.zeros(len(sets), np.int64), np.ones(len(sets), bool)
+    for start in range(0, len(columns), SLICE):
+        a, b = np.searchsorted(at, [start, start + SLICE])
+        some = owner[a:b][alive[owner[a:b]]]
+        overlap += np.bincount(some, minlength=len(sets))
+        alive &= overlap + max(len(columns) - start - SLICE, 0) >= need
+        if not alive.any():
+            break
+    return alive & (100 * overlap >= percent * (n_hub + sizes - overlap))
+
+
+def _multiplied(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Edges (a, b) of the linked pairs of hub and partner in one task's row blocks. The hub is the row without a partner's role."""
 
     def run(table: pa.Table) -> pa.Table:
-        family = table.column("family").to_numpy()
-        order = np.argsort(family, kind="stable")
-        cuts = np.flatnonzero(np.diff(family[order])) + 1
-        ids, sizes = table.column("doc_id").to_numpy(), table.column("n").to_numpy()
-        pairs = table.column("pairs")
-        a, b = [], []
-        for rows in np.split(order, cuts) if len(order) else []:
-            if len(rows) > 1:
+        block, hub = table.column("block").to_numpy(), table.column("is_hub").to_numpy(zero_copy_only=False)
+        hub_doc, hub_label = table.column("hub_doc").to_numpy(), table.column("hub_label").to_numpy()
+        ids, labels, pairs = table.column("doc_id").to_numpy(), table.column("label").to_numpy(), table.column("pairs")
+        order = np.lexsort((~hub, block, hub_label, hub_doc))
+        new = np.flatnonzero(np.any([np.diff(x[order]) != 0 for x in (block, hub_label, hub_doc)], axis=0)) + 1
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for rows in np.split(order, new) if len(order) else []:
+            if len(rows) > 1 and hub[rows[0]]:
                 sets = [np.frombuffer(pairs[int(i)].as_py(), _PAIR)["h"] for i in rows]
-                label = _product(sets, sizes[rows], percent)
-                moved = np.flatnonzero(label != np.arange(len(rows)))
-                a.append(ids[rows[moved]])
-                b.append(ids[rows[label[moved]]])
-        flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"a": flat(a), "b": flat(b)})
+                linked = _overlaps(sets[0], sets[1:], int(labels[rows[0]] >> 32), labels[rows[1:]] >> 32, percent)
+                found = ids[rows[1:]][linked]
+                a.append(np.full(len(found), ids[rows[0]]))
+                b.append(found)
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
+
+
+def _products(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) of the pairs (hub_doc, hub_label, doc_id, label) that are linked. A hub's partners are dealt in row blocks."""
+    hub = ["hub_doc", "hub_label"]
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = materialise(pairs.groupBy(*hub).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "hubs")
+    bins = max(parts * 8, (sizes.agg(F.sum("blocks")).first()[0] or 0) // 64)
+    dealt = pairs.join(sizes, hub).withColumn("block", F.pmod(F.xxhash64("doc_id", "label"), F.col("blocks")).cast("int")).drop("blocks")
+    partners = dealt.join(members, ["doc_id", "label"]).select(*hub, "block", F.lit(False).alias("is_hub"), "doc_id", "label", "pairs")
+    blocks = sizes.select(*hub, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    own = blocks.join(members.select(F.col("doc_id").alias("hub_doc"), F.col("label").alias("hub_label"), "pairs"), hub)
+    hubs = own.select(*hub, "block", F.lit(True).alias("is_hub"), F.col("hub_doc").alias("doc_id"), F.col("hub_label").alias("label"), "pairs")
+    binned = hubs.unionByName(partners).withColumn("bin", F.pmod(F.xxhash64(*hub, "block"), F.lit(bins)))
+    return materialise(binned.groupBy("bin").applyInArrow(_multiplied(percent), "a long, b long").distinct(), "links")
+
+
+def _crossing(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Pairs of different components in one tile of a group, or in some whole groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names = ("meet", "x", "y", "block", "doc_id", "label", "place", "component")
+        meet, x, y, block, ids, labels, place, component = (table.column(c).to_numpy() for c in names)
+        order = np.lexsort((block, y, x, meet))
+        new = np.flatnonzero(np.any([np.diff(v[order]) != 0 for v in (meet, x, y)], axis=0)) + 1
+        out = [[np.zeros(0, np.int64)] for _ in range(4)]
+        for rows in np.split(order, new) if len(order) else []:
+            left, right = rows[block[rows] == x[rows[0]]], rows[block[rows] == y[rows[0]]]
+            m, n = (labels[left] >> 32)[:, None], (labels[right] >> 32)[None, :]
+            rest = np.minimum(m - place[left][:, None], n - place[right][None, :])
+            good = (component[left][:, None] != component[right][None, :]) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & ((100 + percent) * rest >= percent * (m + n))
+            if x[rows[0]] == y[rows[0]]:
+                good &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
+            i, j = np.nonzero(good)
+            i, j = left[i], right[j]
+            swap = (ids[j] < ids[i]) | ((ids[j] == ids[i]) & (labels[j] < labels[i]))
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            for kept, values in zip(out, (ids[i], labels[i], ids[j], labels[j]), strict=True):
+                kept.append(values)
+        found = pa.table(dict(zip(("hub_doc", "hub_label", "doc_id", "label"), map(np.concatenate, out), strict=True)))
+        return found.group_by(found.column_names).aggregate([]) if found.num_rows else found
 
     return run
 
 
-def _links(members: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) over documents of families, enough to connect all that is linked. members: doc_id, n, pairs, family."""
-    sizes = members.groupBy("family").agg(F.count("*").alias("g"))
-    dealt = members.join(sizes, "family").withColumn("k", F.ceil(F.col("g") / BLOCK_ROWS).cast("int"))
-    dealt = materialise(dealt.withColumn("row_block", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int")), "members")
-    bins = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 16
-    schema = "a long, b long"
-    # small families, many to a task; of large ones block 0 with every block
-    small = dealt.where("k = 1").withColumn("bin", -1 - F.pmod(F.xxhash64("family"), F.lit(bins)))
-    large = dealt.where("k > 1")
-    pivots = large.where("row_block = 0").withColumn("bin", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))
-    others = large.where("row_block > 0").withColumn("bin", F.col("row_block"))
-    cols = ["doc_id", "n", "pairs", "family", F.col("bin").cast("long").alias("bin")]
-    first = small.withColumn("at", F.lit(0).cast("long")).select(*cols, "at")
-    rest = pivots.select(*cols).unionByName(others.select(*cols)).withColumn("at", F.col("family"))
-    found = materialise(first.unionByName(rest).groupBy("at", "bin").applyInArrow(_linked(percent), schema), "links")
-    if large.isEmpty():
-        return found
-    # what a large family's blocks have not joined to its largest component meets all of the family
-    label = components(found)
-    named = large.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    count = named.groupBy("family", "component").agg(F.count("*").alias("c"))
-    main = count.groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    named = named.join(main, "family")
-    outside = materialise(named.where("component <> main").drop("component", "main"), "outside")
-    if outside.isEmpty():
-        return found
-    blocks = outside.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("j"))
-    left = outside.join(blocks, "family").withColumn("x", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("j")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    right = large.join(blocks, "family").withColumn("y", F.col("row_block")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("j") - 1)))
-    cols = ["doc_id", "n", "pairs", "family", "x", "y"]
-    both = left.select(*cols).unionByName(right.select(*cols))
-    return found.unionByName(both.groupBy("family", "x", "y").applyInArrow(_linked(percent), schema))
+def _candidates(open_: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (hub_doc, hub_label, doc_id, label) of different components that meet in a group. open_: meet, doc_id, label, place, component."""
+    parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = materialise(open_.groupBy("meet").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "groups")
+    bins = max(parts * 8, (sizes.agg(F.sum("blocks")).first()[0] or 0) // 64)
+    rows = open_.join(sizes, "meet").withColumn("block", F.pmod(F.xxhash64("doc_id", "label"), F.col("blocks")).cast("int"))
+    other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = other.select("meet", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "label", "place", "component")
+    binned = tiles.withColumn("bin", F.pmod(F.xxhash64("meet", "x", "y"), F.lit(bins)))
+    return binned.groupBy("bin").applyInArrow(_crossing(percent), "hub_doc long, hub_label long, doc_id long, label long").distinct()
+
+
+def _links(members: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) over doc_ids, enough to connect all that is linked. rare: meet, doc_id, label, place."""
+    links, tested = None, None
+    open_ = rare.withColumn("component", F.col("doc_id"))
+    pair = ["hub_doc", "hub_label", "doc_id", "label"]
+    for turn in range(HUBS + 1):
+        hub = F.min(F.struct(F.xxhash64("doc_id", "label", F.lit(turn)).alias("order"), "doc_id", "label", "place", "component")).alias("hub")
+        groups = materialise(open_.groupBy("meet").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), hub).where("lo <> hi").select("meet", "hub"), "groups")
+        # only groups that hold more than one component are looked at again
+        open_ = materialise(open_.join(groups.select("meet"), "meet", "left_semi"), "open")
+        if open_.isEmpty():
+            break
+        if turn < HUBS:
+            met = open_.join(groups, "meet").select("doc_id", "label", "place", "component", F.col("hub.doc_id").alias("hub_doc"), F.col("hub.label").alias("hub_label"), F.col("hub.place").alias("hub_place"), F.col("hub.component").alias("hub_component"), "hub.order")
+            near = met.where("component <> hub_component").where(_within(percent, "label", "hub_label", "place", "hub_place"))
+            first = near.groupBy("doc_id", "label").agg(F.min(F.struct("order", "hub_doc", "hub_label")).alias("h"))
+            found = first.select("h.hub_doc", "h.hub_label", "doc_id", "label")
+        else:
+            found = _candidates(open_, percent)
+        if tested is not None:
+            turned = tested.select(*[F.col(c).alias(n) for c, n in zip(pair, [*pair[2:], *pair[:2]], strict=True)])
+            found = found.join(tested.unionByName(turned), pair, "left_anti")
+        found = materialise(found, "pairs")
+        some = _products(found, members, percent)
+        tested = found if tested is None else tested.unionByName(found)
+        links = some if links is None else links.unionByName(some)
+        if turn < HUBS:
+            named = components(links)
+            open_ = open_.drop("component").join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    return links if links is not None else members.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -307,12 +368,11 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     described = materialise(texts.mapInArrow(_described(size), "doc_id long, n_shingles long, set1 long, set2 long"), "described")
     total = described.agg(F.sum("n_shingles")).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_CELLS))
-    dealt = texts.where("doc_id is not null").mapInArrow(_dealt(size, blocks), "block int, hashes binary, ids binary, sizes binary, counts binary")
-    shared = dealt.groupBy("block").applyInArrow(_shared(blocks), "bucket int, ids binary, sizes binary, counts binary, pairs binary")
-    members = materialise(shared.groupBy("bucket").applyInArrow(_sharing(percent), "doc_id long, n long, pairs binary"), "sharing")
-    rare = materialise(members.mapInArrow(_rarest(percent), "doc_id long, shingle long, size_class int"), "rare")
-    families = materialise(_families(rare), "families")
-    links = _links(members.join(families, "doc_id"), percent)
+    dealt = texts.where("doc_id is not null").mapInArrow(_dealt(size, blocks), "block int, hashes binary, ids binary, labels binary, counts binary")
+    shared = dealt.groupBy("block").applyInArrow(_shared(blocks), "bucket int, ids binary, labels binary, counts binary, pairs binary")
+    members = materialise(shared.groupBy("bucket").applyInArrow(_sharing(percent), "doc_id long, label long, pairs binary"), "sharing")
+    rare = materialise(members.mapInArrow(_rarest(percent), "meet long, doc_id long, label long, place int"), "rare")
+    links = _links(members, rare, percent)
     # copies: every document of a class stands for its smallest doc_id
     some = described.where("n_shingles > 0")
     classes = materialise(some.groupBy("n_shingles", "set1", "set2").agg(F.min("doc_id").alias("head")), "classes")

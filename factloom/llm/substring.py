@@ -11,7 +11,8 @@ so the first level deals about two rows for every ``size`` / 2 words, not one fo
 * Level ``size``: only first copies of runs that differ around their seed are opened
   into windows, which are compared one by one.
 
-Words are runs of characters other than space and \\t to \\r, unchanged. Equality is that of 64-bit hashes.
+Words are runs of characters other than space and \t to \r, unchanged. Runs and windows count as equal when two 64-bit hashes
+are: their own and that of their seed.
 
 Defined results: a null or empty text has no words and loses none; a document of fewer words than the window loses
 none; a repeat inside one document, or in rows with the same doc_id, removes nothing; a row with a null doc_id neither
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, column, doc_text, materialise, small_batches, text_chunks, words_of
+from .common import Words, column, doc_text, joined_hash, materialise, small_batches, text_chunks, words_of
 
 SIZE = 50
 
@@ -40,12 +41,14 @@ def _runs_of(words: Words, size: int) -> tuple[np.ndarray, ...]:
     at, text = words.windows(size)
     if not len(at):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-    seeds = words.window_hash(s := np.arange(len(words.hashes) - half + 1), s + half)
+    seeds = words.window_hash(np.arange(len(words.hashes) - half + 1), half)
     seed = at + np.lib.stride_tricks.sliding_window_view(seeds, size - half + 1).argmin(axis=1)[at]
     new = np.flatnonzero(np.concatenate([[True], (np.diff(seed) != 0) | (np.diff(text) != 0)]))
     n = np.diff(np.append(new, len(at)))
     first = at[new]
-    return text[new], first, n, seeds[seed[new]], words.window_hash(first, first + n - 1 + size)
+    # a run is no longer than two windows: its first and last one and their distance tell its words
+    whole = joined_hash(joined_hash(words.window_hash(first, size), words.window_hash(first + n - 1, size)), n.astype(np.uint64))
+    return text[new], first, n, seeds[seed[new]], whole
 
 
 def _runs(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -69,12 +72,12 @@ def _open(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
             words = words_of(texts)
             runs = column(rows, "runs")
             owner = np.repeat(np.arange(len(texts)), runs.value_lengths().to_numpy())
-            first, n = (runs.flatten().field(c).to_numpy().astype(np.int64) for c in ("first", "n"))
+            first, n, seed = (runs.flatten().field(c).to_numpy().astype(np.int64) for c in ("first", "n", "seed"))
             own = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             owner = np.repeat(owner, n)
             at = own + words.first[owner]
             keys = [column(rows, c).to_numpy(zero_copy_only=False)[owner] for c in ("doc_id", "text_key")]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, own.astype(np.int32), words.window_hash(at, at + size).view(np.int64))], names=["doc_id", "text_key", "first", "window"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, own.astype(np.int32), np.repeat(seed, n), words.window_hash(at, size).view(np.int64))], names=["doc_id", "text_key", "first", "seed", "window"])
 
     return run
 
@@ -96,11 +99,11 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
     firsts = materialise(unlike.groupBy("seed", "run").agg(F.min("doc_id").alias("first_doc")), "firsts")
     unlike = unlike.join(firsts, ["seed", "run"])
     copies = unlike.where("doc_id > first_doc")
-    to_open = unlike.where("doc_id = first_doc").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
-    opened = materialise(keyed.join(to_open, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "runs").mapInArrow(_open(size), "doc_id long, text_key long, first int, window long"), "windows")
-    owners = opened.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-    owners = materialise(owners.where("owner < last").select("window", "owner"), "owners")
-    singles = opened.join(owners, "window").where("doc_id > owner").withColumn("n", F.lit(1))
+    to_open = unlike.where("doc_id = first_doc").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "n", "seed")).alias("runs"))
+    opened = materialise(keyed.join(to_open, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "runs").mapInArrow(_open(size), "doc_id long, text_key long, first int, seed long, window long"), "windows")
+    owners = opened.groupBy("seed", "window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+    owners = materialise(owners.where("owner < last").select("seed", "window", "owner"), "owners")
+    singles = opened.join(owners, ["seed", "window"]).where("doc_id > owner").withColumn("n", F.lit(1))
     spans = [x.select("doc_id", "text_key", "first", "n") for x in (alike, copies, singles)]
     return spans[0].unionByName(spans[1]).unionByName(spans[2])
 

@@ -16,7 +16,6 @@ doc_id are kept, ordered by text; an empty table gives no rows; other columns ar
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,149 +25,81 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, column, doc_text, range_hash, small_batches
+from .common import CHUNK_BYTES, column, doc_text, small_batches
 
 BLOCK_TOKENS = 1 << 16
 END_ID = 1
-#: Letter runs that an encoder may remember; a power of two, the table has twice as many slots.
-CACHED = 1 << 20
+#: Pieces that an encoder remembers at most, and the longest of them.
+CACHED, CACHED_CHARS = 1 << 19, 64
 
 FILE_SCHEMA = "part int, block int, first_token long, n_tokens long, bits int, doc_ids array<bigint>, doc_starts array<bigint>, payload binary"
 
 
+#: Fixed value: the normaliser and splitter of word_bpe_49k.json. White space becomes one space and is dropped, and no rule reaches across it.
+SPACED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class Encoder:
-    """Encodes with the tokenizers library, remembering the ids of letter runs seen before.
+    """Encodes with the tokenizers library, remembering the ids of whole pieces between spaces.
 
-    Texts of ASCII and Latin-1 letters are normalised as the file says (lower case)
-    and split by its pattern for many texts at once: numpy finds the runs, hashes them and looks them
-    up in an open-addressed table. The ids of a run not seen yet come from the library's
-    BPE model. The tokenizer never joins characters across a space, so of other texts
-    each space-separated piece is either such a text or goes through the whole tokenizer.
+    Where the file's rules are those of ``SPACED``, a text's ids are those of its pieces one after another. The library
+    encodes the pieces that are not known yet, joined by spaces, in one call; the ids' places say whose
+    they are. A piece is looked up by its characters, never by a hash. With other rules whole texts go to the library.
     """
 
-    _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
-    _SPACE, _LETTER, _DIGIT, _OTHER = range(4)
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
         self.vocabulary = self.whole.get_vocab_size()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        #: Other tokenizer files go through the library alone.
-        self.fast = steps == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix") == "</w>"
-        #: The byte-level alphabet: bytes that do not print stand at 256 and up, in order.
-        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in set(printed)]
-        sign = {b: chr(b) for b in printed} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.signs = {c: "".join(sign[b] for b in chr(c).encode()) for c in range(33, 256)}
-        self.lower = bytes(ord(x) if len(x := chr(c).lower()) == 1 and ord(x) < 256 else c for c in range(256))
-        kinds = [self._LETTER if chr(c).isalpha() else self._DIGIT if c in range(48, 58) else self._SPACE if c in (9, 10, 11, 12, 13, 32) else self._OTHER for c in range(256)]
-        self.kinds = np.array(kinds, np.uint8)
-        self.keys, self.entry = np.zeros(2 * CACHED, np.uint64), np.zeros(2 * CACHED, np.int32)
-        self.pool, self.filled = np.zeros(1 << 20, np.uint32), 0
-        self.at, self.length, self.known = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
-
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """The entry of each hash, -1 where there is none."""
-        out, mask = np.full(len(hashes), -1, np.int64), np.uint64(len(self.keys) - 1)
-        open_, slot = np.arange(len(hashes)), (hashes & mask).astype(np.int64)
-        while len(open_):
-            key = self.keys[slot]
-            hit = key == hashes[open_]
-            out[open_[hit]] = self.entry[slot[hit]]
-            more = ~hit & (key != 0)
-            open_, slot = open_[more], (slot[more] + 1) & int(mask)
-        return out
-
-    def _learn(self, run: str, key: int) -> int:
-        """A new entry with the run's ids; it stays in the table while there is room."""
-        ids = [t.id for t in self.model.tokenize(run.translate(self.signs))]
-        if self.filled + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
-        if self.known == len(self.at):
-            self.at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length))
-        self.pool[self.filled : self.filled + len(ids)] = ids
-        entry, self.known = self.known, self.known + 1
-        self.at[entry], self.length[entry] = self.filled, len(ids)
-        self.filled += len(ids)
-        if entry < CACHED:
-            mask = len(self.keys) - 1
-            slot = key & mask
-            while self.keys[slot]:
-                slot = (slot + 1) & mask
-            self.keys[slot], self.entry[slot] = key, entry
-        return entry
-
-    def _plain(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of texts in Latin-1, lower-cased."""
-        data = b"\n".join([*texts, b""])
-        raw = np.frombuffer(data, np.uint8)
-        kind = self.kinds[raw]
-        begins = (kind != self._SPACE) & ((np.concatenate([[self._SPACE], kind[:-1]]) != kind) | (kind == self._DIGIT))
-        quote = np.flatnonzero(begins & (raw == 39))  # a run that begins like 's or 'll is a run of its own
-        after = raw[np.minimum(quote[:, None] + [1, 2], len(raw) - 1)].astype(np.int64)
-        one = np.isin(after[:, 0], list(b"stmd"))
-        two = np.isin(after @ [256, 1], [int.from_bytes(x) for x in (b"re", b"ve", b"ll")]) & ~one
-        begins[quote[one | two] + 1] = False
-        for cut in (quote[one] + 2, quote[two] + 3):
-            begins[cut] = kind[cut] != self._SPACE
-        starts = np.flatnonzero(begins)
-        ends = np.append(starts[1:], len(raw)) if len(starts) else starts
-        gaps = np.flatnonzero(kind == self._SPACE)
-        ends = np.minimum(ends, gaps[np.searchsorted(gaps, starts)]) if len(starts) else ends
-        hashes = range_hash(raw.astype(np.uint64) + np.uint64(1), starts, ends, 0x9E3779B97F4A7C15) | np.uint64(1)
-        entries = self._find(hashes)
-        missing = np.flatnonzero(entries < 0)
-        keep = self.known, self.filled
-        if len(missing):
-            new, first, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
-            got = [self._learn(data[starts[i] : ends[i]].decode("latin-1"), k) for i, k in zip(missing[first].tolist(), new.tolist(), strict=True)]
-            entries[missing] = np.array(got)[back]
-        counts = self.length[entries]
-        total = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.pool[np.repeat(self.at[entries] - total[:-1], counts) + np.arange(total[-1])]
-        if self.known > CACHED:  # entries beyond the table served this call only
-            over = max(CACHED, keep[0])
-            self.known, self.filled = over, int(self.at[over])
-        offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
-        cuts = total[np.searchsorted(starts, offsets)]
-        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def _as_plain(self, text: str) -> bytes | None:
-        return text.encode("latin-1").translate(self.lower) if self._PLAIN.fullmatch(text) and "<|" not in text else None
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _pieces(self, text: str) -> np.ndarray:
-        """Ids of a text with other characters: its space-separated pieces, the plain ones in one go."""
-        pieces = text.split(" ")
-        plain = [self._as_plain(p) for p in pieces]
-        fast = iter(self._plain([p for p in plain if p is not None]))
-        return np.concatenate([next(fast) if q is not None else self._whole(p) for p, q in zip(pieces, plain, strict=True)])
+        self.spaced = all(spec.get(k) == v for k, v in SPACED.items()) and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec.get("added_tokens") or [])
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece; pieces hold no space and are not empty."""
+        found = self.whole.encode(" ".join(pieces), add_special_tokens=False)
+        begins = np.cumsum([0, *[len(p) + 1 for p in pieces[:-1]]])
+        at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+        cuts = np.searchsorted(np.searchsorted(begins, at, "right") - 1, np.arange(len(pieces) + 1)) * 4
+        ids = np.array(found.ids, "<u4").tobytes()
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def _encode_pieces(self, texts: list[str]) -> list[np.ndarray]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = list(set().union(*split) - self.known.keys())
+        own = dict(zip(new, self._ids_of(new), strict=True)) if new else {}
+        room = CACHED - len(self.known)
+        short = (p for p in new if len(p) <= CACHED_CHARS)
+        self.known.update((p, own[p]) for p, _ in zip(short, range(room), strict=False))
+        left = {p: i for p, i in own.items() if p not in self.known}
+        find = (lambda p: left[p] if p in left else self.known[p]) if left else self.known.__getitem__
+        return [np.frombuffer(b"".join(map(find, pieces)), "<u4") for pieces in split]
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each whole text, as unsigned 32-bit integers."""
-        if not self.fast:
+        if not self.spaced:
             return [np.array(x.ids, np.uint32) for x in self.whole.encode_batch(texts, add_special_tokens=False)]
-        plain = [self._as_plain(t) for t in texts]
         out: list[np.ndarray] = []
-        some: list[bytes] = []
-        size = 0
-        for text, p in zip(texts, plain, strict=True):
-            if some and (p is None or size + len(p) > CHUNK_BYTES):
-                out += self._plain(some)
-                some, size = [], 0
-            if p is None:
-                out.append(self._pieces(text))
-            else:
-                some.append(p)
-                size += len(p)
-        return out + (self._plain(some) if some else [])
+        at = 0
+        while at < len(texts):
+            to, size = at + 1, len(texts[at])
+            while to < len(texts) and size + len(texts[to]) <= CHUNK_BYTES:
+                size += len(texts[to])
+                to += 1
+            out += self._encode_pieces(texts[at:to])
+            at = to
+        return out
 
 
 _encoders: dict[str, Encoder] = {}

@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A document's terms are its lower-cased letter runs and their first bytes (two lengths), hashed to
+A document's terms are its lower-cased letter runs and their beginnings (two lengths), hashed to
 ``DIMENSION`` places; a term's value grows with the logarithm of its share of the words, so
 one harsh word in a long text weighs less than the same in a short one. The machine scores
 
@@ -8,11 +8,18 @@ one harsh word in a long text weighs less than the same in a short one. The mach
 
 so that terms harmless alone, an insult and the mention of a group, can count together. It is fitted on the driver
 to a bounded sample of labelled rows (``SAMPLE``, the smallest hashes of doc_id) and sent to the executors, whose
-tasks score every whole text. Its size is fixed by DIMENSION and RANK.
+tasks score every whole text. Its size is fixed by DIMENSION and RANK. Every term of the sample takes part; no term is left out for
+saying little alone.
+
+Fitting: first the linear weights, by Adagrad with an absolute-value penalty. What they miss, the residuals, is then held
+against every pair of the ``PAIRED`` most frequent terms: a pair's score is the residuals' sum over its co-occurrences (about the terms' means)
+in standard errors. The leading eigenvectors of the scores beyond ``PAIR_Z`` are where the factors start, for
+gradient steps from near zero hardly find a pair whose terms tell nothing alone. Then weights and factors are
+fitted together; an eighth of the sample says when to stop, and whether the pairs help at all.
 
 Defined results: null and empty texts have no terms and get the score of the bias; without labelled rows of both classes
 every score is 0.5 times the share of toxic labels; labels that are null are ignored; rows with the same doc_id are scored each;
-a null doc_id is held out; columns other than doc_id and text are ignored.
+a null doc_id is held out; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -22,38 +29,39 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE_BASE, column, doc_text, mix, range_hash, small_batches, text_chunks, words_of
+from .common import column, doc_text, small_batches, text_chunks, words_of
 
 DIMENSION, RANK = 1 << 18, 4
 #: Labelled rows that the machine is fitted to, at most.
 SAMPLE = 8000
 #: Bytes of a word's beginnings that are terms.
 BEGINNINGS = (5, 7)
-#: Places that the machine may use, and the least standard errors between the classes' means.
-TELLING, LEAST_Z = 4096, 4.0
-EPOCHS, BATCH, RATE, DECAY = 25, 128, 0.15, 1e-4
+#: Terms whose pairs are looked at before fitting, and the standard errors from which a pair counts.
+PAIRED, PAIR_Z = 2048, 8.0
+EPOCHS, PATIENCE, BATCH, RATE, DECAY, PENALTY, FIRST = 40, 5, 64, 0.3, 1e-2, 2e-3, 0.01
+#: How often a toxic row counts in the loss.
+POSITIVE = 4.0
 
 _NOT_LETTER = np.array([not (65 <= c <= 90 or 97 <= c <= 122 or c >= 128) for c in range(256)])
 
 
+def _places(word: bytes) -> list[int]:
+    """The places of a word and of its beginnings, -1 for those it is too short for."""
+    return [xxhash.xxh3_64_intdigest(word) % DIMENSION, *(xxhash.xxh3_64_intdigest(word[:n], n) % DIMENSION if len(word) > n else -1 for n in BEGINNINGS)]
+
+
 def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """text, place and value of the distinct terms of each text."""
     words = words_of([t.decode("utf-8", "replace").lower().encode() for t in texts], between=_NOT_LETTER)
-    text = np.repeat(np.arange(len(texts)), np.diff(words.first))
-    raw = np.frombuffer(words.data, np.uint8).astype(np.uint64) + np.uint64(1)
-    hashes, owners = [words.hashes], [text]
-    for size in BEGINNINGS:
-        long = np.flatnonzero(words.ends - words.starts > size)
-        begin = range_hash(raw, words.starts[long], words.starts[long] + size, _BYTE_BASE)
-        hashes.append(mix(begin + np.uint64(size)))
-        owners.append(text[long])
-    place = (np.concatenate(hashes) % np.uint64(DIMENSION)).astype(np.int64)
-    key, times = np.unique(np.concatenate(owners) * DIMENSION + place, return_counts=True)
-    text, place = key // DIMENSION, key % DIMENSION
     n = np.diff(words.first)
+    each = np.array([_places(w) for w in words.distinct], np.int64).reshape(-1, 1 + len(BEGINNINGS))[words.codes]
+    text, place = np.repeat(np.arange(len(texts)), n * each.shape[1]), each.ravel()
+    key, times = np.unique((text * DIMENSION + place)[place >= 0], return_counts=True)
+    text, place = key // DIMENSION, key % DIMENSION
     return text, place, (np.log1p(1000.0 * times / n[text]) / 4).astype(np.float32)
 
 
@@ -65,65 +73,135 @@ class Machine:
 
     def score(self, text: np.ndarray, place: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
         """Probability for each of n texts."""
-        out = self.bias + np.bincount(text, self.w[place] * value, n)
-        for f in range(self.v.shape[1]):
-            part = self.v[place, f] * value
-            out += 0.5 * (np.bincount(text, part, n) ** 2 - np.bincount(text, part**2, n))
-        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-
-
-def _telling(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
-    """The places whose mean value differs most between the labels, by its standard error; at most ``TELLING``."""
-    place, value = np.concatenate([p for p, _ in rows]), np.concatenate([x for _, x in rows]).astype(float)
-    owner = np.repeat(labels, [len(p) for p, _ in rows])
-    times = np.bincount(place, minlength=DIMENSION)
-    n1, n0 = labels.sum(), len(labels) - labels.sum()
-    one, zero = (np.bincount(place[owner == y], value[owner == y], DIMENSION) for y in (1, 0))
-    mean, square = (one + zero) / len(labels), np.bincount(place, value**2, DIMENSION) / len(labels)
-    spread = np.sqrt(np.maximum(square - mean**2, 1e-12) * (1 / n1 + 1 / n0))
-    z = np.where(times > 2, np.abs(one / n1 - zero / n0) / spread, 0)
-    top = np.argsort(-z, kind="stable")[:TELLING]
-    return np.sort(top[z[top] > LEAST_Z])
-
-
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> Machine:
-    """Adagrad over minibatches on the logistic loss; rows are (place, value) of each text."""
-    rate = float(labels.mean()) if len(labels) else 0.0
-    empty = Machine(-30.0, np.zeros(DIMENSION, np.float32), np.zeros((DIMENSION, RANK), np.float32))
-    if not 0 < rate < 1:
-        odds = 0.5 * rate
-        empty.bias = float(np.log(odds / (1 - odds))) if odds else -30.0
-        return empty
-    used = _telling(rows, labels)
-    where = np.full(DIMENSION, -1)
-    where[used] = np.arange(len(used))
-    rows = [(where[p[k]], x[k]) for p, x in rows for k in [where[p] >= 0]]
-    draw = np.random.default_rng(seed)
-    w, v = np.zeros(len(used)), draw.normal(0, 0.01, (len(used), RANK))
-    bias, gw, gv, gb = float(np.log(rate / (1 - rate))), np.full(len(used), 1e-3), np.full(v.shape, 1e-3), 1e-3
+        return 1 / (1 + np.exp(-np.clip(_logit(self, text, place, value, n), -30, 30)))
+
+
+class _Rows:
+    """The sample as one sparse matrix over the places it uses."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
+        self.n = len(rows)
+        self.edge = np.concatenate([[0], np.cumsum([len(p) for p, _ in rows])]).astype(np.int64)
+        self.used, self.place = np.unique(np.concatenate([p for p, _ in rows]), return_inverse=True)
+        self.value = np.concatenate([x for _, x in rows]).astype(float)
+        self.text = np.repeat(np.arange(self.n), np.diff(self.edge))
+
+    def some(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """text (0 to len(pick) - 1), place and value of the picked rows."""
+        sizes = np.diff(self.edge)[pick]
+        text = np.repeat(np.arange(len(pick)), sizes)
+        at = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.edge[pick][text]
+        return text, self.place[at], self.value[at]
+
+
+def _logit(machine: Machine, text: np.ndarray, place: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    out = machine.bias + np.bincount(text, machine.w[place] * value, n)
+    for f in range(machine.v.shape[1]):
+        part = machine.v[place, f] * value
+        out += 0.5 * (np.bincount(text, part, n) ** 2 - np.bincount(text, part**2, n))
+    return out
+
+
+def _paired(rows: _Rows, residual: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+    """Where the factors start, for the places used."""
+    v = draw.normal(0, 1e-3, (len(rows.used), RANK))
+    often = np.bincount(rows.place, minlength=len(rows.used))
+    chosen = np.argsort(-often, kind="stable")[:PAIRED]
+    chosen = chosen[often[chosen] > 4]
+    if not len(chosen):
+        return v
+    where = np.full(len(rows.used), -1)
+    where[chosen] = np.arange(len(chosen))
+    mean = (often[chosen] / rows.n).astype(np.float32)
+    sums, squares = np.zeros((2, len(chosen), len(chosen)), np.float32)
+    for at in range(0, rows.n, 1024):
+        pick = np.arange(at, min(at + 1024, rows.n))
+        text, place, _ = rows.some(pick)
+        x = np.zeros((len(pick), len(chosen)), np.float32)
+        x[text[where[place] >= 0], where[place][where[place] >= 0]] = 1
+        x -= mean
+        r = residual[pick, None].astype(np.float32)
+        sums += x.T @ (x * r)
+        squares += (x**2).T @ ((x * r) ** 2)
+    z = sums / np.sqrt(squares + 1e-6)
+    np.fill_diagonal(z, 0)
+    z[np.abs(z) < PAIR_Z] = 0
+    q, shift = np.linalg.qr(draw.normal(size=(len(chosen), RANK)))[0], float(np.abs(z).sum(1).max())
+    for _ in range(60 if shift else 0):
+        q = np.linalg.qr(z @ q + shift * q)[0]
+    strength = np.maximum(np.einsum("if,if->f", q, z @ q), 0)
+    if strength.max() > 0:
+        v[chosen] += 2 * q * np.sqrt(strength / strength.max())
+    return v
+
+
+def _descend(machine: Machine, rows: _Rows, labels: np.ndarray, held: np.ndarray, pairs: bool, draw: np.random.Generator, least: float, gw: np.ndarray) -> tuple[Machine, float]:
+    """Adagrad over minibatches on the logistic loss; the machine of the least loss on the rows held back. ``gw``: squared steps of the weights so far."""
+    w, v, bias = machine.w.copy(), machine.v.copy(), machine.bias
+    gv, gb = np.full(v.shape, 0.1), 0.1
+    best, own_least, since = machine, np.inf, 0
+    mine, check = np.flatnonzero(~held), rows.some(np.flatnonzero(held))
     for _ in range(EPOCHS):
-        order = draw.permutation(len(rows))
+        order = draw.permutation(mine)
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
-            text = np.repeat(np.arange(len(pick)), [len(rows[i][0]) for i in pick])
-            place, value = np.concatenate([rows[i][0] for i in pick]), np.concatenate([rows[i][1] for i in pick])
-            part = v[place] * value[:, None]
-            sums = np.stack([np.bincount(text, part[:, f], len(pick)) for f in range(RANK)], 1)
-            z = bias + np.bincount(text, w[place] * value, len(pick)) + 0.5 * ((sums**2).sum(1) - np.bincount(text, (part**2).sum(1), len(pick)))
-            miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[pick]) / len(pick)
-            one = np.bincount(place, miss[text] * value, len(used)) + DECAY * w
-            gw += one**2
-            w -= RATE * one / np.sqrt(gw)
-            push = (miss[text] * value)[:, None] * (sums[text] - part)
-            for f in range(RANK):
-                two = np.bincount(place, push[:, f], len(used)) + DECAY * v[:, f]
-                gv[:, f] += two**2
-                v[:, f] -= RATE / 4 * two / np.sqrt(gv[:, f])
+            text, place, value = rows.some(pick)
+            own, back = np.unique(place, return_inverse=True)
+            z = bias + np.bincount(text, w[place] * value, len(pick))
+            if pairs:
+                part = v[place] * value[:, None]
+                sums = np.stack([np.bincount(text, part[:, f], len(pick)) for f in range(RANK)], 1)
+                z += 0.5 * ((sums**2).sum(1) - np.bincount(text, (part**2).sum(1), len(pick)))
+            miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[pick]) * np.where(labels[pick] > 0, POSITIVE, 1)
+            one = np.bincount(back, miss[text] * value, len(own))
+            gw[own] += one**2
+            step = RATE / np.sqrt(gw[own])
+            moved = w[own] - step * one
+            w[own] = np.sign(moved) * np.maximum(np.abs(moved) - step * PENALTY * BATCH, 0)
+            if pairs:
+                push = (miss[text] * value)[:, None] * (sums[text] - part)
+                for f in range(RANK):
+                    two = np.bincount(back, push[:, f], len(own)) + DECAY * BATCH * v[own, f]
+                    gv[own, f] += two**2
+                    v[own, f] -= RATE * two / np.sqrt(gv[own, f])
             gb += miss.sum() ** 2
             bias -= RATE * miss.sum() / np.sqrt(gb)
-    empty.bias = bias
-    empty.w[used], empty.v[used] = w, v
-    return empty
+        now = Machine(float(bias), w.copy(), v.copy())
+        z, y = _logit(now, *check, len(labels[held])), labels[held]
+        loss = float(np.mean((np.logaddexp(0, z) - y * z) * np.where(y > 0, POSITIVE, 1)))
+        if loss < least:
+            best, least = now, loss
+        if loss < own_least - 1e-4:
+            own_least, since = loss, 0
+        else:
+            since += 1
+            if since == PATIENCE:
+                break
+    return best, least
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7, pairs: bool = True) -> Machine:
+    """The machine for rows of (place, value); without ``pairs`` only its linear part, for comparison."""
+    rate = float(labels.mean()) if len(labels) else 0.0
+    whole = Machine(-30.0, np.zeros(DIMENSION, np.float32), np.zeros((DIMENSION, RANK), np.float32))
+    if not 0 < rate < 1 or not any(len(p) for p, _ in rows):
+        odds = 0.5 * rate
+        whole.bias = float(np.log(odds / (1 - odds))) if odds else -30.0
+        return whole
+    draw, table = np.random.default_rng(seed), _Rows(rows)
+    held = draw.permutation(len(labels)) < len(labels) // 8
+    none = np.zeros((len(table.used), RANK))
+    gw = np.full(len(table.used), FIRST)
+    found, loss = _descend(Machine(float(np.log(rate / (1 - rate))), np.zeros(len(table.used)), none), table, labels, held, False, draw, np.inf, gw)
+    if pairs:
+        z = _logit(found, table.text, table.place, table.value, table.n)
+        start = Machine(found.bias, found.w, _paired(table, labels - 1 / (1 + np.exp(-np.clip(z, -30, 30))), draw))
+        better, less = _descend(start, table, labels, held, True, draw, loss, gw)
+        if less < loss:
+            found = better
+    whole.bias = found.bias
+    whole.w[table.used], whole.v[table.used] = found.w, found.v
+    return whole
 
 
 def _sample(docs: DataFrame, labels: DataFrame, learn: Column, limit: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -139,9 +217,10 @@ def _sample(docs: DataFrame, labels: DataFrame, learn: Column, limit: int) -> tu
             yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), column(rows, "toxic"), pa.array([place[a:b].astype(np.int32).tobytes() for a, b in own]), pa.array([value[a:b].tobytes() for a, b in own])], names=["doc_id", "toxic", "place", "value"])
 
     labelled = doc_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")  # at most ``limit`` rows
-    found = labelled.mapInArrow(run, "doc_id long, toxic int, place binary, value binary").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["place"]))
-    found = found[:limit]
+    # of rows that share a doc_id the one with the least text; rows are cut to the limit before they come to the driver
+    single = labelled.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").limit(limit)
+    found = single.mapInArrow(run, "doc_id long, toxic int, place binary, value binary").collect()
+    found.sort(key=lambda r: r["doc_id"])
     return [(np.frombuffer(r["place"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32)) for r in found], np.array([r["toxic"] for r in found], float)
 
 
