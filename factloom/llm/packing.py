@@ -1,11 +1,14 @@
 """Best-fit packing of token pieces into sequences by a configuration linear program.
 
 The histogram of piece lengths (at most ``capacity`` rows) goes to the driver. There the
-linear program "fewest sequences, each filled by one configuration of lengths, that hold
-the histogram" is solved by multiplicative weights: lengths that are short of their count gain
-price, and a knapsack dynamic program over the capacity finds the configurations of greatest
-price. The fractional solution is rounded down, and what it leaves is filled best fit first, length by
-length with multiplicities. The plan is a table of runs, (length, ranks from-to, sequence, offset), whose size
+linear program "fewest sequences, each filled by one configuration of lengths, that cover
+the histogram" is solved by multiplicative weights on the covering constraints: a length's price falls exponentially with the share of its
+count that is covered. A knapsack dynamic program over the capacity, which takes no length more often than it occurs, finds the
+configurations of greatest price. What any configuration can be worth at some prices, against what the histogram is worth, bounds every packing
+from below; ``Plan.bound`` is the best bound met. The fractional solution is rounded, fullest configurations first; the pieces left are filled best fit
+first, length by length with multiplicities. So is the whole histogram for comparison: the plan never takes more sequences.
+
+The plan is a table of runs, (length, ranks from-to, sequence, offset), whose size
 depends on the histogram alone; each piece finds its place from its rank among pieces of its length.
 
 Defined results: a null or empty text is one piece with the end id; rows with the same doc_id are packed each; an
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,8 +32,12 @@ from .common import column, doc_text, materialise, small_batches
 from .tokens import END_ID, encoded
 
 CAPACITY = 4096
-#: Rounds of multiplicative weights, and configurations taken in each.
-ROUNDS, PER_ROUND = 120, 48
+#: Rounds of multiplicative weights: as many as make WORK steps of the dynamic program, within LEAST and MOST.
+WORK, LEAST, MOST = 2_000_000, 12, 600
+#: How much of a count one configuration may cover in a round of LEAST; with more rounds less. How near the best price it must come.
+STEP, NEAR = 0.25, 0.97
+#: Shares of the solution that are rounded, tried one after another until the plan takes no more sequences than best fit alone.
+TAKEN = (0.8, 0.5, 0.2)
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -50,67 +58,126 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
     return doc_text(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _fill(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack: for each capacity the best price, and the item (0: none) to take first."""
-    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int32)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        k = upto[c]
-        if k:
-            worth = best[c - lengths[:k]] + prices[:k]
-            i = int(worth.argmax())
-            best[c], take[c] = worth[i], i + 1
-        if best[c - 1] > best[c]:
-            best[c], take[c] = best[c - 1], take[c - 1]
-    return best, take
-
-
-def _configuration(first: int, lengths: np.ndarray, take: np.ndarray, capacity: int) -> dict[int, int]:
-    """Item ``first`` and the best fill of the rest: item -> times."""
-    out = {first: 1}
-    room = capacity - int(lengths[first])
-    while room > 0 and take[room]:
-        i = int(take[room]) - 1
-        if lengths[i] > room:
+def _priced(prices: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Knapsack over lots of 1, 2, 4... pieces of a length, at most its count: best price for each room, and whether each lot is taken there."""
+    lots = []
+    for i, n in enumerate(np.minimum(counts, capacity // lengths).tolist()):
+        lot = 1
+        while n > 0:
+            lots.append((i, min(lot, n)))
+            n -= lot
+            lot *= 2
+    best, taken = np.zeros(capacity + 1), np.zeros((len(lots), capacity + 1), bool)
+    for j, (i, k) in enumerate(lots):
+        size = k * int(lengths[i])
+        if size <= capacity:
+            worth = best[: capacity + 1 - size] + k * prices[i]
+            more = taken[j, size:] = worth > best[size:]
+            best[size:][more] = worth[more]
+    return best, taken, np.array(lots, np.int64).reshape(-1, 2)
+
+
+def _configuration(first: int, room: int, lengths: np.ndarray, counts: np.ndarray, taken: np.ndarray, lots: np.ndarray) -> dict[int, int]:
+    """Item ``first`` and the best fill of ``room``, never more of an item than there are: item -> times."""
+    out, j = {first: 1}, len(lots) - 1
+    while j >= 0 and room > 0:
+        chosen = np.flatnonzero(taken[: j + 1, room])
+        if not len(chosen):
             break
-        out[i] = out.get(i, 0) + 1
-        room -= int(lengths[i])
+        j = int(chosen[-1])
+        i, k = int(lots[j, 0]), int(lots[j, 1])
+        out[i] = out.get(i, 0) + k
+        room -= k * int(lengths[i])
+        j -= 1
+    if out[first] > counts[first]:
+        out[first] -= 1
     return out
 
 
-def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> list[tuple[dict[int, int], int]]:
-    """Configurations (item -> times) and how often each is used; together they hold the histogram exactly."""
-    order = np.argsort(lengths)
-    lengths, counts = lengths[order].astype(np.int64), counts[order].astype(np.int64)
-    share, usage = np.zeros(len(lengths)), {}
-    for _ in range(rounds):
-        # the price of a length falls as its share of the count that is already held grows
-        prices = lengths / capacity * np.exp(-4.0 * np.minimum(share, 8.0))
-        _, take = _fill(prices, lengths, capacity)
-        short = np.argsort(share * 4.0 - lengths / capacity, kind="stable")[:per_round]
-        for first in short.tolist():
-            one = _configuration(first, lengths, take, capacity)
-            items, times = np.array(list(one)), np.array(list(one.values()))
-            used = max(1.0, float((counts[items] / times).min()) / 4)
+def _solve(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[dict[tuple, float], float]:
+    """Fractional use of configurations that covers every count about once, and a lower bound on the sequences of any packing."""
+    n_lots = int(np.ceil(np.log2(np.minimum(counts, capacity // lengths) + 1)).sum())
+    rounds = int(np.clip(WORK // max(n_lots * capacity // 64, 1), LEAST, MOST))
+    step = STEP * (LEAST / rounds) ** 0.5
+    covered, late, usage, bound = np.zeros(len(lengths)), np.zeros(len(lengths)), {}, 0.0
+    for r in range(rounds):
+        if r == rounds // 2:  # by now prices are near the program's; what was taken before them does not count
+            late, usage = np.zeros(len(lengths)), {}
+        prices = np.exp(-4.0 * np.minimum(covered - covered.min(), 8.0)) * lengths / capacity
+        best, taken, lots = _priced(prices, lengths, counts, capacity)
+        bound = max(bound, float((prices * counts).sum() / best[capacity]))
+        worth = prices + best[capacity - lengths]
+        near = np.maximum(worth >= NEAR * best[capacity], worth == worth.max())
+        risen = np.zeros(len(lengths))
+        # what is least covered goes first, by configurations that come near the best price
+        for first in np.flatnonzero(near)[np.argsort(covered[near], kind="stable")].tolist():
+            if risen[first] >= step:
+                continue
+            one = _configuration(first, int(capacity - lengths[first]), lengths, counts, taken, lots)
+            items, times = np.fromiter(one, np.int64), np.fromiter(one.values(), np.int64)
+            if (risen[items] >= 2 * step).any():
+                continue
+            used = float(step * (counts[items] / times).min())
             key = tuple(sorted(one.items()))
             usage[key] = usage.get(key, 0.0) + used
-            share[items] += times * used / counts[items]
-    held = np.zeros(len(lengths))
-    for key, x in usage.items():
-        for i, k in key:
-            held[i] += k * x
-    left, plan = counts.copy(), []
-    filled = lambda key: sum(int(lengths[i]) * k for i, k in key)
-    # fractional use scaled so that no length is held more often than it occurs, fullest first, rounded down
-    for key, x in sorted(usage.items(), key=lambda kv: (-filled(kv[0]), kv[0])):
-        scaled = x / max(1.0, max(held[i] / counts[i] for i, _ in key))
-        n = min(int(scaled), *(int(left[i]) // k for i, k in key))
+            risen[items] += times * used / counts[items]
+        covered += risen
+        late += risen
+    scale = max(float(np.median(late)), 1e-9)
+    return {key: x / scale for key, x in usage.items()}, bound
+
+
+@dataclass
+class Plan:
+    """Configurations (item -> times) with how often each is used, a proven lower bound on the sequences of any packing, and the share of
+    the tokens that lie in rounded configurations of the program."""
+
+    uses: list[tuple[dict[int, int], int]]
+    bound: int
+    by_program: float
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.uses)
+
+
+def _rounded(lengths: np.ndarray, left: np.ndarray, usage: dict[tuple, float], capacity: int, share: float, waste: int) -> list[tuple[dict[int, int], int]]:
+    """Configurations that go into the plan, taken out of ``left``: fullest first, ``share`` of each use rounded, at least once, until they
+    hold that share of the tokens or leave ``waste`` places empty."""
+    filled = {key: sum(int(lengths[i]) * k for i, k in key) for key in usage}
+    room, plan, so_far = int(share * (lengths * left).sum()), [], 0
+    for key in sorted(usage, key=lambda key: (-filled[key], -usage[key], key)):
+        n = min(max(1, int(share * usage[key])), *(int(left[i]) // k for i, k in key), -(-(room - so_far) // filled[key]))
+        if capacity > filled[key]:
+            n = min(n, waste // (capacity - filled[key]))
         if n > 0:
+            waste -= n * (capacity - filled[key])
             plan.append((dict(key), n))
+            so_far += n * filled[key]
             for i, k in key:
                 left[i] -= n * k
-    plan += _best_fit(lengths, left, capacity)
-    return [({int(order[i]): k for i, k in one.items()}, n) for one, n in plan]
+    return plan
+
+
+def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
+    """A plan that holds the histogram exactly."""
+    order = np.argsort(lengths)
+    lengths, counts = lengths[order].astype(np.int64), counts[order].astype(np.int64)
+    simple = _best_fit(lengths, counts.copy(), capacity)
+    plan, by_program, bound = simple, 0.0, 0.0
+    if len(lengths):
+        usage, bound = _solve(lengths, counts, capacity)
+        spare = sum(n for _, n in simple) * capacity - int((lengths * counts).sum())
+        for share in TAKEN:
+            left = counts.copy()
+            some = _rounded(lengths, left, usage, capacity, share, int(share * spare))
+            rest = _best_fit(lengths, left.copy(), capacity)
+            if sum(n for _, n in some + rest) <= sum(n for _, n in simple):
+                plan, by_program = some + rest, 1 - float((lengths * left).sum() / (lengths * counts).sum())
+                break
+    # a bound within a millionth of a whole number is that number
+    least = max(int(np.ceil(bound - 1e-6)), -(-int((lengths * counts).sum()) // capacity))
+    return Plan([({int(order[i]): k for i, k in one.items()}, n) for one, n in plan], least, by_program)
 
 
 def _best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -145,7 +212,7 @@ def placements(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY
     at ``offset + (r % times) * length``."""
     used = dict.fromkeys(range(len(lengths)), 0)
     rows, sequence = [], 0
-    for one, n in configurations(lengths, counts, capacity):
+    for one, n in configurations(lengths, counts, capacity).uses:
         offset = 0
         for i in sorted(one, key=lambda i: -lengths[i]):
             k = one[i]
