@@ -1,22 +1,22 @@
 """Line dedup by a deletion-neighbourhood join, with DataFrame functions alone.
 
 A line goes if an earlier line, in any document or its own, is within the edit bound. Edits are
-insertions, deletions and substitutions of words: lines of ``NEAR_WORDS`` words or more may differ by one
-edit, lines of ``MIN_WORDS`` or more must be equal word for word, and shorter lines stay. Case of A-Z
-and white space do not count. Earlier means a smaller doc_id, or in one document a smaller line number. Lines are
-judged on the input, not on what is left. Shorter lines that repeat an earlier line word for word do not go, but count as matched: a
-document is ``repeated`` if it has lines with words and all of them went or are matched.
+insertions, deletions and substitutions of words, and the bound is relative: one edit for every ``WORDS_PER_EDIT`` words of both lines, one at
+most. So equal lines go at every length, and lines of at least that many words also if one word differs. Case of A-Z
+and white space do not count; lines without words stay. Earlier means a smaller doc_id, or in one document a smaller line number. Lines are
+judged on the input, not on what is left. A document is ``repeated`` if it has lines with words and all of them went.
 
 Equal lines are aggregated first. Of distinct lines only those that share their first or last half with another one
 can be one edit apart; these emit every deletion of one word, and themselves, as hashed keys. Lines whose keys are equal
-are verified: two deletions must be at the same place (a substitution), or one of the keys is a whole
-line (an insertion or deletion). The earliest line of each key is an aggregate; no pairs are made.
+are candidates: two deletions at the same place (a substitution), or one of the keys a whole
+line (an insertion or deletion). The earliest line of each key is an aggregate; no pairs are made. Each line is then verified
+against the earliest one, word by word.
 
-Hashes have 64 bits; equal hashes count as equal words.
+Hashes have 64 bits; equal lines are those of equal hashes and numbers of words.
 
 Defined results: a null text stays null and has no lines to lose, an empty text stays; rows that repeat a doc_id and text
 wholly are treated alike, and of rows with one doc_id and different texts the one with the smaller text hash
-comes first; a null doc_id comes first of all; extra columns are kept and not looked at.
+comes first; a null doc_id comes first of all; extra columns, whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, split_words
 
-MIN_WORDS, NEAR_WORDS = 3, 8
+#: Words for one edit; the bound is one edit at most, which one deletion for each line covers.
+WORDS_PER_EDIT = 8
 
 
 def _words(line: Column) -> Column:
@@ -49,7 +50,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     keys = []
     for size in (n, n - 1):
         keys += [F.xxhash64(F.lit("first"), size, F.slice(w, F.lit(1), half(size))), F.xxhash64(F.lit("last"), size, F.slice(w, n - (size - half(size)) + 1, size - half(size)))]
-    halves = F.when(n >= NEAR_WORDS, F.array(*keys))
+    halves = F.when(n >= WORDS_PER_EDIT, F.array(*keys))
     return _worded(docs).select("doc_id", "text_key", "line_no", n.alias("n"), F.xxhash64(w).alias("h"), halves.alias("halves"))
 
 
@@ -59,7 +60,7 @@ def _first() -> Column:
 
 def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """n, h of distinct lines that have an earlier line one edit away. distinct: n, h, first, halves."""
-    long = distinct.where(F.col("n") >= NEAR_WORDS)
+    long = distinct.where(F.col("n") >= WORDS_PER_EDIT)
     halves = long.select("n", "h", F.explode("halves").alias("half"))
     met = materialise(halves.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("half"), "halves")
     some = materialise(long.join(halves.join(met, "half", "left_semi").select("n", "h").distinct(), ["n", "h"], "left_semi").select("n", "h", "first"), "halved")
@@ -69,7 +70,7 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").where("text is not null")
     same = keyed["doc_id"].eqNullSafe(chosen["doc_id"]) & (keyed["text_key"] == chosen["text_key"])
     split = keyed.join(chosen, same).select(F.split("text", "\n").alias("lines"), "chosen").select("lines", F.explode("chosen").alias("c"))
-    words = split.select("c.n", "c.h", "c.first", _words(F.element_at("lines", F.col("c.line_no") + 1)).alias("w"))
+    words = materialise(split.select("c.n", "c.h", "c.first", _words(F.element_at("lines", F.col("c.line_no") + 1)).alias("w")), "words")
     cut = words.select("n", "h", "first", "w", F.posexplode("w").alias("place", "word"))
     less = F.concat(F.slice("w", F.lit(1), F.col("place")), F.slice("w", F.col("place") + 2, F.col("n")))
     deleted = cut.select("h", "n", "first", "place", (F.col("n") - 1).alias("size"), F.xxhash64(less).alias("variant"))
@@ -84,12 +85,24 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     substituted = alike.where("place >= 0").join(by_place, [*key, "place"])
     shortened = alike.where("place >= 0").join(wholes, key)
     lengthened = alike.where("place = -1").join(deletions, key)
-    later = [x.where("earliest < first").select("n", "h") for x in (substituted, shortened, lengthened)]
-    return later[0].unionByName(later[1]).unionByName(later[2]).distinct()
+    later = [x.where("earliest < first").select("n", "h", "earliest") for x in (substituted, shortened, lengthened)]
+    found = later[0].unionByName(later[1]).unionByName(later[2]).distinct()
+    own = words.select("n", "h", F.col("w").alias("one"))
+    other = words.select(F.col("first").alias("earliest"), F.col("w").alias("two"))
+    return found.join(own, ["n", "h"]).join(other, "earliest").where(_one_edit(F.col("one"), F.col("two"))).select("n", "h").distinct()
+
+
+def _one_edit(a: Column, b: Column) -> Column:
+    """Whether one word's insertion, deletion or substitution, or nothing, turns one array of words into the other."""
+    changed = F.size(F.filter(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), lambda x: x)) <= 1
+    long, short = F.when(F.size(a) > F.size(b), a).otherwise(b), F.when(F.size(a) > F.size(b), b).otherwise(a)
+    without = lambda i: F.concat(F.slice(long, F.lit(1), i), F.slice(long, i + 2, F.size(long)))
+    dropped = F.exists(F.sequence(F.lit(0), F.size(short)), lambda i: without(i) == short)
+    return F.when(F.size(a) == F.size(b), changed).otherwise((F.size(long) == F.size(short) + 1) & dropped)
 
 
 def flagged_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, line_no, gone, matched (null: a line without words) for every line."""
+    """doc_id, text_key, line_no, gone (null: a line without words) for every line."""
     lines = materialise(_lines(docs), "worded")
     distinct = materialise(lines.where("n > 0").groupBy("n", "h").agg(_first().alias("first"), F.min("halves").alias("halves")), "lines")
     near = materialise(_near(docs, distinct), "near").withColumn("near", F.lit(True))
@@ -99,22 +112,23 @@ def flagged_lines(docs: DataFrame) -> DataFrame:
     marked = lines.select("doc_id", "text_key", "line_no", F.when(F.col("n") > 0, F.col("n")).otherwise(-1).alias("n"), own.alias("h")).join(known, ["n", "h"], "left")
     place = F.struct("doc_id", "text_key", "line_no")
     matched = F.col("first").isNotNull() & ((F.col("first") < place) | F.coalesce("near", F.lit(False)))
-    return marked.select("doc_id", "text_key", "line_no", (matched & (F.col("n") >= MIN_WORDS)).alias("gone"), F.when(F.col("n") > 0, matched).alias("matched"))
+    return marked.select("doc_id", "text_key", "line_no", F.when(F.col("n") > 0, matched).alias("gone"))
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """row (a struct of the document's columns as they were), text (the lines left), n_lines, n_removed and repeated for every document."""
+    flags = flagged_lines(docs).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("line_no", "gone"))).alias("flags"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row")).withColumn("key", F.xxhash64("row.text"))
+    joined = keyed.join(flags, keyed["row.doc_id"].eqNullSafe(flags["doc_id"]) & (keyed["key"] == flags["text_key"]), "left")
+    gone = lambda flag: F.coalesce(flag["gone"], F.lit(False))
+    kept = F.filter(F.zip_with(F.split("row.text", "\n"), "flags", lambda line, flag: F.when(~gone(flag), line)), lambda line: line.isNotNull())
+    text = F.when(F.col("flags").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    count = lambda x: F.when(F.col("flags").isNull(), 0).otherwise(F.size(x)).cast("long")
+    removed = count(F.filter("flags", gone))
+    left = F.coalesce(F.exists("flags", lambda flag: F.coalesce(~flag["gone"], F.lit(False))), F.lit(False))
+    return joined.select("row", text.alias("text"), count(F.col("flags")).alias("n_lines"), removed.alias("n_removed"), ((removed > 0) & ~left).alias("repeated"))
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """Every document with the lines left in ``text``, and n_lines, n_removed and repeated; the other columns as they were."""
-    flags = flagged_lines(docs).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("line_no", "gone", "matched"))).alias("flags"))
-    keyed = docs.withColumn("line_dedup_key", F.xxhash64("text"))
-    flags = flags.select(F.col("doc_id").alias("line_dedup_doc"), F.col("text_key").alias("line_dedup_text"), "flags").withColumnRenamed("flags", "line_dedup_flags")
-    same = keyed["doc_id"].eqNullSafe(flags["line_dedup_doc"]) & (keyed["line_dedup_key"] == flags["line_dedup_text"])
-    joined = keyed.join(flags, same, "left")
-    kept = F.filter(F.zip_with(F.split("text", "\n"), "line_dedup_flags", lambda line, flag: F.when(~flag["gone"], line)), lambda line: line.isNotNull())
-    gone = F.size(F.filter("line_dedup_flags", lambda flag: flag["gone"]))
-    text = F.when(F.col("line_dedup_flags").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n = F.coalesce(F.size("line_dedup_flags"), F.lit(0))
-    count = lambda x: F.when(F.col("line_dedup_flags").isNull(), 0).otherwise(x).cast("long")
-    some = lambda x: F.coalesce(F.exists("line_dedup_flags", lambda flag: F.coalesce(x(flag["matched"]), F.lit(False))), F.lit(False))
-    repeated = some(lambda matched: matched) & ~some(lambda matched: ~matched)
-    others = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed", "repeated")]
-    return joined.select(*others, text.alias("text"), count(n).alias("n_lines"), count(gone).alias("n_removed"), repeated.alias("repeated"))
+    """Every document with the lines left in ``text``; the other columns as they were."""
+    return dedup_lines(docs).select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

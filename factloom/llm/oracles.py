@@ -45,12 +45,12 @@ SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id F
 LINES = f"""
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 line AS (SELECT doc_id, i, l[i] AS raw, regexp_extract_all(translate(l[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_SPACED_WORD}) AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM split)),
-dist AS (SELECT array_to_string(w, ' ') AS k, any_value(w) AS w, any_value(len(w)) AS n, min((doc_id, i)) AS f FROM line WHERE len(w) >= 3 GROUP BY 1),
+dist AS (SELECT array_to_string(w, ' ') AS k, any_value(w) AS w, any_value(len(w)) AS n, min((doc_id, i)) AS f FROM line WHERE len(w) >= 1 GROUP BY 1),
 cut AS (SELECT k, n, f, p, array_to_string(list_concat(w[1:p - 1], w[p + 1:]), ' ') AS v FROM (SELECT k, w, n, f, unnest(range(1, n + 1)) AS p FROM dist WHERE n >= 8)),
 sub AS (SELECT p, v, min(f) AS e FROM cut GROUP BY ALL),
 near AS (SELECT k FROM cut JOIN sub USING (p, v) WHERE e < f UNION SELECT cut.k FROM cut JOIN dist ON dist.k = cut.v AND dist.n = cut.n - 1 WHERE dist.n >= 8 AND dist.f < cut.f
   UNION SELECT dist.k FROM cut JOIN dist ON dist.k = cut.v AND dist.n = cut.n - 1 WHERE dist.n >= 8 AND cut.f < dist.f),
-marked AS (SELECT doc_id, i, raw, coalesce(f < (doc_id, i), false) OR near.k IS NOT NULL AS gone FROM line LEFT JOIN dist ON len(line.w) >= 3 AND dist.k = array_to_string(line.w, ' ') LEFT JOIN near ON near.k = dist.k),
+marked AS (SELECT doc_id, i, raw, coalesce(f < (doc_id, i), false) OR near.k IS NOT NULL AS gone FROM line LEFT JOIN dist ON len(line.w) >= 1 AND dist.k = array_to_string(line.w, ' ') LEFT JOIN near ON near.k = dist.k),
 kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT gone), '') AS t FROM marked GROUP BY doc_id)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN text IS NOT NULL THEN sha256(t) END AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)"""
 

@@ -105,9 +105,9 @@ def lines(docs: dict) -> dict:
         own, kept = docs[k].split("\n"), []
         for line in own:
             w = SPACED.findall(low(line))
-            if len(w) < 3 or not any(_near(w, x) for x in before):
+            if not w or not any(_near(w, x) for x in before):
                 kept.append(line)
-            if len(w) >= 3:
+            if w:
                 before.append(w)
         out[k] = (len(own), len(own) - len(kept), "\n".join(kept))
     return out

@@ -165,6 +165,13 @@ def test_op4_places_every_piece_once(spark):
     sequences = check_packing(rows, 300)
     total = sum(r.length for r in rows)
     assert sequences <= -(-total // 300) + 2
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(queries.tokenizer_path())
+    for doc, text in docs.items():
+        ids = [*whole.encode(text or "", add_special_tokens=False).ids, 1]
+        want = {(at // 300, at, len(ids[at : at + 300]), zlib.crc32(np.array(ids[at : at + 300], "<u4").tobytes())) for at in range(0, len(ids), 300)}
+        assert {(r.piece, r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == doc} == want
     pieces = sorted((r.piece, r.start, r.length) for r in rows if r.doc_id == 52)
     assert [p[0] for p in pieces] == list(range(len(pieces))) and all(p[2] == 300 for p in pieces[:-1])
     assert packing.pack(table(spark, []), queries.tokenizer_path()).count() == 0
@@ -181,6 +188,9 @@ def test_op4_configurations_hold_the_histogram(seed):
         assert own.rank_from.iloc[0] == 0 and own.rank_to.iloc[-1] == k and (own.rank_from.iloc[1:].to_numpy() == own.rank_to.iloc[:-1].to_numpy()).all()
     used = (plan.sequence + (plan.rank_to - plan.rank_from) // plan.times).max()
     assert used <= fewest(lengths, counts, 100) * 1.04 + 2
+    found = packing.configurations(lengths, counts, 100)
+    alone = sum(n for _, n in packing._best_fit(lengths.astype(np.int64), counts.astype(np.int64), 100))
+    assert found.sequences == used <= alone and found.bound <= used and 0.2 < found.by_program <= 1
 
 
 def fewest(lengths, counts, capacity):
@@ -206,6 +216,31 @@ def test_op5_against_brute_force(spark):
         assert got == brute.substring(docs, size)
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_regular_texts_are_not_taken_for_each_other(spark, tmp_path, n):
+    from tokenizers import Tokenizer
+
+    one, other = thue_morse(n)
+    docs = {1: one, 2: other, 3: " ".join(one), 4: " ".join(other), 5: " ".join(["x"] * 30 + [one] + ["x"] * 30), 6: " ".join(["x"] * 30 + [other] + ["x"] * 30)}
+    path = queries.tokenizer_path()
+    whole = Tokenizer.from_file(path)
+    want = {k: [*whole.encode(t, add_special_tokens=False).ids, 1] for k, t in docs.items()}
+    tokens.write_token_files(table(spark, docs), f"file://{tmp_path}/t", path)
+    assert {r.doc_id: list(r.ids) for r in tokens.read_tokens(spark, f"file://{tmp_path}/t").collect()} == want
+    packed = packing.pack(table(spark, docs), path).collect()
+    assert {(r.doc_id, r.start): r.ids_crc32 for r in packed} == {(k, a): zlib.crc32(np.array(ids[a : a + 4096], "<u4").tobytes()) for k, ids in want.items() for a in range(0, len(ids), 4096)}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(table(spark, docs)).collect()}
+    assert got == brute.substring(docs, 50)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table(spark, docs)).collect()} == brute.jaccard(docs)
+
+
 def test_op5_repeated_and_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(60))
     got = substring.remove_repeats(table(spark, [(1, text), (1, text), (None, text), (2, text)])).select("doc_id", "n_removed").collect()
@@ -285,6 +320,37 @@ def test_op7_learns_a_pair_and_keeps_clean(spark):
     assert [r.predicted for r in none] == [0] * 5
 
 
+def test_op7_pairs_decide_where_single_words_tell_nothing():
+    draw = np.random.default_rng(1)
+    rows, labels = [], []
+    for i in range(3000):
+        own = draw.integers(10, 210, 30)
+        if i & 1:
+            own[0] = 0
+        if i & 2:
+            own[1] = 1
+        place, times = np.unique(own, return_counts=True)
+        rows.append((place, (np.log1p(1000.0 * times / 30) / 4).astype(np.float32)))
+        labels.append(float((i & 3) in (1, 2)))
+    labels = np.array(labels)
+
+    def accuracy(pairs):
+        machine = toxicity.fit(rows[:2250], labels[:2250], pairs=pairs)
+        test = rows[2250:]
+        text = np.repeat(np.arange(len(test)), [len(p) for p, _ in test])
+        scores = machine.score(text, np.concatenate([p for p, _ in test]), np.concatenate([x for _, x in test]), len(test))
+        return ((scores >= 0.5) == labels[2250:]).mean()
+
+    assert accuracy(True) >= 0.9 and accuracy(False) <= 0.6
+
+
+def test_op7_empty_documents_and_one_id_with_many_rows(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert toxicity.score(table(spark, []), labels).count() == 0
+    many = [(i, "bad words here" if i % 2 else "good words there") for i in range(40)] + [(3, f"bad {i}") for i in range(300)]
+    assert toxicity.score(table(spark, many), labels, limit=20).count() == 340
+
+
 def test_op7_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     scored = queries.op7_toxicity(spark, d).join(queries.table(spark, d, "labels"), "doc_id").where("held_out").collect()
@@ -301,6 +367,23 @@ def test_op8_against_brute_force(spark, monkeypatch, rows):
     assert got == brute.jaccard(docs)
 
 
+def test_op8_a_chain_without_links_costs_its_candidates(spark, monkeypatch):
+    # each document shares some rare shingles with the next one only, never enough for a link
+    n, made = 1000, []
+    docs = [(i, " ".join([f"c{i}q{k}" for k in range(24)] + [f"own{i}q{k}" for k in range(7)] + [f"c{i + 1}q{k}" for k in range(24)])) for i in range(n)]
+    products = jaccard._products
+    monkeypatch.setattr(jaccard, "_products", lambda pairs, members, percent: made.append(pairs.count()) or products(pairs, members, percent))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(table(spark, docs)).collect()}
+    assert got == {i: i for i, _ in docs} and sum(made) <= 2 * n
+
+
+def test_op8_one_id_with_different_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (5, a + " z"), (5, b + " z"), (7, b), (9, c)]
+    got = {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(table(spark, rows)).collect()}
+    assert got == {(1, 1), (5, 1), (7, 1), (9, 9)}
+
+
 def test_op8_repeated_null_and_empty(spark):
     got = jaccard.jaccard_components(table(spark, [(3, "a b"), (3, "a b"), (7, "A b"), (None, "q r s"), (9, None)])).collect()
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in got if r.doc_id) == [(3, 1, 3), (3, 1, 3), (7, 1, 3), (9, 0, 9)]
@@ -338,15 +421,26 @@ def test_op9_against_brute_force(spark):
                 w[at : at + 1] = draw.choice([[], ["z"], [w[at], "y"]]) or (["q"] if len(w) == 1 else [])
             own.append(draw.choice([" ", "  "]).join(w).upper() if draw.random() < 0.2 else " ".join(w))
         docs[i] = "\n".join(own)
-    out = lines.drop_repeated_lines(table(spark, docs))
-    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in out.collect()} == brute.lines(docs)
-    assert set(SCHEMA.replace(",", "").split()[::2]) <= set(out.columns)
+    given = table(spark, docs).withColumns({"n_lines": F.lit("a"), "n_removed": F.lit("b"), "repeated": F.lit("c"), "flags": F.lit(1), "key": F.lit(2)})
+    want = brute.lines(docs)
+    out = lines.dedup_lines(given)
+    assert {r.row.doc_id: (r.n_lines, r.n_removed, r.text) for r in out.collect()} == want
+    left = lines.drop_repeated_lines(given)
+    assert left.columns == given.columns and left.schema["n_removed"].dataType.simpleString() == "string"
+    assert {r.doc_id: (r.text, r.n_removed, r.repeated) for r in left.collect()} == {k: (t, "b", "c") for k, (_, _, t) in want.items()}
+
+
+def test_op9_short_lines_and_one_edit(spark):
+    eight = "a b c d e f g h"
+    rows = {1: f"Yes\n\nno no\n{eight}\na b c d e f g", 2: f"YES\n \nno  no\nno\n{eight} i\na b c d e f x h", 3: "a b c d e f y", 4: "a b x d e f y h"}
+    got = {r.row.doc_id: (r.text, r.repeated) for r in lines.dedup_lines(table(spark, rows)).collect()}
+    assert got == {1: (rows[1], False), 2: ("\n \nno"[1:], False), 3: (rows[3], False), 4: (rows[4], False)}
 
 
 def test_op9_repeated_rows_and_empty(spark):
     text = "one two three four\nx"
-    got = lines.drop_repeated_lines(table(spark, [(1, text), (1, text), (2, text), (None, "y")])).collect()
-    assert sorted((r.doc_id or 0, r.n_removed, r.text) for r in got) == [(0, 0, "y"), (1, 0, text), (1, 0, text), (2, 1, "x")]
+    got = lines.dedup_lines(table(spark, [(1, text), (1, text), (2, text), (None, "y"), (3, "x\nz"), (3, "y\nw")])).collect()
+    assert sorted((r.row.doc_id or 0, r.n_removed, r.text, r.repeated) for r in got) == [(0, 0, "y", False), (1, 0, text, False), (1, 0, text, False), (2, 2, "", True), (3, 1, "w", False), (3, 1, "z", False)]
     assert lines.drop_repeated_lines(table(spark, [])).count() == 0
 
 

@@ -75,5 +75,14 @@ def test_a_copy_does_not_survive_as_its_short_lines(spark, tables):
     folder, docs = tables
     body = "\n".join(f"line {i} of a longer text that stands {i} times here" for i in range(3))
     rows = {1: f"{body}\nThe end\n", 2: f"{body}\nthe  END\n", 3: f"{body}\nNot yet\n\n", 4: "The end\nNot yet", 5: f"{body}\n \n", 6: None, 7: "", 8: "\n"}
-    left = corpus_pipeline.line_dedup(spark, table(spark, rows), folder)
-    assert {r.doc_id: r.text for r in left.collect()} == {1: rows[1], 3: "Not yet\n\n", 6: None, 7: "", 8: "\n"}
+    given = table(spark, rows).withColumns({"n_removed": F.lit("mine"), "verdict_doc": F.lit(1)})
+    left = corpus_pipeline.line_dedup(spark, given, folder)
+    assert left.schema == given.schema
+    assert {r.doc_id: (r.text, r.n_removed) for r in left.collect()} == {1: (rows[1], "mine"), 3: ("Not yet\n\n", "mine"), 6: (None, "mine"), 7: ("", "mine"), 8: ("\n", "mine")}
+
+
+def test_rows_with_one_id_and_different_texts_stay(spark, tables):
+    folder, docs = tables
+    rows = [(1, docs[30]), (1, docs[31]), (1, docs[30]), (2, docs[30]), (None, "x"), (None, "x")]
+    left = corpus_pipeline.near_duplicates(spark, table(spark, rows), folder)
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(0, "x"), (0, "x"), (1, docs[30]), (1, docs[31])])
