@@ -5,9 +5,10 @@ a DataFrame; ``run`` writes each stage's result as Parquet to the shared folder
 the next. All stages but the last return the columns of documents.
 
 Defined results: documents with null or empty texts fail the quality rules; a document goes when all its lines that
-hold a word repeat earlier ones, be they long enough to be removed or not; of documents linked as near duplicates the smallest doc_id stays; contaminated documents
+hold a word repeat earlier ones; of documents linked as near duplicates the smallest doc_id stays; contaminated documents
 go; an empty table passes through every stage; repeated rows are treated alike by every stage but near
-duplicates, where one of them stays.
+duplicates, where of rows with one doc_id and one text that with the smallest other columns stays. Rows that share a doc_id with
+different texts are one document there, and each of its texts stays or none; rows without a doc_id stay.
 """
 
 from __future__ import annotations
@@ -32,18 +33,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = lines.drop_repeated_lines(docs).where("not repeated")
-    sized = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else done
-    return sized.select(*docs.columns)
+    done = lines.dedup_lines(docs).where("not repeated")
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return done.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+def _one_each(docs: DataFrame) -> DataFrame:
+    """One row for each doc_id and text: the smallest of the other columns, where they have an order."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    if not others:
+        return docs.distinct()
+    ordered = "map<" not in docs.select(*others).schema.simpleString() and "variant" not in docs.select(*others).schema.simpleString()
+    first = (F.min if ordered else F.any_value)(F.struct(*others))
+    once = docs.groupBy("doc_id", "text").agg(first.alias("others"))
+    return once.select(*[F.col(c) if c in ("doc_id", "text") else F.col("others").getField(c).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard.jaccard_components(docs)
     heads = found.where("component_id = doc_id").select(F.col("doc_id").alias("head")).distinct()
     known = docs.join(heads, docs["doc_id"] == heads["head"], "left_semi")
-    # rows that repeat a doc_id are one document; rows without one stay
-    once = known.dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id is null"))
+    return _one_each(known).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
