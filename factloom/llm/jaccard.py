@@ -6,12 +6,12 @@
    documents of each shingle and keeps what at least two share.
 3. Size bounds: a partner at similarity t holds at least t * n of a document's n shingles, so documents that share fewer
    than that with all others together go, and two partners share one of each one's n - ceil(t * n) + 1 rarest
-   shingles. Documents that have such a shingle in common, with sizes within t, form a group.
-4. Products. In each group one document, the hub, is held against those that are not linked with it yet: overlaps
+   shingles. Documents that have such a shingle in common form a group.
+4. Products. In each group one document, the hub, is held against those that are not linked with it yet and whose size and place allow it: overlaps
    accumulate over slices of the hub's columns, and a pair goes as soon as what is left cannot lift it to its bound. What is
-   linked becomes one component, and after ``HUBS`` such rounds only pairs of different components are left in the groups. These
-   are collected once each, in tiles of bounded size, and multiplied as well. So the work grows with the candidates: copies by the
-   thousand cost one product each, and no group is joined with another before a link is proven.
+   linked becomes one component, and after ``HUBS`` such rounds only pairs of different components are left in the groups. Small groups
+   list these, and each is multiplied once; large groups are multiplied in tiles of two row blocks, where they lie. So the work grows with the
+   candidates: copies by the thousand cost some products each, and no group is joined with another before a link is proven.
 
 Hashes have 64 bits; equal hashes count as equal shingles, two of them as equal sets.
 
@@ -33,8 +33,10 @@ from .common import column, doc_text, materialise, mix, small_batches, text_chun
 from .graph import components
 
 SHINGLE, PERCENT = 5, 80
-#: Incidences in a column block, documents in a row block, columns of a slice, rounds of hubs.
-BLOCK_CELLS, BLOCK_ROWS, SLICE, HUBS = 1 << 21, 256, 2048, 2
+#: Incidences in a column block, documents in a row block, columns of a slice, rounds of hubs, hubs that a document is held against in a round.
+BLOCK_CELLS, BLOCK_ROWS, SLICE, HUBS, TRIED = 1 << 21, 256, 2048, 2, 4
+#: Documents of a group whose pairs are listed; larger groups are multiplied in tiles.
+SMALL = 48
 #: Sets of one task that are remembered, so that a copy in the same task adds no incidence.
 SEEN = 1 << 18
 
@@ -129,7 +131,7 @@ def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
 
 
 def _shared(buckets: int) -> Callable[[pa.Table], pa.Table]:
-    """Of one column block: each document's shingles that others have too, with the number of documents, dealt by document."""
+    """Of one column block: each document's shingles that others have too, with the number of documents, dealt by label, so that equal sets meet."""
 
     def run(table: pa.Table) -> pa.Table:
         hashes, ids = _joined(table, "hashes", np.uint64), _joined(table, "ids", np.int64)
@@ -142,7 +144,7 @@ def _shared(buckets: int) -> Callable[[pa.Table], pa.Table]:
         df = np.empty(len(hashes), np.uint32)
         df[order] = np.repeat(times, times)
         kept = np.flatnonzero(df > 1)
-        bucket = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        bucket = (mix(labels.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
         kept = kept[np.lexsort((cell[kept], bucket[cell[kept]]))]
         cell = cell[kept]
         edge = np.flatnonzero(np.diff(cell, prepend=-1))
@@ -165,13 +167,13 @@ def _shared(buckets: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def _sharing(percent: int) -> Callable[[pa.Table], pa.Table]:
-    """Of one bucket of documents: doc_id, label and all shared shingles of those that share enough of their n."""
+    """Of one bucket of documents: doc_id, label and all shared shingles of those that share enough of their n, once for equal sets."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, labels = _joined(table, "ids", np.int64), _joined(table, "labels", np.int64)
         pairs = _joined(table, "pairs", _PAIR)
         cell = np.repeat(np.arange(len(ids)), _joined(table, "counts", np.uint32))
-        order = np.lexsort((pairs["h"], labels[cell], ids[cell]))
+        order = np.lexsort((pairs["h"], ids[cell], labels[cell]))
         cell = cell[order]
         owner_id, owner_label, h = ids[cell], labels[cell], pairs["h"][order]
         same = np.zeros(len(cell), bool)
@@ -182,6 +184,13 @@ def _sharing(percent: int) -> Callable[[pa.Table], pa.Table]:
         edge = np.append(np.flatnonzero(~same), len(cell))
         owner, shared = cell[edge[:-1]], np.diff(edge)
         good = np.flatnonzero(shared * 100 >= (labels[owner] >> 32) * percent)
+        h = pairs["h"][order]
+        once, known = [], {}
+        for i in good.tolist():  # of equal sets the smallest doc_id, which comes first
+            key = (int(labels[owner[i]]), h[edge[i] : edge[i + 1]].tobytes()) if shared[i] == labels[owner[i]] >> 32 else None
+            if key is None or known.setdefault(key, i) == i:
+                once.append(i)
+        good = np.array(once, np.int64)
         kept = np.repeat(good, shared[good])
         at = edge[kept] + np.arange(len(kept)) - np.repeat(np.cumsum(shared[good]) - shared[good], shared[good])
         edges = np.concatenate([[0], np.cumsum(shared[good])])
@@ -191,10 +200,7 @@ def _sharing(percent: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def _rarest(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each document's shared shingles among its n - ceil(t * n) + 1 rarest, and their places among all by rarity; what it has alone comes first.
-
-    Sizes within t are of one class or of two neighbouring ones; each document is of the groups of its class and of the next.
-    """
+    """Each document's shared shingles among its n - ceil(t * n) + 1 rarest, and their places among all by rarity; what it has alone comes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,10 +211,8 @@ def _rarest(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 length = n - -(-n * percent // 100) + 1 - alone
                 if length > 0:
                     pick = np.lexsort((pairs["h"], pairs["d"]))[:length]
-                    size_class = int(np.log(n) / np.log(100 / percent) + 1e-9)
                     k = len(pick)
-                    for c in (size_class, size_class + 1):
-                        out.append((mix(pairs["h"][pick] + np.uint64(c)).view(np.int64), np.full(k, doc), np.full(k, label), (alone + np.arange(k)).astype(np.int32)))
+                    out.append((pairs["h"][pick].view(np.int64), np.full(k, doc), np.full(k, label), (alone + np.arange(k)).astype(np.int32)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["meet", "doc_id", "label", "place"])
 
@@ -289,23 +293,15 @@ def _products(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def _crossing(percent: int) -> Callable[[pa.Table], pa.Table]:
-    """Pairs of different components in one tile of a group, or in some whole groups."""
+    """Pairs of different components within each group of the task; groups have at most ``SMALL`` documents."""
 
     def run(table: pa.Table) -> pa.Table:
-        names = ("meet", "x", "y", "block", "doc_id", "label", "place", "component")
-        meet, x, y, block, ids, labels, place, component = (table.column(c).to_numpy() for c in names)
-        order = np.lexsort((block, y, x, meet))
-        new = np.flatnonzero(np.any([np.diff(v[order]) != 0 for v in (meet, x, y)], axis=0)) + 1
+        meet, ids, labels, place, component = (table.column(c).to_numpy() for c in ("meet", "doc_id", "label", "place", "component"))
+        order = np.argsort(meet, kind="stable")
         out = [[np.zeros(0, np.int64)] for _ in range(4)]
-        for rows in np.split(order, new) if len(order) else []:
-            left, right = rows[block[rows] == x[rows[0]]], rows[block[rows] == y[rows[0]]]
-            m, n = (labels[left] >> 32)[:, None], (labels[right] >> 32)[None, :]
-            rest = np.minimum(m - place[left][:, None], n - place[right][None, :])
-            good = (component[left][:, None] != component[right][None, :]) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & ((100 + percent) * rest >= percent * (m + n))
-            if x[rows[0]] == y[rows[0]]:
-                good &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
-            i, j = np.nonzero(good)
-            i, j = left[i], right[j]
+        for rows in np.split(order, np.flatnonzero(np.diff(meet[order])) + 1) if len(order) else []:
+            i, j = np.nonzero(np.triu(_allowed(rows, rows, labels, place, component, percent), 1))
+            i, j = rows[i], rows[j]
             swap = (ids[j] < ids[i]) | ((ids[j] == ids[i]) & (labels[j] < labels[i]))
             i, j = np.where(swap, j, i), np.where(swap, i, j)
             for kept, values in zip(out, (ids[i], labels[i], ids[j], labels[j]), strict=True):
@@ -316,47 +312,141 @@ def _crossing(percent: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _candidates(open_: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (hub_doc, hub_label, doc_id, label) of different components that meet in a group. open_: meet, doc_id, label, place, component."""
+def _allowed(left: np.ndarray, right: np.ndarray, labels: np.ndarray, place: np.ndarray, component: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows are of different components and within the bounds of ``_within``."""
+    m, n = (labels[left] >> 32)[:, None], (labels[right] >> 32)[None, :]
+    rest = np.minimum(m - place[left][:, None], n - place[right][None, :])
+    sizes = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & ((100 + percent) * rest >= percent * (m + n))
+    return sizes & (component[left][:, None] != component[right][None, :])
+
+
+def _tile(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Overlaps of two row blocks: what both have is counted slice by slice of the columns they share."""
+    one, other = np.concatenate(left), np.concatenate(right)
+    columns = np.intersect1d(one, other)
+    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    cells = []
+    for row, values in zip(rows, (one, other), strict=True):
+        at = np.searchsorted(columns, values)
+        inside = np.flatnonzero(columns[np.minimum(at, len(columns) - 1)] == values) if len(columns) else np.zeros(0, np.int64)
+        inside = inside[np.argsort(at[inside], kind="stable")]
+        cells.append((row[inside], at[inside]))
+    overlap = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, len(columns), SLICE):
+        parts = []
+        for n, (row, at) in zip((len(left), len(right)), cells, strict=True):
+            a, b = np.searchsorted(at, [start, start + SLICE])
+            part = np.zeros((n, min(SLICE, len(columns) - start)), np.float32)
+            part[row[a:b], at[a:b] - start] = 1
+            parts.append(part)
+        overlap += parts[0] @ parts[1].T
+    return overlap.astype(np.int64)
+
+
+def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest edges with the same components as the edges (a, b): each node with the smallest one it reaches."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, x, label[y])
+        np.minimum.at(low, y, label[x])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _tiled(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Edges (a, b) between the components of what is linked in the task's tiles of groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names = ("meet", "x", "y", "block", "label", "place", "component")
+        meet, x, y, block, labels, place, component = (table.column(c).to_numpy() for c in names)
+        pairs, a, b = table.column("pairs"), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        order = np.lexsort((y, x, meet))
+        new = np.flatnonzero(np.any([np.diff(v[order]) != 0 for v in (meet, x, y)], axis=0)) + 1
+        for rows in np.split(order, new) if len(order) else []:
+            left, right = rows[block[rows] == x[rows[0]]], rows[block[rows] == y[rows[0]]]
+            good = _allowed(left, right, labels, place, component, percent) if len(left) and len(right) else np.zeros((0, 0), bool)
+            left, right, good = left[good.any(axis=1)], right[good.any(axis=0)], good[good.any(axis=1)][:, good.any(axis=0)]
+            if good.any():
+                sets = [[np.frombuffer(pairs[int(i)].as_py(), _PAIR)["h"] for i in side] for side in (left, right)]
+                overlap = _tile(*sets)
+                union = (labels[left] >> 32)[:, None] + (labels[right] >> 32)[None, :] - overlap
+                i, j = np.nonzero(good & (100 * overlap >= percent * union))
+                for kept, values in zip((a, b), _spanning(component[left[i]], component[right[j]]), strict=True):
+                    kept.append(values)
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
+
+
+def _rest(open_: DataFrame, members: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
+    """Edges (a, b) of all that is linked across components in groups. open_: meet, doc_id, label, place, component.
+
+    Small groups give their pairs, at most ``SMALL`` for each of their rows, once each; large ones are multiplied tile by tile where they lie.
+    """
     parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = materialise(open_.groupBy("meet").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "groups")
-    bins = max(parts * 8, (sizes.agg(F.sum("blocks")).first()[0] or 0) // 64)
-    rows = open_.join(sizes, "meet").withColumn("block", F.pmod(F.xxhash64("doc_id", "label"), F.col("blocks")).cast("int"))
-    other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = other.select("meet", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "label", "place", "component")
-    binned = tiles.withColumn("bin", F.pmod(F.xxhash64("meet", "x", "y"), F.lit(bins)))
-    return binned.groupBy("bin").applyInArrow(_crossing(percent), "hub_doc long, hub_label long, doc_id long, label long").distinct()
+    sizes = materialise(open_.groupBy("meet").agg(F.count("*").alias("g")).withColumn("blocks", F.ceil(F.col("g") / BLOCK_ROWS).cast("int")), "groups")
+    rows = open_.join(sizes, "meet")
+    small = rows.where(F.col("g") <= SMALL).drop("g", "blocks")
+    n_rows = sizes.where(F.col("g") <= SMALL).agg(F.sum("g")).first()[0] or 0
+    binned = small.withColumn("bin", F.pmod(F.xxhash64("meet"), F.lit(max(parts * 8, n_rows // 4096))))
+    pairs = binned.groupBy("bin").applyInArrow(_crossing(percent), "hub_doc long, hub_label long, doc_id long, label long").distinct()
+    pair = ["hub_doc", "hub_label", "doc_id", "label"]
+    if tested is not None:
+        turned = tested.select(*[F.col(c).alias(n) for c, n in zip(pair, [*pair[2:], *pair[:2]], strict=True)])
+        pairs = pairs.join(tested.unionByName(turned), pair, "left_anti")
+    found = _products(materialise(pairs, "pairs"), members, percent)
+    if sizes.where(F.col("g") > SMALL).isEmpty():
+        return found
+    large = rows.where(F.col("g") > SMALL).withColumn("block", F.pmod(F.xxhash64("doc_id", "label"), F.col("blocks")).cast("int"))
+    other = large.join(members, ["doc_id", "label"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = other.select("meet", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "label", "place", "component", "pairs")
+    n_tiles = sizes.where(F.col("g") > SMALL).agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0] or 0
+    dealt = tiles.withColumn("bin", F.pmod(F.xxhash64("meet", "x", "y"), F.lit(max(parts * 8, int(n_tiles)))))
+    return found.unionByName(materialise(dealt.groupBy("bin").applyInArrow(_tiled(percent), "a long, b long"), "links"))
 
 
 def _links(members: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) over doc_ids, enough to connect all that is linked. rare: meet, doc_id, label, place."""
-    links, tested = None, None
-    open_ = rare.withColumn("component", F.col("doc_id"))
+    links, tested, open_, named = None, None, rare, None
     pair = ["hub_doc", "hub_label", "doc_id", "label"]
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for turn in range(HUBS + 1):
+        rows = open_.withColumn("component", F.col("doc_id"))
+        if named is not None:
+            rows = open_.join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        # dealt once, for the hubs and for their groups
+        rows = rows.repartition(parts, "meet")
         hub = F.min(F.struct(F.xxhash64("doc_id", "label", F.lit(turn)).alias("order"), "doc_id", "label", "place", "component")).alias("hub")
-        groups = materialise(open_.groupBy("meet").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), hub).where("lo <> hi").select("meet", "hub"), "groups")
+        groups = rows.groupBy("meet").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), hub).where("lo <> hi").select("meet", "hub")
         # only groups that hold more than one component are looked at again
-        open_ = materialise(open_.join(groups.select("meet"), "meet", "left_semi"), "open")
+        open_ = materialise(rows.join(groups, "meet"), "open")
         if open_.isEmpty():
             break
         if turn < HUBS:
-            met = open_.join(groups, "meet").select("doc_id", "label", "place", "component", F.col("hub.doc_id").alias("hub_doc"), F.col("hub.label").alias("hub_label"), F.col("hub.place").alias("hub_place"), F.col("hub.component").alias("hub_component"), "hub.order")
+            met = open_.select("doc_id", "label", "place", "component", F.col("hub.doc_id").alias("hub_doc"), F.col("hub.label").alias("hub_label"), F.col("hub.place").alias("hub_place"), F.col("hub.component").alias("hub_component"), "hub.order")
             near = met.where("component <> hub_component").where(_within(percent, "label", "hub_label", "place", "hub_place"))
-            first = near.groupBy("doc_id", "label").agg(F.min(F.struct("order", "hub_doc", "hub_label")).alias("h"))
-            found = first.select("h.hub_doc", "h.hub_label", "doc_id", "label")
+            some = near.groupBy("doc_id", "label").agg(F.slice(F.array_sort(F.collect_set(F.struct("order", "hub_doc", "hub_label"))), 1, TRIED).alias("hubs"))
+            found = some.select(F.explode("hubs").alias("h"), "doc_id", "label").select("h.hub_doc", "h.hub_label", "doc_id", "label")
         else:
-            found = _candidates(open_, percent)
+            some = _rest(open_.drop("hub"), members, tested, percent)
+            return some if links is None else links.unionByName(some)
         if tested is not None:
             turned = tested.select(*[F.col(c).alias(n) for c, n in zip(pair, [*pair[2:], *pair[:2]], strict=True)])
             found = found.join(tested.unionByName(turned), pair, "left_anti")
         found = materialise(found, "pairs")
-        some = _products(found, members, percent)
-        tested = found if tested is None else tested.unionByName(found)
-        links = some if links is None else links.unionByName(some)
-        if turn < HUBS:
+        if not found.isEmpty():
+            some = _products(found, members, percent)
+            tested = found if tested is None else tested.unionByName(found)
+            links = some if links is None else links.unionByName(some)
+        if links is not None:
             named = components(links)
-            open_ = open_.drop("component").join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        open_ = open_.select("meet", "doc_id", "label", "place")
     return links if links is not None else members.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
 
 

@@ -362,6 +362,7 @@ def test_op7_held_out_accuracy(spark):
 def test_op8_against_brute_force(spark, monkeypatch, rows):
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", rows)
     monkeypatch.setattr(jaccard, "BLOCK_CELLS", 3000)
+    monkeypatch.setattr(jaccard, "SMALL", 48 if rows > 4 else 3)
     docs = corpus()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table(spark, docs)).collect()}
     assert got == brute.jaccard(docs)
