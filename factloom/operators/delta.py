@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import glob_regex
@@ -21,24 +21,33 @@ def symmetric_difference(left: DataFrame, right: DataFrame, key: str, names: tup
     return op.select(key, F.when(F.col("op") == "removed", names[0]).otherwise(names[1]).alias("side"))
 
 
+def _below(path: Column, scope: str) -> Column:
+    scope = scope.rstrip("/")
+    return F.lit(True) if not scope else (path == scope) | path.startswith(f"{scope}/")
+
+
 def missing_companions(delta: DataFrame, obligations: list[dict], changed: DataFrame) -> DataFrame:
     """obligation, requirement of every obligation that the delta fires and whose companion did not change.
 
-    obligations: dicts with id, kind, scope (path prefix), name (glob, * crosses anything), requirement. They are authored,
-    few, and become one filter each over one pass of the delta. delta: family, scope, name; changed: path.
+    obligations: dicts with id, kind, scope (a path and what is below it; empty: everything), name (glob, * crosses anything) and
+    requirement (a path or glob that a changed path must match). They are authored, few, and become one filter each over one pass of the delta
+    and of the changes. delta: family, scope, name; changed: path.
     """
     spark = delta.sparkSession
     fired = F.array_compact(
         F.array(
             *[
-                F.when((F.col("family") == o["kind"]) & (F.col("scope").startswith(o["scope"])) & F.col("name").rlike(glob_regex(o.get("name") or "*")), F.lit(o["id"]))
+                F.when((F.col("family") == o["kind"]) & _below(F.col("scope"), o.get("scope") or "") & F.col("name").rlike(glob_regex(o.get("name") or "*")), F.lit(o["id"]))
                 for o in obligations
             ]
         )
     )
     ids = delta.select(F.explode(fired).alias("obligation")).distinct()
     asked = spark.createDataFrame([(o["id"], o["requirement"]) for o in obligations], "obligation string, requirement string")
-    return asked.join(ids, "obligation", "left_semi").join(changed.select(F.col("path").alias("requirement")).distinct(), "requirement", "left_anti").select("obligation", "requirement")
+    wanted = sorted({o["requirement"] for o in obligations})
+    hit = F.array_compact(F.array(*[F.when((F.col("path") == r) | F.col("path").rlike(glob_regex(r)), F.lit(r)) for r in wanted]))
+    met = changed.select(F.explode(hit).alias("requirement")).distinct()
+    return asked.join(ids, "obligation", "left_semi").join(met, "requirement", "left_anti").select("obligation", "requirement")
 
 
 def merged_obligations(manual: DataFrame, derived: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors
+from ..functions.paths import ancestors, glob_regex
 
 
 def owner(paths: DataFrame, units: DataFrame, tie: Column | None = None) -> DataFrame:
@@ -22,6 +24,35 @@ def owner(paths: DataFrame, units: DataFrame, tie: Column | None = None) -> Data
     return paths.join(owned, "path", "left")
 
 
+def _globbed(paths: DataFrame, globs: list[tuple[str, str]]) -> DataFrame:
+    """path, id, specificity (characters before the first glob sign), ord of every glob (id, pattern) that a path matches.
+
+    Globs are authored and few: one filter each over one pass of the paths.
+    """
+    hits = [F.when(F.col("path").rlike(glob_regex(p)), F.struct(F.lit(i).alias("id"), F.lit(len(re.split(r"[*?\[]", p)[0])).alias("specificity"), F.lit(k).alias("ord"))) for k, (i, p) in enumerate(globs)]
+    return paths.select("path").distinct().select("path", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("path", "hit.*")
+
+
+def owner_with_globs(paths: DataFrame, units: DataFrame, globs: list[tuple[str, str]], tie: Column | None = None) -> DataFrame:
+    """As ``owner``, but a glob (id, pattern) owns what it matches if more characters stand before its first sign than the literal
+    owner's prefix has; of equal globs the earlier one."""
+    literal = owner(paths, units, tie)
+    if not globs:
+        return literal
+    lengths = units.groupBy(F.col("id").alias("unit_id")).agg(F.max(F.length("prefix")).alias("known"))
+    best = _globbed(paths, globs).groupBy("path").agg(F.max_by(F.struct("id", "specificity"), F.struct("specificity", -F.col("ord"))).alias("glob"))
+    both = literal.join(lengths, "unit_id", "left").join(best, "path", "left")
+    better = F.col("glob.specificity") > F.coalesce("known", F.lit(-1))
+    return both.select(*[F.col(c) for c in paths.columns], F.when(better, F.col("glob.id")).otherwise(F.col("unit_id")).alias("unit_id"))
+
+
+def glob_counts(paths: DataFrame, globs: list[tuple[str, str]]) -> DataFrame:
+    """id, n: paths that each glob matches; 0 where there are none."""
+    ids = paths.sparkSession.createDataFrame([(i,) for i, _ in globs], "id string")
+    found = _globbed(paths, globs).groupBy("id").agg(F.count("*").alias("n"))
+    return ids.join(found, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def artifact_counts(paths: DataFrame, units: DataFrame) -> DataFrame:
     """id, n: paths at or below each unit's prefix, ancestors' units counting them as well; 0 where there are none."""
     keys = paths.select("path").distinct().select(F.explode(ancestors(F.col("path"))).alias("prefix"))

@@ -36,7 +36,8 @@ class Catalog:
         self.spark, self.root, self.control, self.exclude = spark, root, control, exclude_under
         self.config = self._yaml("config.yml")
         self.wiki = self.config.get("wiki") or {}
-        book = self.wiki.get("book_root", "wiki") if "book_root" in self.wiki else "wiki"
+        book = self.wiki.get("book_root")
+        book = "wiki" if book is None else book.removeprefix("./").rstrip("/")
         self.derived = tuple([book] if book else ())
         self.roots = tuple((self.config.get("workspace") or {}).get("roots") or ["."])
 
@@ -126,7 +127,7 @@ class Catalog:
         """family (symbol_added, ...), scope, name between a commit and the working tree; without a baseline all is added."""
         before = repo.contents_at(self.spark, self.root, ref)
         base = python_events(before) if before is not None else self.events.limit(0)
-        shapes = {"symbol": (K.symbols, ["module", "name", "kind"]), "import": (K.imports, ["module", "target", "target_path"])}
+        shapes = {"symbol": (K.symbols, ["module", "name", "kind"]), "import": (K.imports, ["module", "target", "target_path"]), "call": (K.calls, ["caller_path", "callee_symbol", "caller_class", "caller_symbol", "callee_path", "callee_class"])}
         parts = []
         for family, (extract, keys) in shapes.items():
             op = D.diff(extract(base), extract(self.events), keys).where("op <> 'same'")
@@ -134,33 +135,54 @@ class Catalog:
         return parts[0].unionByName(parts[1])
 
     def check(self, as_of: str | None = None) -> DataFrame:
-        """All policies' findings, ordered."""
-        structure = self.structure
+        """All policies' findings in their fixed order. Authored files that do not load are findings, and the policies that need them wait."""
+        errors: list[tuple[str, str]] = []
+
+        def loaded(check: str, make: Callable[[], Any], otherwise: Any) -> Any:
+            try:
+                return make()
+            except declared.DeclarationError as e:
+                errors.append((check, str(e)))
+                return otherwise
+
+        structure = loaded("structure-map-loads", lambda: self.structure, None)
+        program = loaded("program-plan-loads", lambda: self.table("work_items"), None)
+        roles = loaded("document-set-complete", lambda: declared.documents(self.spark, doc) if (doc := self._yaml("documents.yml")) else empty(self.spark, "document_roles"), None)
+        policies = loaded("policy-load-error", lambda: self._yaml("policies.yml").get("policies") or {}, None)
         claims, malformed = T.structural_claims(self.contents)
-        claims_doc = self._yaml("claims.yml")
+        claims_doc = loaded("claims-load-error", lambda: self._yaml("claims.yml"), {})
         excuses = [(c.get("symbol"), c.get("relationship"), c.get("owner"), c.get("reason"), list(c.get("modules") or [])) for c in claims_doc.get("duplicate_relationships") or []]
         excuse = self.spark.createDataFrame(excuses, "symbol string, relationship string, owner string, reason string, modules array<string>")
         couplings = [{"id": f"coupling {i}", "kind": (c.get("when_fact") or {}).get("kind"), "scope": (c.get("when_fact") or {}).get("scope", ""), "name": (c.get("when_fact") or {}).get("name"), "requirement": r} for i, c in enumerate(claims_doc.get("fact_couplings") or []) for r in c.get("requires") or [None]]
         symbols, imports, calls = (self.table(t) for t in ("symbols", "imports", "calls"))
-        waivers, wrong = declared.waivers(self.spark, self._yaml("waivers.yml"))
-        roles = declared.documents(self.spark, doc) if (doc := self._yaml("documents.yml")) else empty(self.spark, "document_roles")
+        waivers, wrong = declared.waivers(self.spark, loaded("waiver-load-error", lambda: self._yaml("waivers.yml"), {}))
+        authoritative, supporting = self._sources("authoritative"), self._sources("supporting")
         parts = [
-            P.unmatched_sources(self.disk, {k: self._sources(k) for k in ("authoritative", "supporting")}),
+            P.load_errors(self.spark, errors),
+            P.unmatched_sources(self.disk, {"authoritative": authoritative, "supporting": supporting}),
             P.task_context(self.disk, (self.config.get("workflow") or {}).get("root", ".trellis")),
-            P.missing_structure_owner(self.files, structure["units"]),
-            P.structure_drift(structure["units"], self.disk),
-            P.deprecated_path_used(self.files, structure["deprecated_paths"]),
-            P.document_set(roles, self.disk, self._sources("authoritative")),
+        ]
+        if structure is not None:
+            parts += [P.missing_structure_owner(self.files, structure["units"]), P.structure_drift(structure["units"], self.disk), P.deprecated_path_used(self.files, structure["deprecated_paths"])]
+        if program is not None:
+            parts.append(P.plan_cycles(program))
+        if roles is not None:
+            parts.append(P.document_set(roles, self.disk, authoritative, supporting))
+        parts += [
             P.stale_claims(self.table("doc_claims")),
             P.stale_claims(self.table("html_claims"), "stale-html-claim", ("link", "code")),
             P.duplicate_symbol(symbols),
             P.duplicate_implementation(symbols, excuse),
-            P.dependency_direction(imports, structure["units"], structure["rules"]),
-            P.stale_wiki_claims(self.table("wiki_claims"), self._sources("authoritative") + self._sources("supporting")),
-            P.code_anchor(claims, P.node_universe(symbols, calls), P.call_pairs(calls)),
         ]
+        if structure is not None:
+            parts.append(P.dependency_direction(imports, structure["units"], structure["rules"]))
+        parts.append(P.stale_wiki_claims(self.table("wiki_claims"), authoritative + supporting))
         if couplings:
             parts.append(P.fact_coupling(self.delta(), couplings, repo.changed_paths(self.spark, self.root)))
+        parts.append(P.code_anchor(claims, P.node_universe(symbols, calls), P.call_pairs(calls)))
+        if policies:
+            named = [(str(k), v.get("status") if isinstance(v, dict) else None) for k, v in policies.items()]
+            parts.append(P.policy_registry(symbols, self.spark.createDataFrame(named, "id string, status string"), self._yaml("policies.yml").get("implemented_under") or "policies"))
         if as_of:
             parts.append(P.expired_waivers(waivers, as_of))
         if wrong:

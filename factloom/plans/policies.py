@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, glob_regex, under
 from ..operators import claims as C
 from ..operators import delta as D
 from ..operators import duplicates as DU
+from ..operators import graph as G
 from ..operators import ownership as O
 from ..operators import resolve as R
 
+GLOB_SIGNS = r"[*?\[]"
 _EVIDENCE = "array<struct<path:string,line:int,detail:string>>"
 
 
@@ -32,13 +34,18 @@ def _say(*parts: str | Column) -> Column:
 
 
 def literal_units(units: DataFrame) -> DataFrame:
-    return units.select("id", F.when(F.col("path") == ".", "").otherwise(F.regexp_replace("path", "^[.]/|/$", "")).alias("prefix"), "status", (-F.col("ord")).alias("tie"))
+    return units.where(~F.col("path").rlike(GLOB_SIGNS)).select("id", F.when(F.col("path") == ".", "").otherwise(F.regexp_replace("path", "^[.]/|/$", "")).alias("prefix"), "status", (-F.col("ord")).alias("tie"))
+
+
+def glob_units(units: DataFrame) -> list[tuple[str, str]]:
+    """(id, pattern) of the units that are globs, as authored: a structure map is small."""
+    return [(r.id, r.path.removeprefix("./")) for r in units.where(F.col("path").rlike(GLOB_SIGNS)).orderBy("ord").select("id", "path").collect()]
 
 
 def missing_structure_owner(files: DataFrame, units: DataFrame) -> DataFrame:
     """Files that no unit owns, with the three units nearest to each."""
     placed = literal_units(units)
-    orphans = O.owner(files.select("path"), placed, F.col("tie")).where("unit_id is null").select("path")
+    orphans = O.owner_with_globs(files.select("path"), placed, glob_units(units), F.col("tie")).where("unit_id is null").select("path")
     near = O.nearest(orphans, placed).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "unit_id"))), lambda x: x["unit_id"]), ", ").alias("near"))
     joined = orphans.join(near, "path", "left")
     return _findings(joined, "error", "missing-structure-owner", _say("no unit owns ", F.col("path")), _at("path"), _say("nearest units: ", F.coalesce("near", F.lit("none"))), F.to_json(F.struct("path", "near")))
@@ -96,7 +103,7 @@ def duplicate_implementation(symbols: DataFrame, claims: DataFrame, scope: str =
 def dependency_direction(imports: DataFrame, units: DataFrame, rules: DataFrame) -> DataFrame:
     placed = literal_units(units)
     paths = imports.select(F.col("module").alias("path")).union(imports.select("target_path")).where("path is not null").distinct()
-    owned = O.owner(paths, placed, F.col("tie")).select("path", F.col("unit_id").alias("unit"))
+    owned = O.owner_with_globs(paths, placed, glob_units(units), F.col("tie")).select("path", F.col("unit_id").alias("unit"))
     bad = R.leaves_only(R.forbidden_edges(imports, rules, owned, placed.select(F.col("id").alias("unit"), "prefix")))
     lined = bad.join(imports.groupBy("module", "target").agg(F.min("line").alias("line"), F.min("target_path").alias("target_path")), ["module", "target"])
     evidence = F.array(F.struct(F.col("module").alias("path"), F.col("line").cast("int").alias("line"), F.lit(None).cast("string").alias("detail")), F.struct(F.col("target_path").alias("path"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("detail")))
@@ -147,9 +154,20 @@ def code_anchor(claims: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFr
     return _findings(both, "warning", "code-anchor", _say(F.col("kind"), " ", F.col("subject"), F.when(F.col("object") != "", _say(" -> ", F.col("object"))).otherwise(""), " is not borne out"), _at("source", F.col("line")))
 
 
+def plan_cycles(items: DataFrame) -> DataFrame:
+    """Work items that wait for each other."""
+    _, stuck = G.layers(items.select("id"), items.select("id", F.explode("depends_on").alias("on")))
+    return _findings(stuck, "error", "program-plan-loads", _say("work item ", F.col("id"), " waits for itself"), F.array())
+
+
+def load_errors(spark: SparkSession, errors: list[tuple[str, str]]) -> DataFrame:
+    """Authored files that do not load, as findings: (check, message)."""
+    return _findings(spark.createDataFrame(errors, "check string, told string"), "error", F.col("check"), F.col("told"), F.array())
+
+
 def policy_registry(symbols: DataFrame, policies: DataFrame, folder: str) -> DataFrame:
     """Policies declared but not implemented (planned ones may wait), and the other way round."""
-    made = symbols.where((F.col("kind") == "function") & F.col("name").startswith("check_") & under(F.col("module"), F.lit(folder))).select(F.replace(F.substring("name", 7, 1000), F.lit("_"), F.lit("-")).alias("id"))
+    made = symbols.where((F.col("kind") == "function") & F.col("name").startswith("check_") & under(F.col("module"), F.lit(folder))).select(F.expr("substring(name, 7)").alias("id"))
     planned = policies.where("status = 'planned'").select("id")
     side = D.symmetric_difference(made, policies.select("id"), "id", ("not declared", "not implemented"))
     told = side.join(planned.withColumn("side", F.lit("not implemented")), ["id", "side"], "left_anti")
@@ -174,11 +192,12 @@ def unmatched_sources(files: DataFrame, patterns: dict[str, list[str]]) -> DataF
     return out[0].unionByName(out[1])
 
 
-def document_set(roles: DataFrame, disk: DataFrame, authoritative: list[str]) -> DataFrame:
+def document_set(roles: DataFrame, disk: DataFrame, authoritative: list[str], supporting: list[str]) -> DataFrame:
     """Documents that are not there or whose authority the configuration contradicts."""
     gone = roles.join(disk.select("path").distinct(), "path", "left_anti")
-    named = reduce(lambda a, p: a | F.col("path").rlike(glob_regex(p)), authoritative, F.lit(False))
-    other = roles.where(F.when(named, "authoritative").otherwise("supporting") != F.col("authority"))
+    of = lambda patterns: reduce(lambda a, p: a | F.col("path").rlike(glob_regex(p)), patterns, F.lit(False))
+    # a role that neither list names is not judged
+    other = roles.where(F.when(of(authoritative), "authoritative").when(of(supporting), "supporting") != F.col("authority"))
     one = _findings(gone, "error", "document-set-complete", _say("document ", F.col("role"), " is not there: ", F.col("path")), _at("path"))
     return one.unionByName(_findings(other, "error", "document-set-complete", _say("document ", F.col("role"), " has another authority in the configuration"), _at("path")))
 
@@ -192,10 +211,10 @@ def task_context(disk: DataFrame, root: str, needed: tuple[str, ...] = ("task.js
 
 
 def report(parts: list[DataFrame]) -> DataFrame:
-    """All findings in the order of their policies, and within one by severity and message."""
+    """All findings in the fixed order of their policies, and within one by severity and message."""
     rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).when(F.col("severity") == "info", 2).otherwise(3)
     every = reduce(DataFrame.unionByName, [p.withColumn("emit_ord", F.lit(i)) for i, p in enumerate(parts)])
-    return every.orderBy(rank, "check_id", "emit_ord", "message")
+    return every.orderBy("emit_ord", rank, "check_id", "message")
 
 
 def without_waived(findings: DataFrame, waivers: DataFrame) -> DataFrame:

@@ -42,6 +42,24 @@ def owner_of_artifact(s, d):
     return O.owner(E.artifacts(s, d), E.units(s, d)).select("path", "unit_id")
 
 
+GLOBS = [("ends in 7", "*7"), ("mobile", "m.*/*"), ("nothing", "nothing/[a-c]?")]
+_GLOBBED = """g(id, specificity, ord, pat) AS (VALUES ('ends in 7', 0, 0, '^.*7$'), ('mobile', 2, 1, '^m[.].*/.*$'), ('nothing', 8, 2, '^nothing/[a-c].$'))"""
+
+
+@query(
+    f"""WITH {E.UNIT_SQL}, owned AS (SELECT path, arg_max(id, length(prefix)) AS u, max(length(prefix)) AS n FROM artifact JOIN unit ON path = prefix OR starts_with(path, prefix || '/') GROUP BY path), {_GLOBBED},
+hit AS (SELECT path, arg_max(id, specificity * 10 - ord) AS gid, max(specificity) AS m FROM artifact JOIN g ON regexp_matches(path, pat) GROUP BY path)
+SELECT path, CASE WHEN m > coalesce(n, -1) THEN gid ELSE u END AS unit_id FROM artifact LEFT JOIN owned USING (path) LEFT JOIN hit USING (path)"""
+)
+def owner_with_globs(s, d):
+    return O.owner_with_globs(E.artifacts(s, d), E.units(s, d), GLOBS).select("path", "unit_id")
+
+
+@query(f"WITH {E.UNIT_SQL}, {_GLOBBED} SELECT g.id, count(DISTINCT path) AS n FROM g LEFT JOIN artifact ON regexp_matches(path, pat) GROUP BY g.id")
+def glob_artifact_counts(s, d):
+    return O.glob_counts(E.artifacts(s, d), GLOBS)
+
+
 @query(f"WITH {E.UNIT_SQL}, {_OWNED} SELECT path FROM artifact LEFT JOIN owned USING (path) WHERE unit_id IS NULL")
 def unowned_artifacts(s, d):
     return owner_of_artifact(s, d).where("unit_id is null").select("path")
@@ -246,7 +264,9 @@ def changed_keys_union(s, d):
 
 
 OBLIGATIONS = [
-    {"id": "o1", "kind": "event", "scope": "er", "name": "1*", "requirement": "user/1"},
+    {"id": "o1", "kind": "event", "scope": "er", "name": "*", "requirement": "user/absent"},
+    {"id": "o5", "kind": "event", "scope": "error/", "name": "1*", "requirement": "user/1*"},
+    {"id": "o6", "kind": "event", "scope": "error", "name": "1*", "requirement": "absent/*"},
     {"id": "o2", "kind": "event", "scope": "", "name": "*7", "requirement": "user/absent"},
     {"id": "o3", "kind": "event", "scope": "nothing", "name": "*", "requirement": "user/absent"},
     {"id": "o4", "kind": "call", "scope": "", "name": "*", "requirement": "user/absent"},
@@ -255,8 +275,10 @@ OBLIGATIONS = [
 
 @query(
     f"""WITH {E.SNAPSHOT_SQL}, delta AS (SELECT * FROM head EXCEPT SELECT * FROM base), changed AS (SELECT DISTINCT 'user/' || user_id AS path FROM delta),
-o(id, scope, pat, requirement) AS (VALUES ('o1', 'er', '^1.*$', 'user/1'), ('o2', '', '^.*7$', 'user/absent'), ('o3', 'nothing', '^.*$', 'user/absent'))
-SELECT id AS obligation, requirement FROM o WHERE EXISTS (SELECT 1 FROM delta WHERE starts_with(event_type, scope) AND regexp_matches(CAST(k AS VARCHAR), pat)) AND requirement NOT IN (SELECT path FROM changed)"""
+o(id, scope, pat, requirement, asked) AS (VALUES ('o1', 'er', '^.*$', 'user/absent', '^user/absent$'), ('o2', '', '^.*7$', 'user/absent', '^user/absent$'), ('o3', 'nothing', '^.*$', 'user/absent', '^user/absent$'),
+  ('o5', 'error', '^1.*$', 'user/1*', '^user/1.*$'), ('o6', 'error', '^1.*$', 'absent/*', '^absent/.*$'))
+SELECT id AS obligation, requirement FROM o WHERE EXISTS (SELECT 1 FROM delta WHERE (scope = '' OR event_type = scope OR starts_with(event_type, scope || '/')) AND regexp_matches(CAST(k AS VARCHAR), pat))
+  AND NOT EXISTS (SELECT 1 FROM changed WHERE regexp_matches(path, asked))"""
 )
 def coupling_missing(s, d):
     added = snapshot_added(s, d)

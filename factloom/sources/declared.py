@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..schemas import rows
 
-STATUSES = ("active", "planned", "deprecated", "missing", "drifted")
+STATUSES = ("active", "planned", "deprecated", "removed", "external")
 
 
 class DeclarationError(ValueError):
@@ -89,16 +89,23 @@ def program(spark: SparkSession, document: dict) -> DataFrame:
     """work_items of a plan: ids well-formed and unique, dependencies known. Cycles are for ``graph.layers``."""
     if not isinstance(document.get("version"), int) or document.get("kind") != "program_plan":
         raise DeclarationError("a program plan needs an integer version and kind program_plan")
-    default = (document.get("defaults") or {}).get("status", "planned")
+    default = (document.get("defaults") or {}).get("status")
     out, ids = [], set()
-    items = document.get("work_items") or []
+    items = document.get("work_items")
+    if not isinstance(items, list) or not items:
+        raise DeclarationError("a program plan needs work_items")
     for entry in items:
+        if not isinstance(entry, dict):
+            raise DeclarationError("a work item must be a mapping")
         name = _text(entry, "id", "work item")
-        if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", name) or name in ids:
+        if not re.fullmatch(r"program:P\d+:[a-z0-9-]+", name) or name in ids:
             raise DeclarationError(f"work item {name!r}: malformed or repeated id")
         ids.add(name)
+        status = entry.get("status", default)
+        if not isinstance(status, str) or not status.strip():
+            raise DeclarationError(f"work item {name}: needs a status, its own or a default")
         lists = [list(entry.get(k) or []) for k in ("depends_on", "trellis_tasks", "deliverables", "exit_criteria")]
-        out.append((name, _text(entry, "phase", name), _text(entry, "title", name), entry.get("status", default), lists[0], lists[1], entry.get("theme"), lists[2], lists[3]))
+        out.append((name, _text(entry, "phase", name), _text(entry, "title", name), status.strip(), lists[0], lists[1], entry.get("theme"), lists[2], lists[3]))
     for name, *_, needs, _t, _h, _d, _e in out:
         if missing := [x for x in needs if x not in ids]:
             raise DeclarationError(f"work item {name}: unknown dependency {missing[0]!r}")

@@ -187,8 +187,8 @@ def test_s23_strict_yaml(spark):
     with pytest.raises(declared.DeclarationError):
         declared.load("a: 1\na: 2\n")
     assert declared.load("") == {}
-    plan = "version: 1\nkind: program_plan\nwork_items:\n- {id: a, phase: p, title: t}\n- {id: b, phase: p, title: t, depends_on: [%s]}\n"
-    assert declared.program(spark, declared.load(plan % "a")).count() == 2
+    plan = "version: 1\nkind: program_plan\nwork_items:\n- {id: 'program:P1:a', phase: p, title: t, status: planned}\n- {id: 'program:P1:b', phase: p, title: t, status: done, depends_on: ['%s']}\n"
+    assert declared.program(spark, declared.load(plan % "program:P1:a")).count() == 2
     with pytest.raises(declared.DeclarationError):
         declared.program(spark, declared.load(plan % "zz"))
 
@@ -346,7 +346,7 @@ def test_golden_repository_and_one_change(spark, golden):
     (golden / "src/pkg/c.py").write_text("def g(): pass\n")
     (golden / "README.md").write_text("See [a](src/gone.py).\n")
     found = Catalog(spark, str(golden))
-    assert [r.check_id for r in found.check().collect()] == ["duplicate-implementation", "duplicate-symbol", "stale-claim"]
+    assert [r.check_id for r in found.check().collect()] == ["stale-claim", "duplicate-symbol", "duplicate-implementation"]
     assert {tuple(r) for r in found.delta().collect()} == {("symbol_added", "src/pkg/c.py", "g")}
 
 
@@ -373,3 +373,33 @@ def test_impact_has_no_depth_limit(spark, monkeypatch, name):
     monkeypatch.setattr(queries.E, "calls", lambda s, d: s.createDataFrame(chain, "caller long, callee long"))
     got = {r.node: r.distance for r in queries.QUERIES[name](spark, "").collect()}
     assert all(got[100 + i] == i + 1 for i in range(15))
+
+
+def test_j1_j4_glob_units(spark):
+    literal = units(spark, src="src", deep="src/pkg/longer")
+    globs = [("tests", "*/test_*.py"), ("pkg", "src/pkg/*.py"), ("late", "src/pkg/*")]
+    files = paths(spark, "src/a.py", "src/pkg/b.py", "src/pkg/longer/c.py", "x/test_a.py", "src/test_b.py", "y")
+    got = {r.path: r.unit_id for r in O.owner_with_globs(files, literal, globs).collect()}
+    assert got == {"src/a.py": "src", "src/pkg/b.py": "pkg", "src/pkg/longer/c.py": "deep", "x/test_a.py": "tests", "src/test_b.py": "src", "y": None}
+    assert {r.id: r.n for r in O.glob_counts(files, globs).collect()} == {"tests": 2, "pkg": 2, "late": 2}
+    assert O.owner_with_globs(files, literal, []).count() == 6
+
+
+def test_c16_scopes_end_at_a_slash_and_requirements_are_globs(spark):
+    delta = spark.createDataFrame([("symbol_added", "pkg/policies/a.py", "check_x")], "family string, scope string, name string")
+    rule = {"id": "c", "kind": "symbol_added", "scope": "pkg/pol", "requirement": "docs/*.md"}
+    assert PO.fact_coupling(delta, [rule], paths(spark, "other")).count() == 0
+    inside = rule | {"scope": "pkg/policies/"}
+    assert PO.fact_coupling(delta, [inside], paths(spark, "other")).count() == 1
+    assert PO.fact_coupling(delta, [inside], paths(spark, "docs/a/b.md")).count() == 0
+
+
+def test_c8_g3_cycles_of_a_plan_are_findings(spark):
+    items = spark.createDataFrame([("a", ["b"]), ("b", ["a"]), ("c", [])], "id string, depends_on array<string>")
+    assert sorted(r.message.split()[2] for r in PO.plan_cycles(items).collect()) == ["a", "b"]
+
+
+def test_c19_names_are_compared_as_they_are(spark):
+    symbols = spark.createDataFrame([("policies/x.py", "check_one_two", "function")], "module string, name string, kind string")
+    declared_ = spark.createDataFrame([("one_two", None), ("later", "planned"), ("gone", None)], "id string, status string")
+    assert [r.message for r in PO.policy_registry(symbols, declared_, "policies").collect()] == ["policy gone is not implemented"]
