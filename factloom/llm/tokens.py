@@ -48,6 +48,15 @@ SPACED = {
 }
 
 
+class _Known(dict):
+    """Ids of remembered pieces; ``rest`` has those that only the texts at hand need."""
+
+    rest: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.rest[piece]
+
+
 class Encoder:
     """Encodes with the tokenizers library, remembering the ids of whole pieces between spaces.
 
@@ -64,7 +73,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.spaced = all(spec.get(k) == v for k, v in SPACED.items()) and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec.get("added_tokens") or [])
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = _Known({"": b""})
 
     def _ids_of(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece; pieces hold no space and are not empty."""
@@ -82,9 +91,8 @@ class Encoder:
         room = CACHED - len(self.known)
         short = (p for p in new if len(p) <= CACHED_CHARS)
         self.known.update((p, own[p]) for p, _ in zip(short, range(room), strict=False))
-        left = {p: i for p, i in own.items() if p not in self.known}
-        find = (lambda p: left[p] if p in left else self.known[p]) if left else self.known.__getitem__
-        return [np.frombuffer(b"".join(map(find, pieces)), "<u4") for pieces in split]
+        self.known.rest = {p: i for p, i in own.items() if p not in self.known}
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4") for pieces in split]
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each whole text, as unsigned 32-bit integers."""
