@@ -141,12 +141,17 @@ def _descend(machine: Machine, rows: _Rows, labels: np.ndarray, held: np.ndarray
     gv, gb = np.full(v.shape, 0.1), 0.1
     best, own_least, since = machine, np.inf, 0
     mine, check = np.flatnonzero(~held), rows.some(np.flatnonzero(held))
+    seen, rank = np.zeros(len(w), bool), np.zeros(len(w), np.int64)
     for _ in range(EPOCHS):
         order = draw.permutation(mine)
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
             text, place, value = rows.some(pick)
-            own, back = np.unique(place, return_inverse=True)
+            seen[place] = True
+            own = np.flatnonzero(seen)
+            seen[own] = False
+            rank[own] = np.arange(len(own))
+            back = rank[place]
             z = bias + np.bincount(text, w[place] * value, len(pick))
             if pairs:
                 part = v[place] * value[:, None]
