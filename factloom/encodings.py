@@ -82,6 +82,25 @@ CALL_SQL = """pair AS (SELECT event_type, value, user_id AS caller, lead(user_id
 call AS (SELECT DISTINCT caller, callee FROM pair WHERE event_type = 'error' AND value >= 60 AND callee IS NOT NULL)"""
 
 
+def stored_calls(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes (the parts, their files spelled in several ways), edges (a part and the part numbered like its supplier), known files."""
+    part = table(spark, d, "part")
+    file, size = F.concat("p_brand", F.lit(".py")), F.col("p_size")
+    spelled = F.when(size > 40, F.concat(F.lit("file:///repo/"), file)).when(size <= 10, F.concat(F.lit("./"), file)).when(size == 20, F.concat(F.lit("/elsewhere/"), file)).when(size == 21, "../up.py").otherwise(file)
+    nodes = part.select(F.col("p_partkey").alias("id"), F.concat("p_brand", F.lit("::"), "p_name").alias("qualified_name"), F.when(size % 2 == 0, "method").otherwise("function").alias("kind"), F.col("p_name").alias("name"), spelled.alias("file_path"))
+    flag, number = F.col("l_returnflag"), F.col("l_linenumber")
+    kind = F.when(flag == "R", "calls").when(flag == "A", "instantiates").otherwise("references")
+    line = F.when(number == 1, "x").when(number == 2, "-3").otherwise(number.cast("string"))
+    edges = table(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), kind.alias("kind"), line.alias("line"), F.when(F.col("l_linestatus") == "F", "stored").alias("provenance"))
+    return nodes, edges, part.where("not endswith(p_brand, '5')").select(file.alias("path")).distinct()
+
+
+STORED_SQL = """node AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END AS class, p_brand || '.py' AS path FROM part WHERE p_size NOT IN (20, 21)),
+edge AS (SELECT l_partkey AS source, l_suppkey AS target, CASE l_returnflag WHEN 'R' THEN 'calls' ELSE 'instantiates' END || CASE l_linestatus WHEN 'F' THEN ':stored' ELSE '' END AS resolution,
+  CASE WHEN l_linenumber <= 2 THEN 0 ELSE CAST(l_linenumber AS INTEGER) END AS line FROM lineitem WHERE l_returnflag IN ('R', 'A')),
+file AS (SELECT DISTINCT p_brand || '.py' AS path FROM part WHERE p_brand NOT LIKE '%5')"""
+
+
 def snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """user_id, event_type, k before and after a moment."""
     keys = table(spark, d, "events").select("ts", "user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))

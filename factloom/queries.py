@@ -18,6 +18,8 @@ from .operators import graph as G
 from .operators import ownership as O
 from .operators import resolve as R
 from .operators import select as S
+from .operators import status as ST
+from .sources import advisory as A
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -343,7 +345,8 @@ def schema_fields(s, d):
 
 @query("SELECT o_orderpriority AS block, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS sources FROM orders GROUP BY 1")
 def sources_per_block(s, d):
-    return E.table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("block")).agg(F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("sources"))
+    found = ST.sources_of(E.table(s, d, "orders").withColumnRenamed("o_orderpriority", "block"), "block", "o_orderstatus")
+    return found.select("block", F.array_join("sources", ",").alias("sources"))
 
 
 @query(
@@ -353,9 +356,7 @@ SELECT DISTINCT p_brand AS path, 'duplicate' AS kind, name || ' in ' || modules
 def status_changed_only(s, d):
     """A duplicate is told once for each changed module that defines it."""
     changed = E.table(s, d, "part").where("p_size = 1").select(F.col("p_brand").alias("path")).distinct()
-    dup = DU.duplicate_names(E.symbols(s, d))
-    told = dup.select(F.explode("modules").alias("path"), F.lit("duplicate").alias("kind"), F.concat("name", F.lit(" in "), F.array_join("modules", ",")).alias("message"))
-    return told.join(changed, "path", "left_semi")
+    return ST.status_rows(ST.affected_duplicates(DU.duplicate_names(E.symbols(s, d)), changed))
 
 
 @query(
@@ -382,10 +383,57 @@ def waiver_expired(s, d):
 _SEVERITY = "CASE WHEN event_type = 'error' THEN 'error' WHEN value > 50 THEN 'warning' ELSE 'info' END"
 
 
+def _severities(s, d):
+    severity = F.when(F.col("event_type") == "error", "error").when(F.col("value") > 50, "warning").otherwise("info")
+    return E.table(s, d, "events").select(severity.alias("severity"))
+
+
+@query(f"SELECT count(*) FILTER ({_SEVERITY} = 'error') AS errors, count(*) FILTER ({_SEVERITY} = 'warning') AS warnings, count(*) FILTER ({_SEVERITY} = 'error') = 0 AS ok FROM events")
+def finding_totals(s, d):
+    return ST.totals(_severities(s, d))
+
+
+@query(
+    f"""WITH {E.UNIT_SQL}, {_OWNED}, un AS (SELECT path FROM artifact LEFT JOIN owned USING (path) WHERE unit_id IS NULL),
+u AS (SELECT id, EXISTS (SELECT 1 FROM artifact WHERE path = prefix OR starts_with(path, prefix || '/')) AS there FROM unit)
+SELECT 'units' AS topic, count(*) AS n, '' AS shown FROM u UNION ALL SELECT 'not on disk', count(*), coalesce(string_agg(id, ', ' ORDER BY id), '') FROM u WHERE NOT there
+UNION ALL SELECT 'unowned', (SELECT count(*) FROM un), coalesce((SELECT string_agg(path, ', ' ORDER BY path) FROM (SELECT path FROM un ORDER BY path LIMIT 5)), '')
+  || CASE WHEN (SELECT count(*) FROM un) > 5 THEN ', +' || CAST((SELECT count(*) FROM un) - 5 AS VARCHAR) || ' more' ELSE '' END
+UNION ALL SELECT 'status ' || o_orderstatus, count(*), '' FROM orders GROUP BY 1"""
+)
+def inventory_summary(s, d):
+    counted = O.artifact_counts(E.artifacts(s, d), E.units(s, d))
+    units = counted.select("id", (F.col("n") > 0).alias("exists"))
+    return ST.summary(units, unowned_artifacts(s, d), E.table(s, d, "orders").select(F.col("o_orderstatus").alias("status")))
+
+
+_STORED = f"""WITH {E.STORED_SQL}, own AS (SELECT id, name AS symbol, class, path FROM node WHERE path IN (SELECT path FROM file)),
+stored AS (SELECT a.path AS caller_path, a.class AS caller_class, a.symbol AS caller_symbol, b.path AS callee_path, b.class AS callee_class, b.symbol AS callee_symbol, resolution, min(line) AS line
+  FROM edge JOIN own a ON source = a.id JOIN own b ON target = b.id GROUP BY ALL)"""
+
+
+def _stored(s, d):
+    return A.stored_calls(*E.stored_calls(s, d), "/repo")
+
+
+@query(f"{_STORED} SELECT * FROM stored")
+def advisory_calls(s, d):
+    return _stored(s, d)
+
+
+@query(
+    f"""{_STORED}, {E.CALL_SQL} SELECT callee_path || '::' || callee_class || '::' || callee_symbol AS callee, caller_path || '::' || caller_class || '::' || caller_symbol AS caller, 'stored' AS source, 'advisory' AS provenance, resolution FROM stored
+UNION ALL SELECT callee || '::::f', caller || '::::f', 'parsed', 'deterministic', 'name' FROM call"""
+)
+def impact_edges(s, d):
+    calls = E.calls(s, d)
+    plain = calls.select(*[F.lit(v).alias(f"{e}_{c}") if v is not None else F.col(e).cast("string").alias(f"{e}_{c}") for e in ("caller", "callee") for c, v in (("path", None), ("class", ""), ("symbol", "f"))], F.lit("name").alias("resolution"))
+    return A.impact_edges(plain, _stored(s, d))
+
+
 @query(f"SELECT {_SEVERITY} AS severity, count(*) AS n FROM events GROUP BY 1")
 def severity_totals(s, d):
-    severity = F.when(F.col("event_type") == "error", "error").when(F.col("value") > 50, "warning").otherwise("info")
-    return E.table(s, d, "events").groupBy(severity.alias("severity")).agg(F.count("*").alias("n"))
+    return ST.by_severity(_severities(s, d))
 
 
 @query(
