@@ -23,10 +23,13 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="factloom")
     parser.add_argument("--root", default=".")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("inventory", "schema", "tree", "pack", "mermaid"):
+    for name in ("inventory", "summary", "schema", "tree", "pack", "mermaid"):
         commands.add_parser(name)
     check = commands.add_parser("check")
     check.add_argument("--as-of")
+    status = commands.add_parser("status")
+    status.add_argument("paths", nargs="*")
+    status.add_argument("--since")
     query = commands.add_parser("query")
     query.add_argument("kind")
     query.add_argument("--select", action="append", default=[])
@@ -46,6 +49,12 @@ def main(argv: list[str] | None = None) -> int:
             _print(catalog.schema())
         elif args.command == "impact":
             _print(catalog.impact(args.target).orderBy("distance", "node"))
+        elif args.command == "status":
+            rows, state = catalog.status(args.paths, args.since)
+            print(f"baseline: {state}")
+            _print(rows)
+        elif args.command == "summary":
+            _print(catalog.summary())
         elif args.command == "inventory":
             print(catalog.inventory())
         elif args.command == "tree":

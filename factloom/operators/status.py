@@ -13,8 +13,10 @@ def affected(rows: DataFrame, changed: DataFrame) -> DataFrame:
 
 def affected_duplicates(duplicates: DataFrame, changed: DataFrame) -> DataFrame:
     """duplicates (name, modules) as path, kind, message: once for each changed module that defines the name."""
-    message = F.concat("name", F.lit(" in "), F.array_join("modules", ","))
-    return affected(duplicates.select(F.explode("modules").alias("path"), F.lit("duplicate").alias("kind"), message.alias("message")), changed)
+    others = F.array_except("modules", F.array("path"))
+    message = F.concat("path", F.lit(": public symbol '"), "name", F.lit("' is also defined in "), F.array_join(others, ", "))
+    each = duplicates.select("name", "modules", F.explode("modules").alias("path"))
+    return affected(each.select("path", F.lit("duplicate-symbol").alias("kind"), message.alias("message")), changed)
 
 
 def status_rows(rows: DataFrame) -> DataFrame:

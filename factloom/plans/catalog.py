@@ -17,6 +17,7 @@ from ..operators import delta as D
 from ..operators import graph as G
 from ..operators import ownership as O
 from ..operators import select as S
+from ..operators import status as ST
 from ..schemas import empty, family_world
 from ..sources import declared
 from ..sources import repository as repo
@@ -134,6 +135,37 @@ class Catalog:
             parts.append(op.select(F.concat_ws("_", F.lit(family), "op").alias("family"), F.col(keys[0]).alias("scope"), F.col(keys[1]).alias("name")))
         return parts[0].unionByName(parts[1])
 
+    def status(self, paths: list[str] | None = None, since: str | None = None) -> tuple[DataFrame, str]:
+        """What the changed files bring up (path, kind, message) and how the baseline stands: ok, no-baseline, stale-baseline or error.
+
+        Changed is what differs from the last commit and, with ``since``, from that commit; ``paths`` narrow it. It never raises.
+        """
+        try:
+            state = "ok" if repo.head_commit(self.root) else "no-baseline"
+            changed = repo.changed_paths(self.spark, self.root)
+            if since and state == "ok" and not repo.ref_resolves(self.root, since):
+                state = "stale-baseline"
+            elif since:
+                changed = changed.union(repo.changed_paths(self.spark, self.root, since)).distinct()
+            changed = ST.changed_below(changed, paths or [])
+            found = P.missing_structure_owner(self.files, self.structure["units"]).unionByName(P.deprecated_path_used(self.files, self.structure["deprecated_paths"]))
+            told = found.select(F.col("evidence")[0]["path"].alias("path"), F.col("check_id").alias("kind"), "message")
+            rows = ST.status_rows(ST.affected(told, changed).unionByName(ST.affected_duplicates(P.duplicates(self.table("symbols")), changed))).cache()
+            rows.count()  # what fails, fails here
+            return rows, state
+        except Exception:  # a turn must not fail by what advises it
+            return self.spark.createDataFrame([], "path string, kind string, message string"), "error"
+
+    def summary(self) -> DataFrame:
+        """topic, n, shown of the inventory."""
+        units, there = self.structure["units"], self.disk.select(F.col("path").alias("at")).distinct().withColumn("there", F.lit(True))
+        known = P.literal_units(units).join(there, F.col("prefix") == F.col("at"), "left").select("id", ((F.col("prefix") == "") | F.coalesce("there", F.lit(False))).alias("exists"))
+        globs = P.glob_units(units)
+        if globs:
+            known = known.unionByName(O.glob_counts(self.files, globs).select("id", (F.col("n") > 0).alias("exists")))
+        unowned = O.owner_with_globs(self.files.select("path"), P.literal_units(units), globs, F.col("tie")).where("unit_id is null")
+        return ST.summary(known, unowned, self.table("work_items"))
+
     def check(self, as_of: str | None = None) -> DataFrame:
         """All policies' findings in their fixed order. Authored files that do not load are findings, and the policies that need them wait."""
         errors: list[tuple[str, str]] = []

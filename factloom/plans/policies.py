@@ -83,8 +83,13 @@ def _occurrences(evidence: Column) -> Column:
     return F.transform(evidence, lambda e: F.struct(e["module"].alias("path"), e["line"].cast("int").alias("line"), F.lit(None).cast("string").alias("detail")))
 
 
+def duplicates(symbols: DataFrame, scope: str = "src/") -> DataFrame:
+    """Public names below ``scope`` that several modules define."""
+    return DU.duplicate_names(symbols.where(F.col("module").startswith(scope)), public_only=True)
+
+
 def duplicate_symbol(symbols: DataFrame, scope: str = "src/") -> DataFrame:
-    found = DU.duplicate_names(symbols.where(F.col("module").startswith(scope)), public_only=True)
+    found = duplicates(symbols, scope)
     return _findings(found, "warning", "duplicate-symbol", _say(F.col("name"), " is defined in ", F.col("n_modules"), " modules"), _occurrences(F.col("evidence")), None, F.to_json(F.struct("name", "modules")))
 
 

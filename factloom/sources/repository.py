@@ -113,6 +113,10 @@ def changed_paths(spark: SparkSession, root: str, base: str = "HEAD") -> DataFra
     return spark.createDataFrame(rows, "path string").distinct()
 
 
+def ref_resolves(root: str, ref: str) -> bool:
+    return _git(root, "rev-parse", "--verify", "--quiet", f"{ref}^{{commit}}") is not None
+
+
 def head_commit(root: str) -> str | None:
     found = _lines(_git(root, "rev-parse", "HEAD"))
     return found[0] if found else None

@@ -16,8 +16,10 @@ from factloom.operators import graph as G
 from factloom.operators import ownership as O
 from factloom.operators import resolve as R
 from factloom.operators import select as S
+from factloom.operators import status as ST
 from factloom.plans import policies as PO
 from factloom.plans.catalog import Catalog
+from factloom.sources import advisory as A
 from factloom.sources import declared
 from factloom.sources import text_claims as TC
 from factloom.sources.python_events import python_events
@@ -403,3 +405,43 @@ def test_c19_names_are_compared_as_they_are(spark):
     symbols = spark.createDataFrame([("policies/x.py", "check_one_two", "function")], "module string, name string, kind string")
     declared_ = spark.createDataFrame([("one_two", None), ("later", "planned"), ("gone", None)], "id string, status string")
     assert [r.message for r in PO.policy_registry(symbols, declared_, "policies").collect()] == ["policy gone is not implemented"]
+
+
+def test_r1_status_tells_of_changed_files_only(spark, golden):
+    assert Catalog(spark, str(golden)).status()[0].collect() == []
+    (golden / "src/pkg/c.py").write_text("def g(): pass\n")
+    rows, state = Catalog(spark, str(golden)).status()
+    assert state == "ok"
+    assert [tuple(r) for r in rows.collect()] == [("src/pkg/c.py", "duplicate-symbol", "src/pkg/c.py: public symbol 'g' is also defined in src/pkg/b.py")]
+    assert Catalog(spark, str(golden)).status(["docs/"])[0].collect() == []
+    assert Catalog(spark, str(golden)).status(since="0" * 40)[1] == "stale-baseline"
+    (golden / ".facts/structure.yml").write_text("units: 3\n")
+    rows, state = Catalog(spark, str(golden)).status()
+    assert (rows.collect(), state) == ([], "error")
+
+
+def test_a11_summary_of_the_inventory(spark, golden):
+    rows = {r.topic: (r.n, r.shown) for r in Catalog(spark, str(golden)).summary().collect()}
+    assert rows["units"][0] >= 1 and rows["not on disk"] == (0, "") and rows["unowned"] == (0, "")
+
+
+def test_a11_o9_preview(spark):
+    units = spark.createDataFrame([("a", True), ("b", False)], "id string, exists boolean")
+    paths = spark.createDataFrame([(f"p{i}",) for i in range(7)], "path string")
+    items = spark.createDataFrame([("done",), (None,)], "status string")
+    rows = {r.topic: (r.n, r.shown) for r in ST.summary(units, paths, items).collect()}
+    assert rows == {"units": (2, ""), "not on disk": (1, "b"), "unowned": (7, "p0, p1, p2, p3, p4, +2 more"), "status done": (1, ""), "status unknown": (1, "")}
+    assert ST.totals(spark.createDataFrame([], "severity string")).first() == (0, 0, True)
+
+
+def test_s21_t16_stored_calls(spark):
+    nodes = [(1, "m.C::f", "method", "f", "file:///r/a.py"), (2, "g", "function", "g", "./b.py"), (3, "h", "function", "h", "/other/c.py"), (4, "x", "function", " ", "a.py"), (5, "k", "function", "k", "..")]
+    edges = [(1, 2, "calls", "7", None), (1, 2, "calls", "-4", ""), (2, 1, "instantiates", "x", "guess"), (1, 3, "calls", "1", None), (1, 4, "calls", "1", None), (1, 5, "calls", "1", None), (1, 2, "reads", "1", None)]
+    found = A.stored_calls(
+        spark.createDataFrame(nodes, "id int, qualified_name string, kind string, name string, file_path string"),
+        spark.createDataFrame(edges, "source int, target int, kind string, line string, provenance string"),
+        spark.createDataFrame([("a.py",), ("b.py",), ("c.py",)], "path string"),
+        "/r",
+    )
+    rows = {(r.caller_path, r.caller_class, r.caller_symbol, r.callee_path, r.callee_class, r.callee_symbol, r.resolution, r.line) for r in found.collect()}
+    assert rows == {("a.py", "C", "f", "b.py", "", "g", "calls", 0), ("b.py", "", "g", "a.py", "C", "f", "instantiates:guess", 0)}
