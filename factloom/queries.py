@@ -352,7 +352,7 @@ def sources_per_block(s, d):
 @query(
     f"""WITH {_DUP}, changed AS (SELECT DISTINCT p_brand FROM part WHERE p_size = 1)
 SELECT DISTINCT p_brand AS path, 'duplicate-symbol' AS kind,
-  p_brand || ': public symbol ''' || name || ''' is also defined in ' || array_to_string(list_filter(string_split(modules, ','), m -> m <> p_brand), ', ') AS message FROM dup JOIN part ON p_name = name SEMI JOIN changed USING (p_brand)"""
+  p_brand || ': public symbol ''' || name || ''' is also defined in ' || array_to_string(list_filter(string_split(modules, ','), lambda m: m <> p_brand), ', ') AS message FROM dup JOIN part ON p_name = name SEMI JOIN changed USING (p_brand)"""
 )
 def status_changed_only(s, d):
     """A duplicate is told once for each changed module that defines it."""
