@@ -62,10 +62,39 @@ rec AS (SELECT page_id, url, html, page_id // {ARCHIVE_PAGES} AS archive, 'WARC/
 placed AS (SELECT archive, page_id, html, strlen(r) AS length, CAST(sum(strlen(r)) OVER (PARTITION BY archive ORDER BY page_id) - strlen(r) AS BIGINT) AS "offset" FROM rec)
 SELECT archive, "offset", length, page_id, CASE WHEN page_id % 211 = 7 THEN 'missing' ELSE 'changed' END AS kind FROM placed WHERE page_id % 211 = 7 OR (page_id % 97 = 13 AND html <> '')"""
 
+PHRASES = f"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+word AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM piece),
+gram AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM word, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k)),
+total AS (SELECT lang, count(*) AS n FROM gram WHERE k = 1 GROUP BY lang),
+freq AS (SELECT lang, k, g, string_split(g, ' ') AS w, count(*) AS f FROM gram GROUP BY lang, k, g HAVING count(*) >= 30),
+cand AS (SELECT * FROM freq WHERE k > 1),
+inside AS (SELECT lang, g, max(f) AS longer FROM (SELECT lang, f, array_to_string(w[i:i + s - 1], ' ') AS g FROM (SELECT lang, w, k, f, s, unnest(range(1, k - s + 2)) AS i FROM cand, (SELECT unnest(range(2, 4)) AS s) WHERE s < k)) GROUP BY lang, g),
+cut AS (SELECT lang, g, w, f AS a, k, unnest(range(1, k)) AS c FROM cand LEFT JOIN inside USING (lang, g) WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * f::HUGEINT),
+scored AS (SELECT cut.lang, cut.g, a, c, x.f AS l, y.f AS r, 2000000::HUGEINT * a // (x.f + y.f) AS score FROM cut
+  JOIN freq x ON x.lang = cut.lang AND x.g = array_to_string(cut.w[1:c], ' ') JOIN freq y ON y.lang = cut.lang AND y.g = array_to_string(cut.w[c + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score::BIGINT AS score FROM best JOIN total USING (lang) QUALIFY rank <= 2000"""
+
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+SEARCH = f"""
+WITH term AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all({_LOWER}, {_TERM}) AS w FROM documents),
+size AS (SELECT d, doc_id, len(w) AS n FROM term WHERE len(w) > 0),
+stat AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM size),
+item AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, {_TERM})) AS t FROM benchmark),
+post AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(w) AS t FROM term) SEMI JOIN item USING (t) GROUP BY d, t),
+wt AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM post, stat GROUP BY t, nn),
+gain AS (SELECT d, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))) AS g FROM post JOIN wt USING (t) JOIN size USING (d), stat),
+score AS (SELECT item_id, d, doc_id, CAST(sum(g) AS BIGINT) AS score FROM item JOIN gain USING (t) GROUP BY item_id, d, doc_id HAVING sum(g) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM score QUALIFY rank <= 50"""
+
 ORACLES = {
     "op2_decontamination": DECONTAMINATION,
     "op5_substring_dedup": SUBSTRING,
     "op6_warc_fixity": FIXITY,
     "op8_ngram_jaccard_join": JACCARD,
     "op9_line_dedup": LINES,
+    "op11_phrase_mining": PHRASES,
+    "op13_ranked_search": SEARCH,
 }
