@@ -38,7 +38,7 @@ BUDGET, HEAVY = 1 << 20, 1 << 20
 CELL_BITS = 22
 FILTER_BITS = 1 << 25
 #: Bytes of text that are summed up at once.
-CHUNK = 6 << 20
+CHUNK = 5 << 19
 #: Groups of the first step of the ranking.
 SALTS = 32
 
@@ -69,7 +69,7 @@ def _chunk(texts: list[bytes], langs: list[str]) -> Chunk:
     lang = np.repeat(np.fromiter((place[x] for x in langs), np.int64, len(langs)), np.diff(words.first))
     seeds = np.fromiter((xxhash.xxh3_64_intdigest(x.encode(), 7) for x in names), np.uint64, len(names))
     keys = joined_hash(seeds[lang], words.hashes)
-    ends = np.cumsum(_PIECE_ENDS[np.frombuffer(words.data, np.uint8)])[words.starts]
+    ends = np.searchsorted(np.flatnonzero(_PIECE_ENDS[np.frombuffer(words.data, np.uint8)]), words.starts)
     follows = np.append(ends[1:] == ends[:-1], False) if len(ends) else np.zeros(0, bool)
     return Chunk(names, lang, words.codes, words.distinct, keys, follows)
 
