@@ -24,7 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import column, doc_text, small_batches, text_chunks
-from .tokens import CACHED, CACHED_CHARS, Encoder
+from .tokens import CACHED_CHARS, Encoder
+
+#: Pieces and fragments that an encoder remembers at most.
+CACHED_PIECES, CACHED_FRAGMENTS = 3 << 17, 1 << 17
 
 
 def byte_alphabet() -> np.ndarray:
@@ -43,6 +46,8 @@ def byte_alphabet() -> np.ndarray:
 class BoundaryEncoder(Encoder):
     """Encodes with the vocabulary and merges of a byte-level BPE file, fragment by fragment."""
 
+    cached = CACHED_PIECES
+
     def __init__(self, path: str):
         super().__init__(path)
         with open(path, encoding="utf-8") as f:
@@ -136,7 +141,7 @@ class BoundaryEncoder(Encoder):
         pieces = [joined[a:b] + self.end if c else joined[a:b] for a, b, c in zip(begins.tolist(), ends.tolist(), closing.tolist(), strict=True)]
         own = {p: self._merged(p) for p in set(pieces) - self.fragments.keys()}
         for p, ids in own.items():
-            if len(self.fragments) < CACHED and len(p) <= CACHED_CHARS:
+            if len(self.fragments) < CACHED_FRAGMENTS and len(p) <= CACHED_CHARS:
                 self.fragments[p] = ids
         found = [own[p] if p in own else self.fragments[p] for p in pieces]
         upto = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()

@@ -88,7 +88,7 @@ class Encoder:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = list(set().union(*split) - self.known.keys())
         own = dict(zip(new, self._ids_of(new), strict=True)) if new else {}
-        room = CACHED - len(self.known)
+        room = self.cached - len(self.known)
         short = (p for p in new if len(p) <= CACHED_CHARS)
         self.known.update((p, own[p]) for p, _ in zip(short, range(room), strict=False))
         self.known.rest = {p: i for p, i in own.items() if p not in self.known}
