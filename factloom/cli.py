@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators.select import QueryError
 from .plans.catalog import Catalog
+from .schemas import OPEN_GAPS
 from .sources.declared import DeclarationError
 
 
@@ -23,8 +24,11 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="factloom")
     parser.add_argument("--root", default=".")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("inventory", "summary", "schema", "tree", "pack", "mermaid"):
+    for name in ("inventory", "summary", "schema", "tree", "pack", "mermaid", "provenance"):
         commands.add_parser(name)
+    commands.add_parser("preflight").add_argument("--task")
+    delta = commands.add_parser("delta")
+    delta.add_argument("--ref", default="HEAD")
     check = commands.add_parser("check")
     check.add_argument("--as-of")
     status = commands.add_parser("status")
@@ -39,6 +43,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("factloom").getOrCreate()
     try:
         catalog = Catalog(spark, args.root)
+        if catalog.config_error is not None and args.command != "check":
+            raise DeclarationError(catalog.config_error)
         if args.command == "check":
             found = catalog.check(args.as_of).cache()
             _print(found)
@@ -48,7 +54,12 @@ def main(argv: list[str] | None = None) -> int:
         elif args.command == "schema":
             _print(catalog.schema())
         elif args.command == "impact":
+            print(json.dumps({"open_world": {"is_lower_bound": True, "misses": list(OPEN_GAPS["calls"])}}, sort_keys=True))
             _print(catalog.impact(args.target).orderBy("distance", "node"))
+        elif args.command == "delta":
+            _print(catalog.delta(args.ref).drop("call_key").orderBy("family", "scope", "name"))
+        elif args.command in ("preflight", "provenance"):
+            print(json.dumps(catalog.context_pack(args.task) if args.command == "preflight" else catalog.provenance(), sort_keys=True, ensure_ascii=False, indent=2))
         elif args.command == "status":
             rows, state = catalog.status(args.paths, args.since)
             print(f"baseline: {state}")

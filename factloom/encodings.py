@@ -130,3 +130,80 @@ LINK_SQL = (
 found AS (SELECT page_id AS source, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages),
 link AS (SELECT source, i AS pos, l[i] AS path FROM (SELECT source, l, unnest(range(1, len(l) + 1)) AS i FROM found))"""
 )
+
+
+def change_facts(spark: SparkSession, d: str) -> DataFrame:
+    """family, scope, name, call_key of what differs between the snapshots: errors are calls of a user to a number, all others symbols."""
+    base, head = snapshots(spark, d)
+    both = base.select("*", F.lit("removed").alias("op")).distinct().unionByName(head.select("*", F.lit("added").alias("op")).distinct())
+    own = both.groupBy("user_id", "event_type", "k").agg(F.min("op").alias("op"), F.count("*").alias("n")).where("n = 1")
+    call = F.col("event_type") == "error"
+    folder = F.concat_ws("/", F.lit("src"), "event_type", (F.col("user_id") % 10).cast("string"), F.col("user_id").cast("string"))
+    key = F.concat_ws("\x00", folder, F.lit(""), F.lit("f"), F.concat(F.lit("k/"), F.col("k").cast("string")), F.lit(""), F.lit("g"))
+    return own.select(F.concat_ws("_", F.when(call, "call").otherwise("symbol"), "op").alias("family"), folder.alias("scope"), F.col("k").cast("string").alias("name"), F.when(call, key).alias("call_key"), "user_id")
+
+
+def change_rules(spark: SparkSession, d: str) -> DataFrame:
+    """A rule for each customer (manual) and supplier (derived), of every shape: scopes at four depths, any name, literal names, globs and exact calls."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("n"), F.lit("manual").alias("origin")).union(table(spark, d, "supplier").select(F.col("s_suppkey"), F.lit("live_doc_anchor")))
+    n = F.col("n")
+    kind = F.element_at(F.array(*map(F.lit, ("symbol_added", "symbol_removed", "call_added", "call_removed"))), (n % 4 + 1).cast("int"))
+    event = F.when(n % 4 >= 2, "error").otherwise(F.element_at(F.array(*map(F.lit, ("click", "purchase", "view"))), (n % 3 + 1).cast("int")))
+    folder = F.concat_ws("/", F.lit("src"), event, (n % 10).cast("string"), n.cast("string"))
+    scope = F.when(n % 97 == 0, "src").when(n % 31 == 0, F.concat_ws("/", F.lit("src"), event)).when(n % 11 == 0, F.concat_ws("/", F.lit("src"), event, (n % 10).cast("string"))).otherwise(folder)
+    name = F.when(n % 7 == 0, F.lit(None)).when(n % 7 == 1, (n % 100).cast("string")).when(n % 7 == 2, F.concat(F.lit("[!0-4]*"), (n % 10).cast("string"))).otherwise(F.concat(F.lit("?"), (n % 10).cast("string"), F.lit("*")))
+    key = F.when((n % 4 >= 2) & (n % 5 == 0), F.concat_ws("\x00", folder, F.lit(""), F.lit("f"), F.concat(F.lit("k/"), (n % 100).cast("string")), F.lit(""), F.lit("g")))
+    requirement = F.when(n % 3 == 0, F.concat(F.lit("user/"), n.cast("string"))).when(n % 3 == 1, F.concat(F.lit("user/"), F.floor(n / 10).cast("string"), F.lit("?"))).otherwise(F.concat(F.lit("*/"), (n % 1000).cast("string"), F.lit("[13579]")))
+    return c.select(F.concat_ws("-", "origin", n.cast("string")).alias("id"), kind.alias("kind"), scope.alias("scope"), name.alias("name"), key.alias("call_key"), requirement.alias("requirement"), "origin", n.cast("long").alias("ord"))
+
+
+CHANGE_SQL = (
+    SNAPSHOT_SQL
+    + """, own AS (SELECT *, 'added' AS op FROM (SELECT * FROM head EXCEPT SELECT * FROM base) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM base EXCEPT SELECT * FROM head)),
+fact AS (SELECT (CASE event_type WHEN 'error' THEN 'call_' ELSE 'symbol_' END) || op AS family, 'src/' || event_type || '/' || user_id % 10 || '/' || user_id AS scope, CAST(k AS VARCHAR) AS name, user_id,
+  CASE event_type WHEN 'error' THEN 'src/error/' || user_id % 10 || '/' || user_id || ' ' || k END AS call_key FROM own),
+num AS (SELECT c_custkey AS n, 'manual' AS origin FROM customer UNION ALL SELECT s_suppkey, 'live_doc_anchor' FROM supplier),
+event AS (SELECT n, origin, CASE WHEN n % 4 >= 2 THEN 'error' ELSE (['click', 'purchase', 'view'])[n % 3 + 1] END AS ev FROM num),
+rule AS (SELECT origin || '-' || n AS id, origin, n, (['symbol_added', 'symbol_removed', 'call_added', 'call_removed'])[n % 4 + 1] AS kind,
+  CASE WHEN n % 97 = 0 THEN 'src' WHEN n % 31 = 0 THEN 'src/' || ev WHEN n % 11 = 0 THEN 'src/' || ev || '/' || n % 10 ELSE 'src/' || ev || '/' || n % 10 || '/' || n END AS scope,
+  CASE n % 7 WHEN 0 THEN NULL WHEN 1 THEN CAST(n % 100 AS VARCHAR) WHEN 2 THEN '[!0-4]*' || n % 10 ELSE '?' || n % 10 || '*' END AS name,
+  CASE WHEN n % 4 >= 2 AND n % 5 = 0 THEN 'src/' || ev || '/' || n % 10 || '/' || n || ' ' || n % 100 END AS call_key,
+  CASE n % 3 WHEN 0 THEN 'user/' || n WHEN 1 THEN 'user/' || n // 10 || '?' ELSE '*/' || n % 1000 || '[13579]' END AS requirement FROM event)"""
+)
+
+
+def advised_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """caller, callee: users of consecutive events of a day, where the first is a costly purchase; advice beside ``calls``."""
+    from pyspark.sql import Window as W
+
+    next_user = F.lead("user_id").over(W.partitionBy(F.to_date("ts")).orderBy("ts", "event_id"))
+    pairs = table(spark, d, "events").select("event_type", "value", F.col("user_id").alias("caller"), next_user.alias("callee"))
+    return pairs.where("event_type = 'purchase' and value >= 80 and callee is not null").select("caller", "callee").distinct()
+
+
+ADVISED_SQL = CALL_SQL + ", adv AS (SELECT DISTINCT caller, callee FROM pair WHERE event_type = 'purchase' AND value >= 80 AND callee IS NOT NULL)"
+
+
+def edge_documents(spark: SparkSession, d: str) -> DataFrame:
+    """source, payload: each order as a JSON document of its items as calls, in all shapes, some of them broken."""
+    item = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    n, part, other = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    path = lambda c: F.when(c % 50 == 0, F.concat(F.lit("/elsewhere/p"), c.cast("string"), F.lit(".py"))).when(c % 3 == 0, F.concat(F.lit("file:///repo/p"), c.cast("string"), F.lit(".py"))).otherwise(F.concat(F.lit("./p"), c.cast("string"), F.lit(".py")))
+    name = lambda c: F.when(c % 13 != 0, F.concat(F.lit("f"), (c % 7).cast("string")))
+    owner = F.when(part % 2 == 0, F.concat(F.lit("C"), (part % 5).cast("string")))
+    nested = F.to_json(F.struct(F.struct(path(part).alias("file"), name(part).alias("name"), owner.alias("cls"), n.cast("string").alias("line")).alias("caller"), F.struct(path(other).alias("path"), name(other).alias("symbol")).alias("callee"), F.col("l_returnflag").alias("kind")))
+    snake = F.to_json(F.struct(path(part).alias("caller_path"), name(part).alias("caller_function"), owner.alias("caller_class"), n.alias("caller_line"), path(other).alias("callee_file"), name(other).alias("callee_name"), F.col("l_returnflag").alias("type")))
+    camel = F.to_json(F.struct(path(part).alias("callerPath"), name(part).alias("callerSymbol"), owner.alias("callerClass"), n.alias("callerLine"), path(other).alias("calleeFile"), name(other).alias("calleeName"), F.lit(" ").alias("resolution")))
+    edge = F.when(n == 5, "7").when(n % 2 == 1, nested).when(n == 2, snake).otherwise(camel)
+    listed = item.select(F.col("l_orderkey").alias("source"), F.struct(n.alias("n"), part.alias("p"), other.alias("s"), edge.alias("edge")).alias("e")).groupBy("source").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    array = F.concat(F.lit("["), F.array_join(F.transform("e", lambda x: x["edge"]), ","), F.lit("]"))
+    under_ = lambda k: F.concat(F.lit('{"nodes":[],"' + k + '":'), array, F.lit("}"))
+    key = F.col("source") % 8
+    shapes = F.when(key == 0, array).when(key == 1, under_("edges")).when(key == 2, under_("calls")).when(key == 3, under_("callEdges")).when(key == 4, under_("links")).when(key == 5, F.concat(F.lit('{"edges":1,"graph":'), under_("edges"), F.lit("}"))).when(key == 6, under_("items")).otherwise(F.substring(array, 2, 1000000))
+    return listed.select(F.col("source").cast("string").alias("source"), shapes.alias("payload"))
+
+
+EDGE_SQL = """item AS (SELECT CAST(l_orderkey AS VARCHAR) AS source, l_orderkey % 8 AS key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS entry, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_returnflag AS flag FROM lineitem),
+judged AS (SELECT *, CASE WHEN n = 5 THEN 'not-object' WHEN p % 50 = 0 THEN 'caller outside-repo' WHEN p % 13 = 0 THEN 'caller missing-symbol' WHEN s % 50 = 0 THEN 'callee outside-repo' WHEN s % 13 = 0 THEN 'callee missing-symbol' END AS reason FROM item WHERE key < 6),
+edge AS (SELECT source, 'p' || p || '.py' AS caller_path, CASE WHEN p % 2 = 0 THEN 'C' || p % 5 ELSE '' END AS caller_class, 'f' || p % 7 AS caller_symbol, 'p' || s || '.py' AS callee_path, '' AS callee_class, 'f' || s % 7 AS callee_symbol,
+  CASE WHEN n % 2 = 1 OR n = 2 THEN flag ELSE 'heuristic' END AS resolution, CAST(arg_min(n, entry) AS INTEGER) AS line FROM judged WHERE reason IS NULL GROUP BY ALL)"""

@@ -86,3 +86,24 @@ def shared_head(a: Column, b: Column) -> Column:
     """How many leading components two paths share."""
     pairs = F.zip_with(F.split(a, "/"), F.split(b, "/"), lambda x, y: F.coalesce(x == y, F.lit(False)))
     return F.array_position(F.concat(pairs, F.array(F.lit(False))), False) - 1
+
+
+def glob_pattern(pattern: Column) -> Column:
+    """``glob_regex`` for a column of patterns, where * and ? cross slashes: for tables of rules."""
+    pieces = F.regexp_extract_all(pattern, F.lit(r"(?s)(\[!?\]?[^\]]*\]|.)"), 1)
+
+    def said(piece: Column) -> Column:
+        inner = F.substr(piece, F.lit(2), F.length(piece) - 2)
+        negated = inner.startswith("!")
+        body = F.regexp_replace(F.when(negated, F.substr(inner, F.lit(2))).otherwise(inner), r"([\\\[\]&^])", r"\\$1")
+        listed = F.concat(F.lit("["), F.when(negated, "^").otherwise(""), body, F.lit("]"))
+        plain = F.when(piece.rlike(r"[A-Za-z0-9/_\- ]"), piece).when(piece.rlike(r"[\x00-\x7F]"), F.concat(F.lit("\\"), piece)).otherwise(piece)
+        return F.when(piece == "*", ".*").when(piece == "?", ".").when(F.length(piece) > 2, listed).otherwise(plain)
+
+    return F.concat(F.lit("(?s)^(?:"), F.array_join(F.transform(pieces, said), ""), F.lit(r")\z"))
+
+
+def glob_folder(pattern: Column) -> Column:
+    """The folders that everything a pattern matches lies below: what stands before the last slash of its literal head."""
+    head = literal_head(pattern)
+    return F.when(F.instr(head, "/") > 0, F.regexp_replace(head, r"/[^/]*$", "")).otherwise(F.lit(""))

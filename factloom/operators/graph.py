@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,27 +12,65 @@ from pyspark.sql import functions as F
 def written(df: DataFrame, name: str) -> DataFrame:
     """Lineage cut that survives lost executors: a table in the shared folder."""
     spark = df.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/factloom"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of reached nodes that are kept before they are written as one.
+PARTS = 6
+
+
 def reverse_reach(edges: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
     """node, distance: everything that reaches a target (node) along edges (caller, callee); targets have distance 0."""
     back = written(edges.select(F.col("callee").alias("node"), F.col("caller").alias("up")).where("node <> up").distinct(), "edges")
     seen = written(targets.select("node").distinct().withColumn("distance", F.lit(0)), "reached")
-    frontier, depth = seen, 0
+    frontier, depth, parts = seen, 0, 1
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(back, "node").select(F.col("up").alias("node")).distinct().join(seen, "node", "left_anti")
         frontier = written(step.withColumn("distance", F.lit(depth)), "frontier")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen, parts = seen.unionByName(frontier), parts + 1
+        if parts == PARTS:
+            seen, parts = written(seen, "reached"), 1
     return seen
 
 
+def two_distances(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """node, distance over any edges and proven_distance over proven ones alone (null: reached by advice only).
+
+    edges: caller, callee, proven. One fixpoint over pairs of node and what has borne it out so far: a proven edge leads on from both, an advised
+    one only from what advice may reach.
+    """
+    pair = lambda c, proven: F.struct(F.col(c).alias("node"), proven.alias("proven"))
+    kinds = F.when(F.col("proven"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    doubled = edges.select("caller", "callee", F.explode(kinds).alias("by")).select(pair("caller", F.col("by")).alias("caller"), pair("callee", F.col("by")).alias("callee"))
+    start = targets.select("node", F.explode(F.array(F.lit(True), F.lit(False))).alias("by")).select(pair("node", F.col("by")).alias("node"))
+    reach = reverse_reach(doubled, start).select("node.*", "distance")
+    return reach.groupBy("node").agg(F.min(F.when(~F.col("proven"), F.col("distance"))).alias("distance"), F.min(F.when(F.col("proven"), F.col("distance"))).alias("proven_distance"))
+
+
+def arriving_edges(reach: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, distance, callee, provenance, resolution: the edges by which each reached node comes one step nearer; a row each."""
+    near = reach.select(F.col("node").alias("callee"), (F.col("distance") + 1).alias("distance"))
+    pairs = edges.select("caller", "callee", "provenance", "resolution").distinct().join(near, "callee")
+    own = reach.select(F.col("node").alias("caller"), "distance")
+    return pairs.join(own, ["caller", "distance"]).select(F.col("caller").alias("node"), "distance", "callee", "provenance", "resolution")
+
+
+def affected(reach: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each reached node but the targets: node, distance, proven_distance, advised_only, n_via, provenance and resolution of the edges that arrive."""
+    told = arriving_edges(reach, edges).groupBy("node").agg(F.count_distinct("callee").alias("n_via"), F.array_sort(F.collect_set("provenance")).alias("provenance"), F.array_sort(F.collect_set("resolution")).alias("resolution"))
+    return reach.where("distance > 0").join(told, "node").select("node", "distance", "proven_distance", F.col("proven_distance").isNull().alias("advised_only"), "n_via", "provenance", "resolution")
+
+
 def arriving(reach: DataFrame, edges: DataFrame) -> DataFrame:
     """node, distance, via: for every reached node but the targets, the callees one step nearer that it calls."""
     near = reach.select(F.col("node").alias("callee"), (F.col("distance") + 1).alias("distance"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -60,10 +61,60 @@ def ordered_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy(rank, "check_id", "message")
 
 
-def digest(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: sha256: and the hash of all rows in binary order, columns joined by tabs and rows by line feeds.
+#: Distinct rows that one leaf of a digest's tree holds, about.
+LEAF = 4096
 
-    For inventories of declared size; the text of all rows meets in one place.
+
+def digest(df: DataFrame, columns: list[str], leaf: int = LEAF) -> DataFrame:
+    """One row: ``sha256:`` and the hash of all rows, the same however they are partitioned; order says nothing, repeats do.
+
+    A tree: rows become hashes with their counts (equal rows are counted before they are shuffled), hashes that begin alike make a leaf, and
+    leaves are joined in order of their beginnings, four digits at a step, so no group holds more than about ``leaf`` or 65,536 hashes. How many
+    digits a leaf has follows from the number of distinct rows alone: the fewest for which 16 ** digits leaves hold ``leaf`` rows each.
     """
     row = F.concat_ws("\t", *[spelled(df, c) for c in columns])
-    return df.agg(F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n"), 256)).alias("digest"))
+    hashed = df.select(F.sha2(row, 256).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    distinct, digits = hashed.count(), 0
+    while leaf * 16**digits < distinct:
+        digits += 1
+    told = hashed.select(F.substring("h", 1, digits).alias("part"), F.concat_ws(":", "h", F.col("n").cast("string")).alias("told"))
+    while True:
+        joined = told.groupBy("part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("told")), "\n"), 256).alias("h"))
+        if not digits:
+            whole = joined.agg(F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)).alias("h"))
+            return whole.select(F.concat(F.lit("sha256:"), F.col("h")).alias("digest"))
+        digits = max(0, digits - 4)
+        told = joined.select(F.substring("part", 1, digits).alias("part"), F.concat_ws(":", "part", "h").alias("told"))
+
+
+def tree_of(digests: dict[str, str | None]) -> str | None:
+    """One digest of several named ones; none if one of them is none."""
+    if any(v is None for v in digests.values()):
+        return None
+    return "sha256:" + hashlib.sha256("\n".join(f"{k}\t{v}" for k, v in sorted(digests.items())).encode()).hexdigest()
+
+
+def section(name: str, df: DataFrame, order: list[str], cap: int | None) -> DataFrame:
+    """Rows of one list as section, cap, key (an order shared by all lists) and row (JSON)."""
+    # numbers are padded, so that texts sort as they do
+    text = lambda c: F.when(F.col(c).isNull(), F.lit("")).otherwise(F.lpad(F.col(c).cast("string"), 20, "0") if isinstance(df.schema[c].dataType, Ty.IntegralType) else F.col(c).cast("string"))
+    row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    return df.select(F.lit(name).alias("section"), F.lit(cap).cast("int").alias("cap"), F.array(*map(text, order)).alias("key"), row.alias("row"))
+
+
+#: Parts that a section is dealt to before its first rows are told.
+PARTS = 32
+
+
+def first_of_each(rows: DataFrame) -> DataFrame:
+    """section, rank, row, total, truncated: the first rows of each section up to its cap, and how many there are.
+
+    Counting and cutting are one pass: each part of a section numbers and counts its own rows and keeps its first ones; what is left of
+    the parts is numbered again. Without a cap all rows stay.
+    """
+    part = F.pmod(F.xxhash64("row"), F.lit(PARTS))
+    own = Window.partitionBy("section", "part")
+    kept = rows.withColumn("part", part).withColumn("own", F.row_number().over(own.orderBy("key", "row"))).withColumn("own_total", F.count("*").over(own)).where("cap is null or own <= greatest(cap, 1)")
+    whole = Window.partitionBy("section")
+    every = kept.withColumn("rank", F.row_number().over(whole.orderBy("key", "row"))).withColumn("total", F.sum(F.when(F.col("own") == 1, F.col("own_total"))).over(whole))
+    return every.where("cap is null or rank <= cap").select("section", "rank", "row", "total", F.coalesce(F.col("total") > F.col("cap"), F.lit(False)).alias("truncated"))

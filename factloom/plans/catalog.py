@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 from functools import cached_property, reduce
@@ -15,10 +16,13 @@ from ..functions.paths import ancestors, parent, under
 from ..operators import code as K
 from ..operators import delta as D
 from ..operators import graph as G
+from ..operators import matching as M
+from ..operators import obligations as B
 from ..operators import ownership as O
 from ..operators import select as S
 from ..operators import status as ST
 from ..schemas import empty, family_world
+from ..sources import advisory as A
 from ..sources import declared
 from ..sources import repository as repo
 from ..sources import text_claims as T
@@ -35,11 +39,16 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, root: str, control: str = CONTROL, exclude_under: tuple[str, ...] = ()):
         self.spark, self.root, self.control, self.exclude = spark, root, control, exclude_under
-        self.config = self._yaml("config.yml")
+        self.config_error: str | None = None
+        try:
+            self.config = self._yaml("config.yml")
+        except declared.DeclarationError as e:  # told by check() as its only finding
+            self.config, self.config_error = {}, str(e)
         self.wiki = self.config.get("wiki") or {}
         book = self.wiki.get("book_root")
         book = "wiki" if book is None else book.removeprefix("./").rstrip("/")
         self.derived = tuple([book] if book else ())
+        self._deltas: dict[str, DataFrame] = {}
         self.roots = tuple((self.config.get("workspace") or {}).get("roots") or ["."])
 
     def _yaml(self, name: str) -> dict[str, Any]:
@@ -78,7 +87,7 @@ class Catalog:
             "symbols": lambda: K.symbols(self.events),
             "imports": lambda: K.imports(self.events),
             "calls": lambda: K.calls(self.events),
-            "doc_claims": lambda: T.doc_claims(self.contents, self.disk, tuple(self.config.get("skip_docs") or ()), self.derived),
+            "doc_claims": lambda: T.doc_claims(self.contents, self.disk, (*self._unread(), *(self.config.get("skip_docs") or ())), self.derived),
             "wiki_claims": lambda: T.wiki_claims(self.contents, self.disk, self.wiki.get("path", f"{self.control}/wiki"), self.derived),
             "html_claims": lambda: T.html_claims(self.contents, self.disk, self._sources("authoritative") + self._sources("supporting"), self.derived),
             "tasks": lambda: repo.tasks(self.contents, (self.config.get("workflow") or {}).get("root", ".trellis"))[0],
@@ -86,6 +95,10 @@ class Catalog:
             "skipped": lambda: K.skipped(self.events, "symbols"),
         }
 
+    def _unread(self) -> tuple[str, ...]:
+        """Folders whose pages make no claims: tasks, workspaces of the workflow, and pages on code, whose prose only advises."""
+        return (".trellis/tasks/", ".trellis/workspace/", f"{self.control}/wiki/code/")
+
     def _sources(self, authority: str) -> list[str]:
         return list((self.config.get("constraint_sources") or {}).get(authority) or [])
 
@@ -93,7 +106,9 @@ class Catalog:
         if name not in self.relations:
             raise S.QueryError(f"unknown kind {name!r}; there are {', '.join(self.relations)}")
         if name not in self.__dict__:
-            self.__dict__[name] = self.relations[name]().cache()
+            # what much is built on is written, which cuts its lineage; the others are cached
+            made = self.relations[name]()
+            self.__dict__[name] = G.written(made, name) if name in ("symbols", "imports", "calls") else made.cache()
         return self.__dict__[name]
 
     def register(self) -> None:
@@ -110,10 +125,26 @@ class Catalog:
     def schema(self) -> DataFrame:
         return S.schema_of(self.spark, {k: self.table(k) for k in KINDS})
 
+    @cached_property
+    def advised(self) -> tuple[DataFrame, DataFrame]:
+        """Calls that another program left in the control folder as calls.json, and what of it was left out."""
+        path = Path(self.root) / self.control / "calls.json"
+        payload = [(f"{self.control}/calls.json", path.read_text(errors="replace"))] if path.exists() else []
+        edges, skipped = A.edges_from_json(self.spark.createDataFrame(payload, "source string, payload string"), str(Path(self.root).resolve()))
+        return edges.cache(), skipped
+
     def impact(self, target: str) -> DataFrame:
-        """What reaches the target (a path, a symbol, Class.method or module.symbol): node, distance, via."""
-        calls = self.table("calls")
-        pairs = P.call_pairs(calls).select(F.col("subject").alias("caller"), F.col("object").alias("callee"))
+        """What reaches the target (a path, a symbol, Class.method or module.symbol) over parsed and advised calls.
+
+        node, distance, proven_distance (over parsed calls alone, null if only advice leads there), advised_only, n_via, provenance and
+        resolution of the arriving calls, is_lower_bound: what is missing here may still be affected (schemas.OPEN_GAPS).
+        """
+        parsed = self.table("calls")
+        ends = [f"{e}_{c}" for e in ("caller", "callee") for c in ("path", "class", "symbol")]
+        calls = parsed.select(*ends, "caller_module", "callee_module", "resolution")
+        told = self.advised[0].select(*ends, *[F.replace(F.regexp_replace(f"{e}_path", r"\.[^.]*$", ""), F.lit("/"), F.lit(".")).alias(f"{e}_module") for e in ("caller", "callee")], "resolution")
+        pairs = A.impact_edges(calls, told).withColumn("proven", F.col("provenance") == "deterministic").cache()
+        calls = calls.unionByName(told)
         end = lambda e: calls.select(F.concat_ws("::", f"{e}_path", f"{e}_class", f"{e}_symbol").alias("node"), *[F.col(f"{e}_{c}").alias(c) for c in ("module", "class", "symbol", "path")])
         nodes = end("caller").union(end("callee")).distinct()
         if target.endswith(".py") or "/" in target:
@@ -121,19 +152,30 @@ class Catalog:
         else:
             names = ("symbol", F.concat_ws(".", "class", "symbol"), F.concat_ws(".", "module", "symbol"), F.concat_ws(".", "module", "class", "symbol"))
             wanted = nodes.where(F.lit(target).isin(*[F.col(n) if isinstance(n, str) else n for n in names]))
-        reach = G.reverse_reach(pairs, wanted.select("node"))
-        return G.arriving(reach, pairs).where("distance > 0")
+        reach = G.written(G.two_distances(pairs, wanted.select("node")), "impact")
+        return G.affected(reach, pairs).withColumn("is_lower_bound", F.lit(True))
 
     def delta(self, ref: str = "HEAD") -> DataFrame:
-        """family (symbol_added, ...), scope, name between a commit and the working tree; without a baseline all is added."""
+        """family (symbol_added, ...), scope, name, detail (kind of a symbol, path of an import) and call_key between a commit and the working tree.
+
+        Symbols are known by module, name and kind, imports with where they lead, calls by both ends; without a baseline all is added.
+        """
+        if ref in self._deltas:
+            return self._deltas[ref]
         before = repo.contents_at(self.spark, self.root, ref)
         base = python_events(before) if before is not None else self.events.limit(0)
-        shapes = {"symbol": (K.symbols, ["module", "name", "kind"]), "import": (K.imports, ["module", "target", "target_path"]), "call": (K.calls, ["caller_path", "callee_symbol", "caller_class", "caller_symbol", "callee_path", "callee_class"])}
+        none = F.lit(None).cast("string")
+        shapes = {
+            "symbol": (K.symbols, ["module", "name", "kind"], ("module", "name"), F.col("kind"), none),
+            "import": (K.imports, ["module", "target", "target_path"], ("module", "target"), F.col("target_path"), none),
+            "call": (K.calls, list(M.CALL), ("caller_path", "callee_symbol"), none, B.call_key(*M.CALL)),
+        }
         parts = []
-        for family, (extract, keys) in shapes.items():
+        for family, (extract, keys, (scope, name), detail, key) in shapes.items():
             op = D.diff(extract(base), extract(self.events), keys).where("op <> 'same'")
-            parts.append(op.select(F.concat_ws("_", F.lit(family), "op").alias("family"), F.col(keys[0]).alias("scope"), F.col(keys[1]).alias("name")))
-        return parts[0].unionByName(parts[1])
+            parts.append(op.select(F.concat_ws("_", F.lit(family), "op").alias("family"), F.col(scope).alias("scope"), F.col(name).alias("name"), detail.alias("detail"), key.alias("call_key")))
+        self._deltas[ref] = G.written(reduce(DataFrame.unionByName, parts), "delta")
+        return self._deltas[ref]
 
     def status(self, paths: list[str] | None = None, since: str | None = None) -> tuple[DataFrame, str]:
         """What the changed files bring up (path, kind, message) and how the baseline stands: ok, no-baseline, stale-baseline or error.
@@ -168,6 +210,8 @@ class Catalog:
 
     def check(self, as_of: str | None = None) -> DataFrame:
         """All policies' findings in their fixed order. Authored files that do not load are findings, and the policies that need them wait."""
+        if self.config_error is not None:
+            return P.report([P.load_errors(self.spark, [("config-load-error", self.config_error)])])
         errors: list[tuple[str, str]] = []
 
         def loaded(check: str, make: Callable[[], Any], otherwise: Any) -> Any:
@@ -185,21 +229,25 @@ class Catalog:
         claims_doc = loaded("claims-load-error", lambda: self._yaml("claims.yml"), {})
         excuses = [(c.get("symbol"), c.get("relationship"), c.get("owner"), c.get("reason"), list(c.get("modules") or [])) for c in claims_doc.get("duplicate_relationships") or []]
         excuse = self.spark.createDataFrame(excuses, "symbol string, relationship string, owner string, reason string, modules array<string>")
-        couplings = [{"id": f"coupling {i}", "kind": (c.get("when_fact") or {}).get("kind"), "scope": (c.get("when_fact") or {}).get("scope", ""), "name": (c.get("when_fact") or {}).get("name"), "requirement": r} for i, c in enumerate(claims_doc.get("fact_couplings") or []) for r in c.get("requires") or [None]]
+        manual, wrong_rules = B.manual_rules(self.spark, claims_doc.get("fact_couplings"))
+        claims, malformed = G.written(claims, "claims"), G.written(malformed, "malformed")
+        rules = G.written(B.effective(manual, B.derived_rules(claims)), "rules")
         symbols, imports, calls = (self.table(t) for t in ("symbols", "imports", "calls"))
         waivers, wrong = declared.waivers(self.spark, loaded("waiver-load-error", lambda: self._yaml("waivers.yml"), {}))
         authoritative, supporting = self._sources("authoritative"), self._sources("supporting")
+        workflow = self.config.get("workflow") or {}
         parts = [
             P.load_errors(self.spark, errors),
             P.unmatched_sources(self.disk, {"authoritative": authoritative, "supporting": supporting}),
-            P.task_context(self.disk, (self.config.get("workflow") or {}).get("root", ".trellis")),
+            P.task_context(self.disk, workflow.get("root") or ".trellis", workflow.get("adapter")),
         ]
         if structure is not None:
             parts += [P.missing_structure_owner(self.files, structure["units"]), P.structure_drift(structure["units"], self.disk), P.deprecated_path_used(self.files, structure["deprecated_paths"])]
         if program is not None:
             parts.append(P.plan_cycles(program))
         if roles is not None:
-            parts.append(P.document_set(roles, self.disk, authoritative, supporting))
+            required = self._yaml("documents.yml").get("required_roles") or [] if (Path(self.root) / self.control / "documents.yml").exists() else None
+            parts.append(P.document_set(roles, self.disk, authoritative, supporting, required))
         parts += [
             P.stale_claims(self.table("doc_claims")),
             P.stale_claims(self.table("html_claims"), "stale-html-claim", ("link", "code")),
@@ -209,9 +257,13 @@ class Catalog:
         if structure is not None:
             parts.append(P.dependency_direction(imports, structure["units"], structure["rules"]))
         parts.append(P.stale_wiki_claims(self.table("wiki_claims"), authoritative + supporting))
-        if couplings:
-            parts.append(P.fact_coupling(self.delta(), couplings, repo.changed_paths(self.spark, self.root)))
-        parts.append(P.code_anchor(claims, P.node_universe(symbols, calls), P.call_pairs(calls)))
+        some = not rules.isEmpty()  # without rules nothing asks what has changed
+        delta = self.delta() if some else self.spark.createDataFrame([], "family string, scope string, name string, call_key string")
+        parts.append(G.written(P.fact_coupling(delta, rules, repo.changed_paths(self.spark, self.root), wrong_rules, malformed), "findings"))
+        if structure is not None and program is not None:
+            made, blocks = T.generated_claims(self.contents.where(under(F.col("path"), F.lit(self._book()))) if self._book() else self.contents.limit(0))
+            parts.append(P.generated_drift(made, blocks.select("source"), structure["units"], program))
+        parts.append(G.written(P.code_anchor(claims, P.node_universe(symbols, calls), P.call_pairs(calls), self.delta), "findings"))
         if policies:
             named = [(str(k), v.get("status") if isinstance(v, dict) else None) for k, v in policies.items()]
             parts.append(P.policy_registry(symbols, self.spark.createDataFrame(named, "id string, status string"), self._yaml("policies.yml").get("implemented_under") or "policies"))
@@ -253,6 +305,51 @@ class Catalog:
             "roadmap": self.table("work_items").select("id", "phase", "title", "status").orderBy("id"),
         }
 
+    def provenance(self) -> dict[str, str | None]:
+        """Digests of all facts and of the declared policies, each by itself and none if it cannot be had."""
+
+        def safe(make: Callable[[], str | None]) -> str | None:
+            try:
+                return make()
+            except Exception:  # it says of a run what it saw, and must not end it
+                return None
+
+        def facts() -> str | None:
+            return S.tree_of({k: S.digest(self.table(k), sorted(self.table(k).columns)).first()[0] for k in KINDS})
+
+        def policies() -> str | None:
+            document = self._yaml("policies.yml")
+            return "sha256:" + hashlib.sha256(json.dumps(document, sort_keys=True, default=str).encode()).hexdigest() if document else None
+
+        return {"inventory_hash": safe(facts), "policy_version": safe(policies)}
+
+    def context_pack(self, task: str | None = None) -> dict[str, Any]:
+        """What to read before work: the task and, if there is one, what its changed files touch; what to repair; provenance.
+
+        Lists are cut at their caps and say how many rows there are: affected units, symbols of these units to use again (80, by module, line and
+        name), claims to repair (20) and advised calls (80).
+        """
+        found = self.table("tasks").where(F.col("id") == task).limit(1).collect() if task else []
+        roots = self.wiki.get("product_roots") or ["src"]
+        placed = P.literal_units(self.structure["units"])
+        owned = O.owner(repo.changed_paths(self.spark, self.root).select("path").distinct(), placed, F.col("tie")).where("unit_id is not null").select(F.col("unit_id").alias("id")).distinct()
+        units = self.structure["units"].join(owned, "id", "left_semi").select("id", "path", "owner")
+        inside = reduce(lambda a, r: a | under(F.col("prefix"), F.lit("" if r == "." else r)), roots, F.lit(False))
+        scopes = placed.join(owned, "id", "left_semi").where("prefix <> ''").where(inside).select(F.col("prefix").alias("scope")).distinct()
+        reuse = self.table("symbols").select("*", F.explode(ancestors(F.col("module"))).alias("scope")).join(scopes, "scope", "left_semi").select("module", "name", "kind", "line").distinct()
+        claims, _ = T.structural_claims(self.contents)
+        stale = G.written(P.stale_anchors(claims, P.node_universe(self.table("symbols"), self.table("calls")), P.call_pairs(self.table("calls"))), "stale")
+        sections = [S.section("repair_targets", P.repair_targets(stale, self.delta()), ["source", "line", "old"], 20), S.section("advised_calls", self.advised[0].drop("source"), [*M.CALL, "resolution"], 80)]
+        if found:
+            sections += [S.section("reuse_candidates", reuse, ["module", "line", "name"], 80), S.section("affected_units", units, ["id"], None)]
+        lists = {name: {"rows": [], "total": 0, "truncated": False} for name in ("repair_targets", "advised_calls", *(("reuse_candidates", "affected_units") if found else ()))}
+        for r in S.first_of_each(reduce(DataFrame.unionByName, sections)).orderBy("section", "rank").collect():  # bounded by the caps and the units
+            lists[r["section"]] = {"rows": [*lists[r["section"]]["rows"], json.loads(r["row"])], "total": r["total"], "truncated": r["truncated"]}
+        return {"kind": "context_pack", "task": found[0].asDict() if found else None, "read_first": sorted(self._sources("authoritative")), "supporting": sorted(self._sources("supporting")), **lists, "provenance": self.provenance()}
+
+    def _book(self) -> str:
+        return self.derived[0] if self.derived else ""
+
     def inventory(self) -> str:
         """All blocks as JSON with sorted keys and rows, the same bytes for the same facts."""
         blocks = {}

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors, glob_regex, under
+from ..functions.paths import ancestors, glob_regex, parent, under
 from ..operators import claims as C
 from ..operators import delta as D
 from ..operators import duplicates as DU
 from ..operators import graph as G
+from ..operators import matching as M
+from ..operators import obligations as B
 from ..operators import ownership as O
 from ..operators import resolve as R
 
@@ -108,23 +111,26 @@ def duplicate_implementation(symbols: DataFrame, claims: DataFrame, scope: str =
 def dependency_direction(imports: DataFrame, units: DataFrame, rules: DataFrame) -> DataFrame:
     placed = literal_units(units)
     paths = imports.select(F.col("module").alias("path")).union(imports.select("target_path")).where("path is not null").distinct()
-    owned = O.owner_with_globs(paths, placed, glob_units(units), F.col("tie")).select("path", F.col("unit_id").alias("unit"))
+    owned = O.owner(paths, placed, F.col("tie")).select("path", F.col("unit_id").alias("unit"))  # rules are of literal units; globs own files only
     bad = R.leaves_only(R.forbidden_edges(imports, rules, owned, placed.select(F.col("id").alias("unit"), "prefix")))
     lined = bad.join(imports.groupBy("module", "target").agg(F.min("line").alias("line"), F.min("target_path").alias("target_path")), ["module", "target"])
     evidence = F.array(F.struct(F.col("module").alias("path"), F.col("line").cast("int").alias("line"), F.lit(None).cast("string").alias("detail")), F.struct(F.col("target_path").alias("path"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("detail")))
     return _findings(lined, "error", "dependency-direction", _say(F.col("module"), " must not import ", F.col("target"), " of unit ", F.col("forbidden")), evidence)
 
 
-def fact_coupling(delta: DataFrame, obligations: list[dict], changed: DataFrame) -> DataFrame:
-    """delta: family (symbol_added, ...), scope, name. Obligations without kind or requirement are errors."""
-    good = [o for o in obligations if o.get("kind") and o.get("requirement") and o.get("id")]
-    spark = delta.sparkSession
-    wrong = spark.createDataFrame([(str(o.get("id") or i),) for i, o in enumerate(obligations) if o not in good], "id string")
-    out = _findings(wrong, "error", "fact-coupling", _say("malformed coupling ", F.col("id")), F.array())
-    if good:
-        missing = D.missing_companions(delta, good, changed)
-        out = out.unionByName(_findings(missing, "error", "fact-coupling", _say(F.col("requirement"), " must change with what ", F.col("obligation"), " watches"), _at("requirement")))
-    return out
+def fact_coupling(delta: DataFrame, rules: DataFrame, changed: DataFrame, wrong: list[str], malformed: DataFrame) -> DataFrame:
+    """Rules (operators.obligations) that the delta (family, scope, name, call_key) fires and whose requirement did not change.
+
+    What is wrong with authored couplings, and malformed lines of live documents (source, line, detail), are errors as well.
+    """
+    missing = B.unmet(B.fired(rules, delta), changed)
+    said = _say("a ", F.col("kind"), " fact under ", F.col("scope"), F.when(F.col("name").isNotNull(), _say(" matching ", F.col("name"))).otherwise(""), " asks for a change of ", F.col("requirement"), ", which did not change")
+    place = F.when(F.col("origin") == "manual", F.lit("claims.yml")).otherwise(F.col("requirement"))
+    line = F.when(F.col("origin") != "manual", F.col("ord"))
+    out = _findings(missing, "error", "fact-coupling", said, _at(place, line, F.col("id")), None, F.to_json(F.struct("kind", "scope", F.coalesce("name", F.lit("")).alias("name"), F.col("requirement").alias("requires"), "origin")))
+    bad = delta.sparkSession.createDataFrame([(w,) for w in wrong], "told string")
+    out = out.unionByName(_findings(bad, "error", "fact-coupling", _say("malformed coupling: ", F.col("told")), _at(F.lit("claims.yml"))))
+    return out.unionByName(_findings(malformed, "error", "fact-coupling", _say("malformed declaration in a live document: ", F.col("detail")), _at("source", F.col("line"), F.col("detail"))))
 
 
 def generated_drift(claims: DataFrame, pages: DataFrame, units: DataFrame, items: DataFrame) -> DataFrame:
@@ -151,12 +157,46 @@ def call_pairs(calls: DataFrame) -> DataFrame:
     return calls.select(address("caller").alias("subject"), address("callee").alias("object")).distinct()
 
 
-def code_anchor(claims: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def repair_targets(stale: DataFrame, delta: DataFrame) -> DataFrame:
+    """source, line, kind, old, new, action of claims that lead nowhere: what they may mean now, null if nothing added is like it.
+
+    stale: source, line, kind, subject, object. A symbol claim is matched if its symbol was removed, a call claim if its call was; claims of
+    methods, folders and files have no target.
+    """
+    part = lambda c, i: F.try_element_at(F.split(c, "::"), F.lit(i))
+    three = lambda c: F.size(F.split(c, "::")) == 3
+    symbols = stale.where("kind <> 'calls'").where(three("subject") & (part("subject", 2) == "") & (part("subject", 1) != "") & (part("subject", 3) != "")).select(*stale.columns, part("subject", 1).alias("module"), part("subject", 3).alias("name"))
+    gone = delta.where("family = 'symbol_removed'").groupBy(F.col("scope").alias("module"), "name").agg(F.min("detail").alias("of_kind"))
+    asked = symbols.join(gone, ["module", "name"], "left").withColumn("id", F.concat_ws("\x00", "source", F.col("line").cast("string"), "subject"))
+    added = delta.where("family = 'symbol_added'").select(F.col("scope").alias("module"), "name", F.col("detail").alias("kind"))
+    best = M.similar_symbols(asked.where("of_kind is not null").select("id", "name", "module", F.col("of_kind").alias("kind")), added)
+    told = asked.join(best.select("id", F.concat_ws("::", "module", F.lit(""), "name").alias("new")), "id", "left")
+    one = told.select("source", "line", "kind", F.col("subject").alias("old"), "new", F.lit("retarget-subject-node").alias("action"))
+    six = [part(c, i).alias(n) for n, (c, i) in zip(M.CALL, [(c, i) for c in ("subject", "object") for i in (1, 2, 3)], strict=True)]
+    calls = stale.where("kind = 'calls'").where(three("subject") & three("object")).select(F.concat_ws("\x00", "source", F.col("line").cast("string"), "subject", "object").alias("id"), *stale.columns, *six)
+    keyed = lambda op: delta.where(F.col("family") == f"call_{op}").select(*[F.split("call_key", "\x00")[i].alias(n) for i, n in enumerate(M.CALL)])
+    matched = M.similar_calls(calls.join(keyed("removed"), list(M.CALL), "left_semi").select("id", *M.CALL), keyed("added"))
+    address = lambda e: F.concat_ws("::", *[F.col(f"{e}_{c}") for c in ("path", "class", "symbol")])
+    named = matched.select("id", F.concat_ws(" -> ", address("caller"), address("callee")).alias("new"))
+    other = calls.join(named, "id", "left").select("source", "line", "kind", F.concat_ws(" -> ", "subject", "object").alias("old"), "new", F.lit("retarget-call-edge").alias("action"))
+    return one.unionByName(other)
+
+
+def stale_anchors(claims: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Structural claims that no node or call bears out."""
     lone = C.unresolved(claims.where("kind <> 'calls'"), nodes.select(F.col("node").alias("subject")), ["subject"])
-    called = C.unresolved(claims.where("kind = 'calls'"), pairs, ["subject", "object"])
-    both = lone.unionByName(called)
-    return _findings(both, "warning", "code-anchor", _say(F.col("kind"), " ", F.col("subject"), F.when(F.col("object") != "", _say(" -> ", F.col("object"))).otherwise(""), " is not borne out"), _at("source", F.col("line")))
+    return lone.unionByName(C.unresolved(claims.where("kind = 'calls'"), pairs, ["subject", "object"]).select(*lone.columns))
+
+
+def code_anchor(claims: DataFrame, nodes: DataFrame, pairs: DataFrame, delta: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """Structural claims that no node or call bears out, and what each may mean now by a delta that is made if it is needed."""
+    both = G.written(stale_anchors(claims, nodes, pairs), "stale")
+    if delta is None or both.isEmpty():
+        both = both.withColumn("repair", F.lit(None).cast("string"))
+    else:
+        target = repair_targets(both, delta()).groupBy("source", "line").agg(F.min(F.to_json(F.struct("old", "new", "action"), {"ignoreNullFields": "false"})).alias("repair"))
+        both = both.join(target, ["source", "line"], "left")
+    return _findings(both, "warning", "code-anchor", _say(F.col("kind"), " ", F.col("subject"), F.when(F.col("object") != "", _say(" -> ", F.col("object"))).otherwise(""), " is not borne out"), _at("source", F.col("line")), None, F.col("repair"))
 
 
 def plan_cycles(items: DataFrame) -> DataFrame:
@@ -197,22 +237,39 @@ def unmatched_sources(files: DataFrame, patterns: dict[str, list[str]]) -> DataF
     return out[0].unionByName(out[1])
 
 
-def document_set(roles: DataFrame, disk: DataFrame, authoritative: list[str], supporting: list[str]) -> DataFrame:
-    """Documents that are not there or whose authority the configuration contradicts."""
-    gone = roles.join(disk.select("path").distinct(), "path", "left_anti")
+#: The roles that a manifest of documents must require.
+CANONICAL_ROLES = ("config", "policy_set", "program_plan", "structure_map", "waivers")
+
+
+def document_set(roles: DataFrame, disk: DataFrame, authoritative: list[str], supporting: list[str], required: list[str] | None = None) -> DataFrame:
+    """Canonical roles that are not required, documents that are not there, and of the others those whose authority the configuration contradicts."""
+    there = disk.select("path").distinct()
+    gone = roles.join(there, "path", "left_anti")
     of = lambda patterns: reduce(lambda a, p: a | F.col("path").rlike(glob_regex(p)), patterns, F.lit(False))
     # a role that neither list names is not judged
-    other = roles.where(F.when(of(authoritative), "authoritative").when(of(supporting), "supporting") != F.col("authority"))
+    other = roles.join(there, "path", "left_semi").where(F.when(of(authoritative), "authoritative").when(of(supporting), "supporting") != F.col("authority"))
     one = _findings(gone, "error", "document-set-complete", _say("document ", F.col("role"), " is not there: ", F.col("path")), _at("path"))
-    return one.unionByName(_findings(other, "error", "document-set-complete", _say("document ", F.col("role"), " has another authority in the configuration"), _at("path")))
+    out = one.unionByName(_findings(other, "error", "document-set-complete", _say("document ", F.col("role"), " has another authority in the configuration"), _at("path")))
+    if required is not None:
+        bare = roles.sparkSession.createDataFrame([(r,) for r in CANONICAL_ROLES if r not in required], "role string")
+        out = out.unionByName(_findings(bare, "error", "document-set-complete", _say("canonical document role ", F.col("role"), " is not required"), _at(F.lit("documents.yml"))))
+    return out
+
 
+def task_context(disk: DataFrame, root: str, adapter: str | None = "trellis", needed: tuple[str, ...] = ("task.json", "prd.md")) -> DataFrame:
+    """Folders at any depth below the tasks' root that hold a task.json but lack a needed file; an error if the root is not there.
 
-def task_context(disk: DataFrame, root: str, needed: tuple[str, ...] = ("task.json", "prd.md")) -> DataFrame:
-    """Task folders that lack a needed file."""
-    tasks = disk.where(F.col("is_dir") & F.col("path").rlike(f"^{root}/tasks/(archive/)?[^/]+$") & ~F.col("path").endswith("/archive"))
+    Only for the adapter that keeps tasks in folders.
+    """
+    if adapter != "trellis":
+        return _findings(disk.limit(0), "warning", "trellis-task-context-missing", F.col("path"), _at("path"))
+    root = root.removeprefix("./").rstrip("/") + "/tasks"
+    bare = disk.where(F.col("is_dir") & (F.col("path") == root)).agg(F.count("*").alias("n")).where("n = 0")
+    tasks = disk.where(~F.col("is_dir") & F.col("path").startswith(f"{root}/") & (F.substring_index("path", "/", -1) == "task.json")).select(parent(F.col("path")).alias("path"))
     asked = tasks.select("path", F.explode(F.array(*map(F.lit, needed))).alias("name")).withColumn("file", F.concat_ws("/", "path", "name"))
     gone = asked.join(disk.select(F.col("path").alias("file")), "file", "left_anti")
-    return _findings(gone, "warning", "trellis-task-context-missing", _say(F.col("path"), " has no ", F.col("name")), _at("path"))
+    out = _findings(gone, "warning", "trellis-task-context-missing", _say(F.col("path"), " has no ", F.col("name")), _at(F.concat_ws("/", "path", F.lit("task.json"))))
+    return out.unionByName(_findings(bare, "error", "trellis-tasks-root-missing", _say("there is no folder of tasks: ", F.lit(root)), _at(F.lit("config.yml"))))
 
 
 def report(parts: list[DataFrame]) -> DataFrame:

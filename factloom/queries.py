@@ -15,6 +15,8 @@ from .operators import claims as C
 from .operators import delta as D
 from .operators import duplicates as DU
 from .operators import graph as G
+from .operators import matching as M
+from .operators import obligations as B
 from .operators import ownership as O
 from .operators import resolve as R
 from .operators import select as S
@@ -448,11 +450,24 @@ def findings_union(s, d):
     return S.ordered_findings(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
-@query(f"WITH {E.UNIT_SQL} SELECT 'sha256:' || sha256(string_agg(id || chr(9) || prefix, chr(10) ORDER BY id)) AS digest FROM unit")
+def _digest_sql(source: str, row: str, leaf: int) -> str:
+    """Up to 16 ** 4 leaves, which are joined in one step."""
+    return f"""h AS (SELECT sha256({row}) AS h, count(*) AS n FROM {source} GROUP BY 1), c AS (SELECT CASE WHEN count(*) <= {leaf} THEN 0 WHEN count(*) <= {leaf * 16} THEN 1 WHEN count(*) <= {leaf * 256} THEN 2 WHEN count(*) <= {leaf * 4096} THEN 3 ELSE 4 END AS digits FROM h),
+l AS (SELECT left(h, digits) AS part, digits, sha256(string_agg(h || ':' || n, chr(10) ORDER BY h || ':' || n)) AS h FROM h, c GROUP BY 1, 2)
+SELECT 'sha256:' || CASE WHEN min(digits) = 0 THEN min(h) ELSE sha256(string_agg(part || ':' || h, chr(10) ORDER BY part || ':' || h)) END AS digest FROM l"""
+
+
+@query(f"WITH {E.UNIT_SQL}, {_digest_sql('unit', 'id || chr(9) || prefix', S.LEAF)}")
 def inventory_digest(s, d):
     return S.digest(E.units(s, d), ["id", "prefix"])
 
 
+@query(f"WITH {_digest_sql('lineitem', 'l_returnflag || chr(9) || l_partkey || chr(9) || l_suppkey', S.LEAF)}")
+def relation_digest(s, d):
+    """A relation whose rows repeat, in a tree of several leaves."""
+    return S.digest(E.table(s, d, "lineitem"), ["l_returnflag", "l_partkey", "l_suppkey"])
+
+
 @query(
     """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), r AS (SELECT doc_id, i, a[i] AS line FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM l)),
 m AS (SELECT doc_id, i, CASE WHEN regexp_matches(line, '[a-z]') THEN 0 ELSE 1 END AS fence FROM r), p AS (SELECT doc_id, fence, sum(fence) OVER (PARTITION BY doc_id ORDER BY i) % 2 AS inside FROM m)
@@ -470,3 +485,103 @@ def line_fences(s, d):
 def text_normalize(s, d):
     url = F.col("url")
     return E.table(s, d, "pages").select("page_id", F.regexp_extract(url, "^([a-z]+)://", 1).alias("scheme"), *T.url_parts(F.regexp_replace(url, "^[a-z]+://", "")))
+
+
+_FIRED = """best AS (SELECT * FROM rule QUALIFY row_number() OVER (PARTITION BY kind, scope, coalesce(name, ''), requirement, coalesce(call_key, '') ORDER BY CASE origin WHEN 'manual' THEN 1 ELSE 0 END DESC, CASE origin WHEN 'manual' THEN n ELSE -n END DESC) = 1),
+fired AS (SELECT * FROM best r WHERE EXISTS (SELECT 1 FROM fact f WHERE f.family = r.kind AND (CASE WHEN r.call_key IS NOT NULL THEN f.call_key = r.call_key
+  ELSE (f.scope = r.scope OR starts_with(f.scope, r.scope || '/')) AND (r.name IS NULL OR f.name GLOB r.name) END)))"""
+
+
+@query(f"WITH {E.CHANGE_SQL}, {_FIRED} SELECT id, kind, scope, name, requirement, origin FROM fired")
+def obligations_fired(s, d):
+    """A table of rules, one for each customer and supplier, against all that differs between two snapshots."""
+    rules = E.change_rules(s, d)
+    best = B.effective(rules.where("origin = 'manual'"), rules.where("origin <> 'manual'"))
+    return B.fired(best, E.change_facts(s, d)).select("id", "kind", "scope", "name", "requirement", "origin")
+
+
+@query(f"WITH {E.CHANGE_SQL}, {_FIRED}, changed AS (SELECT DISTINCT 'user/' || user_id AS path FROM fact) SELECT id, requirement FROM fired WHERE NOT EXISTS (SELECT 1 FROM changed WHERE path = requirement OR path GLOB requirement)")
+def obligations_unmet(s, d):
+    rules = E.change_rules(s, d)
+    best = B.effective(rules.where("origin = 'manual'"), rules.where("origin <> 'manual'"))
+    facts = G.written(E.change_facts(s, d), "facts")
+    changed = facts.select(F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("path"))
+    return B.unmet(B.fired(best, facts), changed).select("id", "requirement")
+
+
+_TWO = f"""WITH RECURSIVE {E.ADVISED_SQL}, edge AS (SELECT caller, callee, true AS proven FROM call UNION ALL SELECT caller, callee, false FROM adv ANTI JOIN call USING (caller, callee)), start AS ({_BUSIEST}),
+walk(node, proven, d) AS (SELECT node, p, 0 FROM start, (VALUES (true), (false)) AS m(p) UNION SELECT e.caller, w.proven, d + 1 FROM walk w JOIN edge e ON e.callee = w.node AND (e.proven OR NOT w.proven) WHERE d < {_DEPTH}),
+reach AS (SELECT node, min(d) FILTER (NOT proven) AS distance, min(d) FILTER (proven) AS proven_distance FROM walk GROUP BY node)"""
+
+
+def _edges(s, d) -> DataFrame:
+    """Calls, and advice where no call says the same."""
+    calls, advised = E.calls(s, d), E.advised_pairs(s, d)
+    told = lambda df, proven, provenance: df.select("caller", "callee", F.lit(proven).alias("proven"), F.lit(provenance).alias("provenance"), F.lit("name" if proven else "heuristic").alias("resolution"))
+    return told(calls, True, "deterministic").unionByName(told(advised.join(calls, ["caller", "callee"], "left_anti"), False, "advisory"))
+
+
+@query(
+    f"""{_TWO} SELECT r.node, CAST(r.distance AS BIGINT) AS distance, CAST(r.proven_distance AS BIGINT) AS proven_distance, r.proven_distance IS NULL AS advised_only, count(DISTINCT callee) AS n_via,
+  string_agg(DISTINCT CASE WHEN proven THEN 'deterministic' ELSE 'advisory' END, ',' ORDER BY CASE WHEN proven THEN 'deterministic' ELSE 'advisory' END) AS provenance FROM reach r JOIN edge ON caller = r.node JOIN reach n ON n.node = callee AND n.distance = r.distance - 1
+WHERE r.distance > 0 GROUP BY r.node, r.distance, r.proven_distance"""
+)
+def impact_two_distances(s, d):
+    """How far what depends on the busiest user is, over all edges and over proven ones alone."""
+    edges = G.written(_edges(s, d), "edges")
+    reach = G.written(G.two_distances(edges, _busiest(edges.where("proven").select("caller", "callee"))), "reach")
+    found = G.affected(reach, edges)
+    return found.select("node", F.col("distance").cast("long").alias("distance"), F.col("proven_distance").cast("long").alias("proven_distance"), "advised_only", "n_via", F.array_join("provenance", ",").alias("provenance"))
+
+
+@query(f"WITH {E.EDGE_SQL} SELECT * FROM edge")
+def json_edges(s, d):
+    """Calls in one JSON document an order, in eight shapes."""
+    return A.edges_from_json(E.edge_documents(s, d), "/repo")[0]
+
+
+@query(
+    f"""WITH {E.EDGE_SQL} SELECT source, CAST(entry AS INTEGER) AS entry, reason FROM judged WHERE reason IS NOT NULL UNION ALL SELECT DISTINCT source, NULL, 'unsupported-schema' FROM item WHERE key = 6 UNION ALL SELECT DISTINCT source, NULL, 'invalid-json' FROM item WHERE key = 7"""
+)
+def json_edges_left_out(s, d):
+    return A.edges_from_json(E.edge_documents(s, d), "/repo")[1]
+
+
+@query(
+    f"""{_STORED}, asked AS (SELECT p_partkey AS id, p_brand || '.py' AS caller_path, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END AS caller_class, p_name AS caller_symbol, p_brand || '.py' AS callee_path, '' AS callee_class, p_name AS callee_symbol FROM part WHERE p_partkey % 20 = 0),
+one AS (SELECT DISTINCT caller_path, caller_class, caller_symbol, callee_path, callee_class, callee_symbol FROM stored),
+scored AS (SELECT a.id, one.*, 2 * CAST(one.caller_path = a.caller_path AND one.caller_class = a.caller_class AND one.caller_symbol = a.caller_symbol AS INTEGER) + 2 * CAST(one.callee_path = a.callee_path AND one.callee_class = a.callee_class AND one.callee_symbol = a.callee_symbol AS INTEGER) + 1 AS score
+  FROM asked a JOIN one ON one.caller_path = a.caller_path OR one.callee_path = a.callee_path)
+SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, caller_path DESC, caller_class DESC, caller_symbol DESC, callee_path DESC, callee_class DESC, callee_symbol DESC) = 1"""
+)
+def repair_calls(s, d):
+    """For a call of every twentieth part that no longer is, the stored call that shares most with it."""
+    p = E.table(s, d, "part").where("p_partkey % 20 = 0")
+    file = F.concat("p_brand", F.lit(".py"))
+    ends = [file.alias("caller_path"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise("").alias("caller_class"), F.col("p_name").alias("caller_symbol"), file.alias("callee_path"), F.lit("").alias("callee_class"), F.col("p_name").alias("callee_symbol")]
+    return M.similar_calls(p.select(F.col("p_partkey").alias("id"), *ends), _stored(s, d))
+
+
+@query()
+def repair_symbols(s, d):
+    """For the name of every twentieth part that no longer is, the most similar of all others; similarity is not SQL."""
+    named = E.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("module"), F.substring_index("p_type", " ", 1).alias("kind"))
+    return M.similar_symbols(named.where("id % 20 = 0"), named.where("id % 20 <> 0").drop("id"))
+
+
+@query(
+    f"""WITH reuse AS (SELECT p_brand AS module, p_partkey AS line, p_name AS name FROM part), {E.STORED_SQL}, row AS (
+  SELECT 'symbols' AS section, row_number() OVER (ORDER BY module, line, name) AS rank, name AS first, count(*) OVER () AS total, 80 AS cap FROM reuse UNION ALL
+  SELECT 'orders', row_number() OVER (ORDER BY o_orderdate, o_orderkey), CAST(o_orderkey AS VARCHAR), count(*) OVER (), 20 FROM orders UNION ALL
+  SELECT 'nations', row_number() OVER (ORDER BY n_name), n_name, count(*) OVER (), 100 FROM nation)
+SELECT section, CAST(rank AS INTEGER) AS rank, first, total, total > cap AS truncated FROM row WHERE rank <= cap"""
+)
+def context_lists(s, d):
+    """Three lists of a pack with their caps and totals."""
+    parts = [
+        S.section("symbols", E.symbols(s, d).select(F.col("name").alias("first"), "module", "line"), ["module", "line", "first"], 80),
+        S.section("orders", E.table(s, d, "orders").select(F.col("o_orderkey").alias("first"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("day")), ["day", "first"], 20),
+        S.section("nations", E.table(s, d, "nation").select(F.col("n_name").alias("first")), ["first"], 100),
+    ]
+    found = S.first_of_each(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return found.select("section", "rank", F.get_json_object("row", "$.first").alias("first"), "total", "truncated")

@@ -33,6 +33,13 @@ SCHEMAS = {
 OPEN_FAMILIES = ("symbols", "imports", "calls")
 CLOSED_FAMILIES = ("units", "work_items", "document_roles", "policies")
 
+#: What an open family may miss, so that absence proves nothing.
+OPEN_GAPS = {
+    "symbols": ("names bound by assignment or execution", "definitions inside functions"),
+    "imports": ("modules imported by name at run time",),
+    "calls": ("calls through values, attributes of unknown objects and reflection", "calls from other languages and from outside the files in scope"),
+}
+
 
 def empty(spark: SparkSession, relation: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[relation])

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import written
+
 #: Kinds of stored edges that are calls.
 CALL_KINDS = ("calls", "instantiates")
 KEYS = ("caller_path", "caller_class", "caller_symbol", "callee_path", "callee_class", "callee_symbol", "resolution")
@@ -49,3 +53,89 @@ def impact_edges(calls: DataFrame, advised: DataFrame) -> DataFrame:
     node = lambda e: F.concat_ws("::", f"{e}_path", f"{e}_class", f"{e}_symbol").alias(e)
     told = lambda df, source, provenance: df.select(node("callee"), node("caller"), F.lit(source).alias("source"), F.lit(provenance).alias("provenance"), "resolution").distinct()
     return told(calls, "parsed", "deterministic").unionByName(told(advised, "stored", "advisory"))
+
+
+#: Where edges stand in a document, and the names that the parts of an edge go by, in the order they are asked for.
+CONTAINERS = ("edges", "calls", "callEdges", "links")
+NESTED = {
+    "path": ("path", "file", "file_path", "filePath", "filename", "uri"),
+    "symbol": ("symbol", "name", "function", "method", "label"),
+    "class": ("class", "cls", "class_name", "className"),
+    "line": ("line", "line_number", "lineNumber", "startLine"),
+}
+FLAT = {
+    "path": ("{0}_path", "{0}_file", "{0}_file_path", "{0}Path", "{0}File"),
+    "symbol": ("{0}_symbol", "{0}_name", "{0}_function", "{0}_method", "{0}Symbol", "{0}Name"),
+    "class": ("{0}_class", "{0}_cls", "{0}_class_name", "{0}Class"),
+    "line": ("{0}_line", "{0}_line_number", "{0}Line"),
+}
+RESOLUTION = ("resolution", "resolution_tag", "resolutionTag", "kind", "type")
+
+
+def _is(value: Column, *kinds: str) -> Column:
+    """Whether a variant is of one of these kinds; absent ones are of none."""
+    told = F.schema_of_variant(value)
+    return F.coalesce(reduce(lambda a, k: a | told.startswith(k), kinds, F.lit(False)), F.lit(False))
+
+
+def _first(fields: Column, names: tuple[str, ...]) -> Column:
+    """The first of these fields (a map of variants) that is there, whatever it holds."""
+    there = F.filter(F.transform(F.array(*map(F.lit, names)), lambda n: F.try_element_at(fields, n)), lambda x: x.isNotNull())
+    return F.try_element_at(there, F.lit(1))
+
+
+def _text(found: Column) -> Column:
+    """A variant that is a text, trimmed; null for what is none or blank."""
+    said = F.trim(F.when(_is(found, "STRING"), F.try_variant_get(found, "$", "string")))
+    return F.when(said != "", said)
+
+
+def _number(found: Column) -> Column:
+    """A variant that is a positive whole number, also written as text; else null."""
+    said = F.when(_is(found, "STRING", "BIGINT", "INT", "SMALLINT", "TINYINT"), F.trim(F.try_variant_get(found, "$", "string")))
+    number = said.try_cast("long")
+    return F.when((number > 0) & (number <= 2147483647), number.cast("int"))
+
+
+def edges_from_json(documents: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """Calls in documents (source, payload) of untyped JSON: edges (source, KEYS, line) and what was left out (source, entry, reason).
+
+    A document is a list of edges or holds one under a container's name, or under graph.edges; an edge names its ends in objects of their own or in
+    fields of its own. Edges whose ends lie outside ``root`` or lack a path or a symbol are told with a reason, as are documents
+    that are no JSON or hold no list. Of edges of a document that are equal but for the line the first counts.
+    """
+    # the parser stops at the end of the first value; a field after the document, whose name no document knows, shows that it was all
+    mark = F.concat(F.lit("end "), F.md5("payload"))
+    framed = F.try_parse_json(F.concat(F.lit('{"doc":'), F.col("payload"), F.lit(',"'), mark, F.lit('":1}')))
+    whole = documents.select("source", mark.alias("mark"), F.try_variant_get(framed, "$", "map<string,variant>").alias("framed"))
+    parsed = whole.select("source", F.when(F.try_element_at("framed", F.col("mark")).isNotNull(), F.try_element_at("framed", F.lit("doc"))).alias("doc"))
+    doc = F.col("doc")
+    listed = lambda path: F.when(_is(F.variant_get(doc, path, "variant"), "ARRAY"), F.variant_get(doc, path, "variant"))
+    rows = F.coalesce(F.when(_is(doc, "ARRAY"), doc), *[listed(f"$.{c}") for c in CONTAINERS], listed("$.graph.edges"))
+    told = parsed.select("source", "doc", F.when(doc.isNull(), "invalid-json").when(rows.isNull(), "unsupported-schema").alias("reason"), rows.alias("rows"))
+    whole = told.where("reason is not null").select("source", F.lit(None).cast("int").alias("entry"), "reason")
+    exploded = told.select("source", "rows").lateralJoin(documents.sparkSession.tvf.variant_explode(F.col("rows").outer())).select("source", F.col("pos").alias("entry"), F.col("value").alias("edge"))
+    roles, fields = ("caller", "callee"), lambda c: F.try_variant_get(c, "$", "map<string,variant>")
+    # step by step, so that no field is looked up twice
+    opened = exploded.select("source", "entry", fields(F.col("edge")).alias("own"))
+    nested = opened.select("source", "entry", "own", *[fields(F.when(_is(F.col("own")[r], "OBJECT"), F.col("own")[r])).alias(r) for r in roles])
+    found = nested.select(
+        "source",
+        "entry",
+        F.col("own").isNotNull().alias("is_object"),
+        _first(F.col("own"), RESOLUTION).alias("resolution"),
+        *[_first(F.col(r), NESTED[part]).alias(f"{r}_{part}_in") for r in roles for part in NESTED],
+        *[_first(F.col("own"), tuple(n.format(r) for n in FLAT[part])).alias(f"{r}_{part}_by") for r in roles for part in FLAT],
+    )
+    read = lambda r, part: F.coalesce(*[(_number if part == "line" else _text)(F.col(f"{r}_{part}_{how}")) for how in ("in", "by")])
+    raw = found.select("source", "entry", "is_object", F.coalesce(_text(F.col("resolution")), F.lit("heuristic")).alias("resolution"), *[read(r, part).alias(f"{r}_{part if part != 'path' else 'raw'}") for r in roles for part in NESTED])
+    defaults = {f"{r}_class": F.coalesce(f"{r}_class", F.lit("")) for r in roles} | {f"{r}_line": F.coalesce(f"{r}_line", F.lit(0)) for r in roles}
+    ends = raw.withColumns(defaults | {f"{r}_path": relative(F.col(f"{r}_raw"), root) for r in roles})
+    reason = F.when(~F.col("is_object"), "not-object")
+    for role in ("caller", "callee"):
+        for wrong, said in ((f"{role}_raw", "missing-path"), (f"{role}_path", "outside-repo"), (f"{role}_symbol", "missing-symbol")):
+            reason = reason.when(F.col(wrong).isNull(), f"{role} {said}")
+    # written once for both results; a filter on the reason would else be pushed down into every lookup
+    judged = written(ends.withColumn("reason", reason), "edges")
+    good = judged.where("reason is null").groupBy("source", *KEYS).agg(F.min_by("caller_line", "entry").alias("line"))
+    return good, whole.unionByName(judged.where("reason is not null").select("source", "entry", "reason"))

@@ -13,6 +13,8 @@ from factloom.operators import code as K
 from factloom.operators import delta as D
 from factloom.operators import duplicates as DU
 from factloom.operators import graph as G
+from factloom.operators import matching as M
+from factloom.operators import obligations as B
 from factloom.operators import ownership as O
 from factloom.operators import resolve as R
 from factloom.operators import select as S
@@ -293,11 +295,17 @@ def test_s12_s13_s14_t7_claims_fences(spark):
 
 
 def test_c16_couplings(spark):
-    delta = spark.createDataFrame([("symbol_added", "pkg/policies/x.py", "check_new")], "family string, scope string, name string")
-    rule = {"id": "r", "kind": "symbol_added", "scope": "pkg/policies", "name": "check_*", "requirement": "pkg/app.py"}
-    assert [r.check_id for r in PO.fact_coupling(delta, [rule], paths(spark, "other")).collect()] == ["fact-coupling"]
-    assert PO.fact_coupling(delta, [rule], paths(spark, "pkg/app.py")).count() == 0
-    assert PO.fact_coupling(delta, [{"id": "bad"}], paths(spark)).count() == 1
+    delta = spark.createDataFrame([("symbol_added", "pkg/policies/x.py", "check_new", None)], "family string, scope string, name string, call_key string")
+    rule = {"when_fact": {"kind": "symbol_added", "scope": "./pkg/policies/", "name": "check_*"}, "requires": ["./pkg/app.py"]}
+    none = spark.createDataFrame([], "source string, line int, detail string")
+
+    def told(entries, changed):
+        rules, wrong = B.manual_rules(spark, entries)
+        return [r.check_id for r in PO.fact_coupling(delta, rules, changed, wrong, none).collect()]
+
+    assert told([rule], paths(spark, "other")) == ["fact-coupling"]
+    assert told([rule], paths(spark, "pkg/app.py")) == []
+    assert told([{"id": "bad"}], paths(spark)) == ["fact-coupling"]
 
 
 def test_w6_r3_budget_passes_over_what_is_too_long():
@@ -349,7 +357,7 @@ def test_golden_repository_and_one_change(spark, golden):
     (golden / "README.md").write_text("See [a](src/gone.py).\n")
     found = Catalog(spark, str(golden))
     assert [r.check_id for r in found.check().collect()] == ["stale-claim", "duplicate-symbol", "duplicate-implementation"]
-    assert {tuple(r) for r in found.delta().collect()} == {("symbol_added", "src/pkg/c.py", "g")}
+    assert {tuple(r)[:3] for r in found.delta().collect()} == {("symbol_added", "src/pkg/c.py", "g")}
 
 
 def test_catalog_answers(spark, golden):
@@ -388,12 +396,16 @@ def test_j1_j4_glob_units(spark):
 
 
 def test_c16_scopes_end_at_a_slash_and_requirements_are_globs(spark):
-    delta = spark.createDataFrame([("symbol_added", "pkg/policies/a.py", "check_x")], "family string, scope string, name string")
-    rule = {"id": "c", "kind": "symbol_added", "scope": "pkg/pol", "requirement": "docs/*.md"}
-    assert PO.fact_coupling(delta, [rule], paths(spark, "other")).count() == 0
-    inside = rule | {"scope": "pkg/policies/"}
-    assert PO.fact_coupling(delta, [inside], paths(spark, "other")).count() == 1
-    assert PO.fact_coupling(delta, [inside], paths(spark, "docs/a/b.md")).count() == 0
+    delta = spark.createDataFrame([("symbol_added", "pkg/policies/a.py", "check_x", None)], "family string, scope string, name string, call_key string")
+
+    def unmet(scope, changed):
+        rules, wrong = B.manual_rules(spark, [{"when_fact": {"kind": "symbol_added", "scope": scope}, "requires": ["docs/*.md"]}])
+        assert wrong == []
+        return B.unmet(B.fired(rules, delta), paths(spark, changed)).count()
+
+    assert unmet("pkg/pol", "other") == 0
+    assert unmet("pkg/policies/", "other") == 1
+    assert unmet("pkg/policies/", "docs/a/b.md") == 0
 
 
 def test_c8_g3_cycles_of_a_plan_are_findings(spark):
