@@ -90,7 +90,7 @@ def shared_head(a: Column, b: Column) -> Column:
 
 def glob_pattern(pattern: Column) -> Column:
     """``glob_regex`` for a column of patterns, where * and ? cross slashes: for tables of rules."""
-    pieces = F.regexp_extract_all(pattern, F.lit(r"(?s)(\[!?\]?[^\]]*\]|.)"), 1)
+    pieces = F.regexp_extract_all(pattern, F.lit(r"(?s)(\[!?+\]?+[^\]]*\]|.)"), 1)
 
     def said(piece: Column) -> Column:
         inner = F.substr(piece, F.lit(2), F.length(piece) - 2)

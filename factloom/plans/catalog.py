@@ -230,8 +230,9 @@ class Catalog:
         excuses = [(c.get("symbol"), c.get("relationship"), c.get("owner"), c.get("reason"), list(c.get("modules") or [])) for c in claims_doc.get("duplicate_relationships") or []]
         excuse = self.spark.createDataFrame(excuses, "symbol string, relationship string, owner string, reason string, modules array<string>")
         manual, wrong_rules = B.manual_rules(self.spark, claims_doc.get("fact_couplings"))
-        claims, malformed = G.written(claims, "claims"), G.written(malformed, "malformed")
-        rules = G.written(B.effective(manual, B.derived_rules(claims)), "rules")
+        claims, malformed = G.written(claims, "claims"), malformed.cache()
+        anchored = not claims.isEmpty()
+        rules = G.written(B.effective(manual, B.derived_rules(claims)), "rules") if anchored or not manual.isEmpty() else manual
         symbols, imports, calls = (self.table(t) for t in ("symbols", "imports", "calls"))
         waivers, wrong = declared.waivers(self.spark, loaded("waiver-load-error", lambda: self._yaml("waivers.yml"), {}))
         authoritative, supporting = self._sources("authoritative"), self._sources("supporting")
@@ -257,13 +258,15 @@ class Catalog:
         if structure is not None:
             parts.append(P.dependency_direction(imports, structure["units"], structure["rules"]))
         parts.append(P.stale_wiki_claims(self.table("wiki_claims"), authoritative + supporting))
-        some = not rules.isEmpty()  # without rules nothing asks what has changed
-        delta = self.delta() if some else self.spark.createDataFrame([], "family string, scope string, name string, call_key string")
-        parts.append(G.written(P.fact_coupling(delta, rules, repo.changed_paths(self.spark, self.root), wrong_rules, malformed), "findings"))
+        if rules is manual:  # nothing asks what has changed
+            parts.append(P.fact_coupling(self.spark.createDataFrame([], "family string, scope string, name string, call_key string"), rules, self.disk, wrong_rules, malformed))
+        else:
+            parts.append(G.written(P.fact_coupling(self.delta(), rules, repo.changed_paths(self.spark, self.root), wrong_rules, malformed), "findings"))
         if structure is not None and program is not None:
             made, blocks = T.generated_claims(self.contents.where(under(F.col("path"), F.lit(self._book()))) if self._book() else self.contents.limit(0))
             parts.append(P.generated_drift(made, blocks.select("source"), structure["units"], program))
-        parts.append(G.written(P.code_anchor(claims, P.node_universe(symbols, calls), P.call_pairs(calls), self.delta), "findings"))
+        if anchored:
+            parts.append(G.written(P.code_anchor(claims, P.node_universe(symbols, calls), P.call_pairs(calls), self.delta), "findings"))
         if policies:
             named = [(str(k), v.get("status") if isinstance(v, dict) else None) for k, v in policies.items()]
             parts.append(P.policy_registry(symbols, self.spark.createDataFrame(named, "id string, status string"), self._yaml("policies.yml").get("implemented_under") or "policies"))

@@ -123,14 +123,17 @@ def fact_coupling(delta: DataFrame, rules: DataFrame, changed: DataFrame, wrong:
 
     What is wrong with authored couplings, and malformed lines of live documents (source, line, detail), are errors as well.
     """
+    bad = delta.sparkSession.createDataFrame([(w,) for w in wrong], "told string")
+    out = _findings(bad, "error", "fact-coupling", _say("malformed coupling: ", F.col("told")), _at(F.lit("claims.yml")))
+    out = out.unionByName(_findings(malformed, "error", "fact-coupling", _say("malformed declaration in a live document: ", F.col("detail")), _at("source", F.col("line"), F.col("detail"))))
+    if rules.isEmpty():
+        return out
     missing = B.unmet(B.fired(rules, delta), changed)
     said = _say("a ", F.col("kind"), " fact under ", F.col("scope"), F.when(F.col("name").isNotNull(), _say(" matching ", F.col("name"))).otherwise(""), " asks for a change of ", F.col("requirement"), ", which did not change")
     place = F.when(F.col("origin") == "manual", F.lit("claims.yml")).otherwise(F.col("requirement"))
     line = F.when(F.col("origin") != "manual", F.col("ord"))
-    out = _findings(missing, "error", "fact-coupling", said, _at(place, line, F.col("id")), None, F.to_json(F.struct("kind", "scope", F.coalesce("name", F.lit("")).alias("name"), F.col("requirement").alias("requires"), "origin")))
-    bad = delta.sparkSession.createDataFrame([(w,) for w in wrong], "told string")
-    out = out.unionByName(_findings(bad, "error", "fact-coupling", _say("malformed coupling: ", F.col("told")), _at(F.lit("claims.yml"))))
-    return out.unionByName(_findings(malformed, "error", "fact-coupling", _say("malformed declaration in a live document: ", F.col("detail")), _at("source", F.col("line"), F.col("detail"))))
+    told = _findings(missing, "error", "fact-coupling", said, _at(place, line, F.col("id")), None, F.to_json(F.struct("kind", "scope", F.coalesce("name", F.lit("")).alias("name"), F.col("requirement").alias("requires"), "origin")))
+    return told.unionByName(out)
 
 
 def generated_drift(claims: DataFrame, pages: DataFrame, units: DataFrame, items: DataFrame) -> DataFrame:

@@ -108,7 +108,7 @@ def edges_from_json(documents: DataFrame, root: str) -> tuple[DataFrame, DataFra
     mark = F.concat(F.lit("end "), F.md5("payload"))
     framed = F.try_parse_json(F.concat(F.lit('{"doc":'), F.col("payload"), F.lit(',"'), mark, F.lit('":1}')))
     whole = documents.select("source", mark.alias("mark"), F.try_variant_get(framed, "$", "map<string,variant>").alias("framed"))
-    parsed = whole.select("source", F.when(F.try_element_at("framed", F.col("mark")).isNotNull(), F.try_element_at("framed", F.lit("doc"))).alias("doc"))
+    parsed = whole.select("source", F.when(F.try_element_at("framed", F.col("mark")).isNotNull() & (F.size("framed") == 2), F.try_element_at("framed", F.lit("doc"))).alias("doc"))
     doc = F.col("doc")
     listed = lambda path: F.when(_is(F.variant_get(doc, path, "variant"), "ARRAY"), F.variant_get(doc, path, "variant"))
     rows = F.coalesce(F.when(_is(doc, "ARRAY"), doc), *[listed(f"$.{c}") for c in CONTAINERS], listed("$.graph.edges"))
