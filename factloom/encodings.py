@@ -56,9 +56,9 @@ def imports(spark: SparkSession, d: str) -> DataFrame:
     """module (a customer's region/nation), target (a supplier's), target_path (null: external), line."""
     nation = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 nations
     place = nation.select("n_nationkey", "r_name", F.concat("r_name", F.lit("/"), "n_name").alias("place"))
-    big = table(spark, d, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_suppkey")
-    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
-    joined = big.join(urgent, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    item = table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n")).drop("n")
+    order = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    joined = item.join(order, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     own = joined.join(place.select(F.col("n_nationkey").alias("c_nationkey"), F.col("place").alias("module")), "c_nationkey").join(place.select(F.col("n_nationkey").alias("s_nationkey"), F.col("place").alias("target")), "s_nationkey")
     return own.select("module", "target", F.when(F.col("s_acctbal") >= 0, F.col("target")).alias("target_path"), F.col("l_orderkey").alias("line"))
 
@@ -66,7 +66,7 @@ def imports(spark: SparkSession, d: str) -> DataFrame:
 IMPORT_SQL = """place AS (SELECT n_nationkey, r_name || '/' || n_name AS place FROM nation JOIN region ON n_regionkey = r_regionkey),
 edge AS (SELECT a.place AS module, b.place AS target, CASE WHEN s_acctbal >= 0 THEN b.place END AS target_path, l_orderkey AS line
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  JOIN place a ON a.n_nationkey = c_nationkey JOIN place b ON b.n_nationkey = s_nationkey WHERE l_quantity >= 49 AND o_orderpriority = '1-URGENT')"""
+  JOIN place a ON a.n_nationkey = c_nationkey JOIN place b ON b.n_nationkey = s_nationkey)"""
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:

@@ -119,12 +119,12 @@ def import_first_occurrence(s, d):
     return R.first_lines(E.imports(s, d), ["module", "target", "target_path"])
 
 
-_KNOWN = "known AS (SELECT replace(place, '/', '.') AS dotted, min('src/' || place) AS target_path FROM place WHERE n_nationkey % 5 <> 0 GROUP BY 1)"
+_KNOWN = "known AS (SELECT replace(place, '/', '.') AS dotted, min('src/' || place) AS target_path FROM place WHERE NOT starts_with(place, 'ASIA/') GROUP BY 1)"
 
 
 @query(f"WITH {E.IMPORT_SQL}, {_KNOWN} SELECT module, target, target_path FROM (SELECT DISTINCT module, replace(target, '/', '.') AS target FROM edge) LEFT JOIN known ON dotted = target")
 def import_resolution(s, d):
-    nation = E.table(s, d, "nation").where("n_nationkey % 5 <> 0").join(E.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    nation = E.table(s, d, "nation").join(E.table(s, d, "region").where("r_name <> 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))  # what lies in Asia is another project's
     known = nation.select(F.concat_ws(".", "r_name", "n_name").alias("dotted"), F.concat_ws("/", F.lit("src"), "r_name", "n_name").alias("path"))
     edges = E.imports(s, d).select("module", F.translate("target", "/", ".").alias("target")).distinct()
     return R.resolve_targets(edges, known).select("module", "target", "target_path")
@@ -291,13 +291,13 @@ def coupling_missing(s, d):
 
 
 @query(
-    """WITH a AS (SELECT DISTINCT p_brand || p_name AS id FROM part WHERE p_size <= 20), b AS (SELECT DISTINCT p_brand || p_name AS id FROM part WHERE p_size > 30)
+    """WITH a AS (SELECT DISTINCT p_brand || p_name AS id FROM part WHERE p_size <= 30), b AS (SELECT DISTINCT p_brand || p_name AS id FROM part WHERE p_size > 20)
 SELECT id, 'not declared' AS side FROM a ANTI JOIN b USING (id) UNION ALL SELECT id, 'not implemented' FROM b ANTI JOIN a USING (id)"""
 )
 def registry_diff(s, d):
     part = E.table(s, d, "part")
     named = part.select(F.concat("p_brand", "p_name").alias("id"), "p_size")
-    return D.symmetric_difference(named.where("p_size <= 20"), named.where("p_size > 30"), "id", ("not declared", "not implemented"))
+    return D.symmetric_difference(named.where("p_size <= 30"), named.where("p_size > 20"), "id", ("not declared", "not implemented"))
 
 
 @query(f"WITH {E.LINK_SQL} SELECT path, count(*) AS n FROM link ANTI JOIN there USING (path) GROUP BY path")
@@ -311,22 +311,22 @@ def link_claims(s, d):
 
 
 @query(
-    """WITH c AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'), f AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'O')
+    """WITH c AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'F'), f AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'O')
 SELECT CASE WHEN f.l_partkey IS NULL THEN 'unconfirmed' ELSE 'confirmed' END AS tier, count(*) AS n FROM c LEFT JOIN f USING (l_partkey, l_suppkey) GROUP BY 1"""
 )
 def claim_tiers(s, d):
-    pairs = E.table(s, d, "lineitem").select(F.col("l_partkey").alias("subject"), F.col("l_suppkey").alias("object"), "l_returnflag", "l_linestatus")
-    claims = pairs.where("l_returnflag = 'R' and l_linestatus = 'F'").select("subject", "object").distinct()
+    pairs = E.table(s, d, "lineitem").select(F.col("l_partkey").alias("subject"), F.col("l_suppkey").alias("object"), "l_linestatus")
+    claims = pairs.where("l_linestatus = 'F'").select("subject", "object").distinct()
     return C.tiers(claims, pairs.where("l_linestatus = 'O'"), ["subject", "object"], closed=False).groupBy("tier").agg(F.count("*").alias("n"))
 
 
 @query(
-    """WITH c AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN -o_orderkey ELSE o_orderkey END AS subject FROM orders WHERE o_orderkey % 7 = 0)
+    """WITH c AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN -o_orderkey ELSE o_orderkey END AS subject FROM orders)
 SELECT subject, CASE WHEN o_orderkey IS NULL THEN 'unknown' WHEN o_orderstatus = 'O' THEN 'ok' ELSE 'mismatch' END AS verdict FROM c LEFT JOIN orders ON o_orderkey = subject"""
 )
 def claim_value_mismatch(s, d):
     orders = E.table(s, d, "orders")
-    claims = orders.where("o_orderkey % 7 = 0").select(F.when(F.col("o_orderkey") % 11 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("subject"), F.lit("O").alias("value"))
+    claims = orders.select(F.when(F.col("o_orderkey") % 11 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("subject"), F.lit("O").alias("value"))
     return C.verify_values(claims, orders.select(F.col("o_orderkey").alias("subject"), F.col("o_orderstatus").alias("value"))).select("subject", "verdict")
 
 
