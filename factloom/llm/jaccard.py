@@ -469,7 +469,10 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     headed = materialise(some.join(classes, ["n_shingles", "set1", "set2"]).select("doc_id", "n_shingles", "head"), "headed")
     heads = headed.where("doc_id <> head").select("doc_id", "head").distinct()
     ends = links.join(heads.select(F.col("doc_id").alias("a"), F.col("head").alias("x")), "a", "left").join(heads.select(F.col("doc_id").alias("b"), F.col("head").alias("y")), "b", "left")
-    found = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    # a document with several texts links their classes
+    several = headed.groupBy("doc_id").agg(F.min("head").alias("a"), F.max("head").alias("z")).where("a <> z").drop("z")
+    joined = headed.join(several, "doc_id").where("head <> a").select("a", F.col("head").alias("b")).distinct()
+    found = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).unionByName(joined))
     linked = headed.join(found.withColumnRenamed("node", "head"), "head", "left").select("doc_id", "n_shingles", F.coalesce("component", "head").alias("component_id"))
     alone = described.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)

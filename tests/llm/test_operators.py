@@ -465,3 +465,11 @@ def test_op10_weights_and_verdicts_are_exact(spark):
     none = quality.judge(table(spark, docs), trusted.limit(0)).collect()
     assert all(r.kept != r.base_failed for r in none)
     assert quality.judge(table(spark, []), trusted).count() == 0
+
+
+def test_op8_documents_of_several_texts_link_their_classes(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (9, a + " z"), (2, b), (5, b), (7, "else"), (8, None)]
+    got = jaccard.jaccard_components(table(spark, rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(2, 2), (5, 2), (5, 2), (7, 7), (8, 8), (9, 2)]
