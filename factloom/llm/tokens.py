@@ -65,6 +65,8 @@ class Encoder:
     they are. A piece is looked up by its characters, never by a hash. With other rules whole texts go to the library.
     """
 
+    cached = CACHED
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
