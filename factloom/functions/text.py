@@ -1,9 +1,8 @@
-"""Text functions: lines, fences and link targets."""
+"""Text functions: lines and link targets."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Line ends as Python's str.splitlines knows them.
@@ -21,13 +20,6 @@ def numbered(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("source"), F.posexplode(split_lines(F.col("content"))).alias("i", "text")).select("source", (F.col("i") + 1).alias("line"), "text")
 
 
-def fence_state(lines: DataFrame, is_fence: Column) -> DataFrame:
-    """lines (source, line_no, ...) with is_fence and in_fence: whether an odd number of fences stands at or above."""
-    above = W.partitionBy("source").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    marked = lines.withColumn("is_fence", is_fence)
-    return marked.withColumn("in_fence", F.sum(F.col("is_fence").cast("int")).over(above) % 2 == 1)
-
-
 def url_parts(target: Column) -> list[Column]:
     """path, query and fragment of a target without scheme; '' where there is none."""
     return [

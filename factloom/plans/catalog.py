@@ -95,6 +95,27 @@ class Catalog:
             "skipped": lambda: K.skipped(self.events, "symbols"),
         }
 
+    @cached_property
+    def anchors(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Structural claims to resolve, those of live documents (which make rules of change), and what is wrong in these.
+
+        ``anchors: {live_documents: [patterns]}`` of the configuration names the live documents; they are read strictly, pages on code leniently.
+        Without it every page with claims is live.
+        """
+        patterns = self._live()
+        if patterns is None:
+            claims, wrong = T.structural_claims(self.contents, strict=True)
+            claims = G.written(claims, "claims")
+            return claims, claims, wrong.cache()
+        live, wrong = T.live_claims(self.contents, patterns)
+        live = G.written(live, "claims")
+        code, _ = T.structural_claims(self.contents.where(under(F.col("path"), F.lit(self.wiki.get("path", f"{self.control}/wiki").rstrip("/") + "/code"))))
+        return G.written(code.unionByName(live).distinct(), "claims"), live, wrong.cache()
+
+    def _live(self) -> list[str] | None:
+        patterns = (self.config.get("anchors") or {}).get("live_documents")
+        return None if patterns is None else [p for p in patterns if isinstance(p, str)] if isinstance(patterns, list) else []
+
     def _unread(self) -> tuple[str, ...]:
         """Folders whose pages make no claims: tasks, workspaces of the workflow, and pages on code, whose prose only advises."""
         return (".trellis/tasks/", ".trellis/workspace/", f"{self.control}/wiki/code/")
@@ -225,14 +246,13 @@ class Catalog:
         program = loaded("program-plan-loads", lambda: self.table("work_items"), None)
         roles = loaded("document-set-complete", lambda: declared.documents(self.spark, doc) if (doc := self._yaml("documents.yml")) else empty(self.spark, "document_roles"), None)
         policies = loaded("policy-load-error", lambda: self._yaml("policies.yml").get("policies") or {}, None)
-        claims, malformed = T.structural_claims(self.contents)
+        claims, live, malformed = self.anchors
         claims_doc = loaded("claims-load-error", lambda: self._yaml("claims.yml"), {})
         excuses = [(c.get("symbol"), c.get("relationship"), c.get("owner"), c.get("reason"), list(c.get("modules") or [])) for c in claims_doc.get("duplicate_relationships") or []]
         excuse = self.spark.createDataFrame(excuses, "symbol string, relationship string, owner string, reason string, modules array<string>")
         manual, wrong_rules = B.manual_rules(self.spark, claims_doc.get("fact_couplings"))
-        claims, malformed = G.written(claims, "claims"), malformed.cache()
         anchored = not claims.isEmpty()
-        rules = G.written(B.effective(manual, B.derived_rules(claims)), "rules") if anchored or not manual.isEmpty() else manual
+        rules = G.written(B.effective(manual, B.derived_rules(live)), "rules") if anchored or not manual.isEmpty() else manual
         symbols, imports, calls = (self.table(t) for t in ("symbols", "imports", "calls"))
         waivers, wrong = declared.waivers(self.spark, loaded("waiver-load-error", lambda: self._yaml("waivers.yml"), {}))
         authoritative, supporting = self._sources("authoritative"), self._sources("supporting")
@@ -240,6 +260,7 @@ class Catalog:
         parts = [
             P.load_errors(self.spark, errors),
             P.unmatched_sources(self.disk, {"authoritative": authoritative, "supporting": supporting}),
+            P.live_sources(self.disk, self._live() or []),
             P.task_context(self.disk, workflow.get("root") or ".trellis", workflow.get("adapter")),
         ]
         if structure is not None:
@@ -340,7 +361,7 @@ class Catalog:
         inside = reduce(lambda a, r: a | under(F.col("prefix"), F.lit("" if r == "." else r)), roots, F.lit(False))
         scopes = placed.join(owned, "id", "left_semi").where("prefix <> ''").where(inside).select(F.col("prefix").alias("scope")).distinct()
         reuse = self.table("symbols").select("*", F.explode(ancestors(F.col("module"))).alias("scope")).join(scopes, "scope", "left_semi").select("module", "name", "kind", "line").distinct()
-        claims, _ = T.structural_claims(self.contents)
+        claims, _, _ = self.anchors
         stale = G.written(P.stale_anchors(claims, P.node_universe(self.table("symbols"), self.table("calls")), P.call_pairs(self.table("calls"))), "stale")
         sections = [S.section("repair_targets", P.repair_targets(stale, self.delta()), ["source", "line", "old"], 20), S.section("advised_calls", self.advised[0].drop("source"), [*M.CALL, "resolution"], 80)]
         if found:

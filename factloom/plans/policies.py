@@ -17,6 +17,7 @@ from ..operators import matching as M
 from ..operators import obligations as B
 from ..operators import ownership as O
 from ..operators import resolve as R
+from ..sources.text_claims import LIVE, live_documents
 
 GLOB_SIGNS = r"[*?\[]"
 _EVIDENCE = "array<struct<path:string,line:int,detail:string>>"
@@ -240,6 +241,18 @@ def unmatched_sources(files: DataFrame, patterns: dict[str, list[str]]) -> DataF
     return out[0].unionByName(out[1])
 
 
+def live_sources(disk: DataFrame, patterns: list[str]) -> DataFrame:
+    """Declared patterns of live documents that cannot name one, and those that do not name one that is there."""
+    spark = disk.sparkSession
+    good = [p for p in patterns if p.endswith(LIVE)]
+    there = live_documents(disk.where("not is_dir"), good)
+    marks = there.agg(*[F.max(F.col("path").rlike(glob_regex(p))).alias(f"p{i}") for i, p in enumerate(good)]).first() if good else ()
+    frame = lambda some: spark.createDataFrame([(p,) for p in some], "pattern string")
+    wrong = _findings(frame([p for p in patterns if p not in good]), "error", "anchor-live-document-invalid", _say("no live document can end as ", F.col("pattern")), _at(F.lit("config.yml"), detail=F.col("pattern")))
+    gone = _findings(frame([p for p, hit in zip(good, marks, strict=True) if not hit]), "error", "anchor-live-document-missing", _say("no live document matches ", F.col("pattern")), _at(F.lit("config.yml"), detail=F.col("pattern")))
+    return wrong.unionByName(gone)
+
+
 #: The roles that a manifest of documents must require.
 CANONICAL_ROLES = ("config", "policy_set", "program_plan", "structure_map", "waivers")
 

@@ -14,6 +14,7 @@ from .functions import text as T
 from .operators import claims as C
 from .operators import delta as D
 from .operators import duplicates as DU
+from .operators import fences as N
 from .operators import graph as G
 from .operators import matching as M
 from .operators import obligations as B
@@ -474,9 +475,31 @@ m AS (SELECT doc_id, i, CASE WHEN regexp_matches(line, '[a-z]') THEN 0 ELSE 1 EN
 SELECT doc_id AS source, count(*) AS n_lines, CAST(sum(CASE WHEN inside = 1 AND fence = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_in_fence FROM p GROUP BY doc_id"""
 )
 def line_fences(s, d):
-    lines = E.table(s, d, "documents").select(F.col("doc_id").alias("source"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    marked = T.fence_state(lines, ~F.col("line").rlike("[a-z]"))
-    return marked.groupBy("source").agg(F.count("*").alias("n_lines"), F.count_if(F.col("in_fence") & ~F.col("is_fence")).alias("n_in_fence"))
+    """Lines without small letters as fences that change inside to outside and back."""
+    marked = N.blocks(_lines(s, d), F.when(~F.col("text").rlike("[a-z]"), N.mark(F.lit(1), F.lit(True), F.lit("fence"))))
+    return marked.groupBy("source").agg(F.count("*").alias("n_lines"), F.count_if(F.expr("role = 'text' and block is not null")).alias("n_in_fence"))
+
+
+def _lines(s, d):
+    lines = E.table(s, d, "documents").select(F.col("doc_id").alias("source"), F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    return lines.select("source", (F.col("i") + 1).alias("line"), "text")
+
+
+@query(
+    """WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, i, length(a[i]) AS n FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM l)),
+m AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, n % 4 AS size, n % 3 = 0 AS closes, CASE WHEN n % 5 = 0 THEN 'claims' WHEN n % 7 > 0 THEN 'code' END AS opens FROM r WHERE n % 2 = 0),
+s(doc_id, k, i, size, kind, since, ended) AS (SELECT doc_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM l
+UNION ALL SELECT s.doc_id, m.k, m.i, CASE WHEN s.kind IS NULL THEN m.size ELSE s.size END, CASE WHEN s.kind IS NULL THEN m.opens WHEN m.closes AND m.size >= s.size THEN NULL ELSE s.kind END,
+  CASE WHEN s.kind IS NULL THEN m.i ELSE s.since END, CASE WHEN s.kind IS NOT NULL AND m.closes AND m.size >= s.size THEN s.since END FROM s JOIN m ON m.doc_id = s.doc_id AND m.k = s.k + 1)
+SELECT o.doc_id AS source, CAST(o.i AS INTEGER) AS since, o.kind AS block, e.i IS NOT NULL AS closed, coalesce(e.i, len(l.a)) - o.i + 1 AS n_lines
+FROM s o JOIN l USING (doc_id) LEFT JOIN s e ON e.doc_id = o.doc_id AND e.ended = o.i WHERE o.kind IS NOT NULL AND o.since = o.i"""
+)
+def nested_blocks(s, d):
+    """Blocks whose ends must be as large as their beginnings, over all lines; segments of 16 lines, so that blocks cross them."""
+    n = F.length("text")
+    marks = F.when(n % 2 == 0, N.mark(n % 4, n % 3 == 0, F.when(n % 5 == 0, "claims").when(n % 7 > 0, "code")))
+    inside = N.blocks(_lines(s, d), marks, 16).where("block is not null")
+    return inside.groupBy("source", "since").agg(F.max("block").alias("block"), F.max(F.col("role") == "close").alias("closed"), F.count("*").alias("n_lines")).select("source", "since", "block", "closed", "n_lines")
 
 
 @query(

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import collapse, glob_regex, parent, under
 from ..functions.text import numbered
+from ..operators import fences as N
 
 #: What makes a reference a path, where claims are not read, sections and their meaning, the fence of structural claims.
 EXTENSIONS = (".md", ".py", ".html", ".yml", ".yaml", ".json", ".toml", ".txt")
 SECTIONS = {"canonical sources": "canonical_source", "concepts": "concept_page", "required synchronization": "sync_target"}
 EVIDENCE = "evidence:"
-CLAIMS_FENCE = "atlas:claims"
 KINDS = ("defines", "calls", "contains")
 
 
@@ -67,10 +67,9 @@ def resolved(found: DataFrame, disk: DataFrame, derived: Sequence[str] = ("wiki"
     return full.withColumn("exists", exists).withColumn("path", F.col("to")).drop("a", "b", "a_there", "b_there", "to")
 
 
-def _fenced(lines: DataFrame) -> DataFrame:
-    above = W.partitionBy("source").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
-    is_fence = F.col("text").rlike(r"^\s*(```|~~~)")
-    return lines.withColumn("is_fence", is_fence).withColumn("inside", F.sum(F.col("is_fence").cast("int")).over(above) % 2 == 1)
+def _prose(pages: DataFrame) -> DataFrame:
+    """Lines outside of fences."""
+    return N.blocks(numbered(pages), N.toggles(F.col("text"))).where("role = 'text' and block is null").select("source", "line", "text")
 
 
 def doc_claims(contents: DataFrame, disk: DataFrame, skip: Sequence[str] = (), derived: Sequence[str] = ("wiki",)) -> DataFrame:
@@ -78,13 +77,12 @@ def doc_claims(contents: DataFrame, disk: DataFrame, skip: Sequence[str] = (), d
     pages = contents.where("endswith(path, '.md') and content is not null")
     for prefix in skip:
         pages = pages.where(~F.col("path").startswith(prefix))
-    open_lines = _fenced(numbered(pages)).where("not is_fence and not inside")
-    return resolved(references(candidates(open_lines)), disk, derived).select("source", "line", "path", "fragment", "kind", "exists").distinct()
+    return resolved(references(candidates(_prose(pages))), disk, derived).select("source", "line", "path", "fragment", "kind", "exists").distinct()
 
 
 def wiki_claims(contents: DataFrame, disk: DataFrame, root: str, derived: Sequence[str] = ("wiki",)) -> DataFrame:
     """source, line, concept, kind, path, path_kind, exists: what a wiki page says of paths by section."""
-    lines = _fenced(numbered(contents.where(under(F.col("path"), F.lit(root)) & F.col("path").endswith(".md") & F.col("content").isNotNull()))).where("not is_fence and not inside")
+    lines = _prose(contents.where(under(F.col("path"), F.lit(root)) & F.col("path").endswith(".md") & F.col("content").isNotNull()))
     text = F.trim("text")
     heading = F.when(text.startswith("#"), F.lower(F.trim(F.regexp_replace(text, r"^#+|#+$", ""))))
     meaning = F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])
@@ -165,18 +163,83 @@ def _node(text: Column) -> Column:
     return F.when(colons.isin(0, 2) & inside.isNotNull() & (inside != "") & ~node.startswith("::"), node).otherwise("")
 
 
-def structural_claims(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Claims inside claims fences of .md files, and the lines there that are none.
+def structural_claims(contents: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Claims inside claims fences of .md files, and the lines there that are none; a block that does not end is one of these if ``strict``.
 
-    Claims: source, line, kind, subject, object, concept. A claim of two parts is split at its last arrow.
+    Claims: source, line, kind, subject, object, concept. A claim of two parts is split at its last arrow. A fence ends at a bare one that is
+    at least as long; claims shown inside another fence are no claims.
     """
-    lines = numbered(contents.where("endswith(path, '.md') and content is not null"))
-    text = F.trim("text")
-    above = W.partitionBy("source").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
-    mark = F.when(text == f"```{CLAIMS_FENCE}", "claims").when(text.startswith("```"), "other")
-    # a fence opens and the next one closes; what an opening fence says holds until then
-    fenced = lines.withColumn("mark", mark).withColumn("n", F.count("mark").over(above)).withColumn("last", F.last("mark", ignorenulls=True).over(above))
-    inside = fenced.where("mark is null and n % 2 = 1 and last = 'claims'").where(text != "")
+    lines = N.blocks(numbered(contents.where("endswith(path, '.md') and content is not null")), N.nested(F.col("text")))
+    claims, wrong = _claims_of(lines.where("role = 'text' and block = 'claims'"))
+    if strict:
+        endless = N.left_open(lines).where("block = 'claims'").select("source", "line", F.lit(f"unterminated {N.CLAIMS} block").alias("detail"))
+        wrong = wrong.unionByName(endless)
+    return claims, wrong
+
+
+#: The attribute of a block of claims in a page, which documents can be live, and the folders whose documents never are.
+CLAIMS_ATTRIBUTE = "data-atlas-claims"
+LIVE = (".md", ".html")
+NEVER_LIVE = (".trellis/tasks/archive/", ".trellis/workspace/")
+
+
+class _ClaimsBlocks(HTMLParser):
+    """Numbered lines of closed pre elements that carry claims."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.lines: list[tuple[int, str]] = []
+        self.block: list[tuple[int, str]] | None = None
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "pre" and CLAIMS_ATTRIBUTE in dict(attrs):
+            self.block = []
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "pre" and self.block is not None:
+            self.lines, self.block = self.lines + self.block, None
+
+    def handle_data(self, data: str) -> None:
+        if self.block is not None:
+            first = self.getpos()[0]
+            self.block += [(first + i, line) for i, line in enumerate(data.splitlines())]
+
+
+def _html_blocks(contents: DataFrame) -> DataFrame:
+    """source, line, text inside the blocks of claims of pages."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                page = _ClaimsBlocks()
+                page.feed(content or "")
+                page.close()
+                out += [(path, line, text) for line, text in page.lines]
+            yield pd.DataFrame(out, columns=["source", "line", "text"])
+
+    return contents.select("path", "content").mapInPandas(run, "source string, line int, text string")
+
+
+def live_documents(files: DataFrame, patterns: Sequence[str]) -> DataFrame:
+    """files (path, ...) that a pattern names as live documents; patterns of other endings name none."""
+    wanted = reduce(lambda a, p: a | F.col("path").rlike(glob_regex(p)), [p for p in patterns if p.endswith(LIVE)], F.lit(False))
+    for prefix in NEVER_LIVE:
+        wanted = wanted & ~F.col("path").startswith(prefix)
+    return files.where(wanted & (F.col("path").endswith(LIVE[0]) | F.col("path").endswith(LIVE[1])))
+
+
+def live_claims(contents: DataFrame, patterns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Claims of live documents (.md, .html), and what is wrong with them: lines that are no claims and blocks that do not end."""
+    live = live_documents(contents, patterns)
+    claims, wrong = structural_claims(live, strict=True)
+    more, others = _claims_of(_html_blocks(live.where("endswith(path, '.html')")))
+    return claims.unionByName(more), wrong.unionByName(others)
+
+
+def _claims_of(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The grammar of a claim over lines (source, line, text): claims, and lines (source, line, detail) that are none; empty lines are neither."""
+    inside = lines.where(F.trim("text") != "")
     kind = F.trim(F.substring_index("text", ":", 1))
     rest = F.trim(F.regexp_replace("text", "^[^:]*:", ""))
     left, right = F.regexp_extract(rest, r"^(.*) -> (.*)$", 1), F.regexp_extract(rest, r"^(.*) -> (.*)$", 2)
@@ -196,12 +259,8 @@ def structural_claims(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
 def generated_claims(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """unit: and roadmap: lines (source, line, kind, subject, value) of claims fences, and pages (source, has_block)."""
     pages = contents.where("endswith(path, '.md') and content is not null")
-    lines = numbered(pages)
-    above = W.partitionBy("source").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
-    text = F.trim("text")
-    mark = F.when(text == f"```{CLAIMS_FENCE}", "claims").when(text.startswith("```"), "other")
-    fenced = lines.withColumn("mark", mark).withColumn("n", F.count("mark").over(above)).withColumn("last", F.last("mark", ignorenulls=True).over(above))
-    inside = fenced.where("mark is null and n % 2 = 1 and last = 'claims'")
+    lines = N.blocks(numbered(pages), N.generated(F.col("text")))
+    inside = lines.where("role = 'text' and block = 'claims'")
     found = inside.select("source", "line", *[F.regexp_extract("text", r"^\s*(unit|roadmap):\s*(.*?) -> (.*?)\s*$", i).alias(n) for i, n in ((1, "kind"), (2, "subject"), (3, "value"))]).where("kind <> ''")
-    blocks = lines.where(text == f"```{CLAIMS_FENCE}").select("source").distinct().withColumn("has_block", F.lit(True))
+    blocks = lines.where("role = 'open'").select("source").distinct().withColumn("has_block", F.lit(True))
     return found, pages.select(F.col("path").alias("source")).join(blocks, "source", "left").select("source", F.coalesce("has_block", F.lit(False)).alias("has_block"))
