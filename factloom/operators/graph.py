@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -103,3 +104,42 @@ def children(tree: DataFrame) -> DataFrame:
 
 def roots(tree: DataFrame) -> DataFrame:
     return tree.where("parent is null").select("node").distinct()
+
+
+def _next_siblings(tree: DataFrame) -> DataFrame:
+    """node, parent, next: the node after it below the same parent. Siblings lie in sorted ranges, so a parent of many is not one task's."""
+    ranged = written(tree.repartitionByRange("parent", "node").withColumn("part", F.spark_partition_id()), "siblings")
+    here = F.struct("parent", "node")
+    firsts = ranged.groupBy("part").agg(F.min(here).alias("first"))
+    follows = firsts.select("part", F.lead("first").over(W.orderBy("part")).alias("after"))  # one row a range
+    own = ranged.withColumn("then", F.lead(here).over(W.partitionBy("part").orderBy("parent", "node")))
+    then = F.coalesce("then", "after")
+    return own.join(follows, "part").select("node", "parent", F.when(then["parent"].eqNullSafe(F.col("parent")), then["node"]).alias("next"))
+
+
+def preorder(tree: DataFrame) -> DataFrame:
+    """node, place (from 1, parents before their children, siblings in order), depth (0: a root) of rows (node, parent); nodes are unique.
+
+    The walk around the trees enters and leaves each node; every step knows the next, and pointers double until all reach the end, in about
+    log2(2 n) rounds of joins. Rows do not grow with depth. A parent that is no node makes its child a root; nodes on cycles and below them
+    never reach the end and have no row.
+    """
+    there = tree.select(F.col("node").alias("parent")).withColumn("there", F.lit(True))
+    placed = _next_siblings(tree.select("node", "parent").join(there, "parent", "left").select("node", F.when(F.col("there"), F.col("parent")).alias("parent")))
+    eldest = placed.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.min("node").alias("child"))
+    step = lambda node, leaves: F.struct(node.alias("node"), F.lit(leaves).alias("leaves"))
+    node, child, after, up = F.col("node"), F.col("child"), F.col("next"), F.col("parent")
+    enters = F.struct(step(node, False).alias("at"), F.when(child.isNotNull(), step(child, False)).otherwise(step(node, True)).alias("to"), F.lit(1).cast("long").alias("entered"), F.lit(1).cast("long").alias("level"))
+    leaves = F.struct(step(node, True).alias("at"), F.when(after.isNotNull(), step(after, False)).when(up.isNotNull(), step(up, True)).alias("to"), F.lit(0).cast("long").alias("entered"), F.lit(-1).cast("long").alias("level"))
+    walk = written(placed.join(eldest, "node", "left").select(F.inline(F.array(enters, leaves))), "walk")
+    left = walk.count()
+    while left:  # as often as the number of steps can be halved
+        onward = walk.select(F.col("at").alias("to"), F.col("to").alias("to2"), F.col("entered").alias("entered2"), F.col("level").alias("level2"))
+        done, open_ = walk.where("to is null"), walk.where("to is not null")
+        moved = open_.join(onward, "to").select("at", F.col("to2").alias("to"), (F.col("entered") + F.col("entered2")).alias("entered"), (F.col("level") + F.col("level2")).alias("level"))
+        walk, left = written(done.unionByName(moved), "walk"), left // 2
+        if left and walk.where("to is not null").isEmpty():
+            break
+    ended = walk.where("to is null and not at.leaves")
+    total = ended.agg(F.count("*").alias("total"))  # one row
+    return ended.join(F.broadcast(total)).select("at.node", (F.col("total") - F.col("entered") + 1).alias("place"), (-F.col("level")).alias("depth"))

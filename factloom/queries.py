@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import encodings as E
 from .functions import paths as P
 from .functions import text as T
+from .operators import budget as BU
 from .operators import claims as C
 from .operators import delta as D
 from .operators import duplicates as DU
@@ -608,3 +609,27 @@ def context_lists(s, d):
     ]
     found = S.first_of_each(parts[0].unionByName(parts[1]).unionByName(parts[2]))
     return found.select("section", "rank", F.get_json_object("row", "$.first").alias("first"), "total", "truncated")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS size, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS total FROM events),
+f(user_id, k, event_id, used, n, fits) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false FROM e
+UNION ALL SELECT e.user_id, e.k, e.event_id, CASE WHEN n < 10 AND used + coalesce(size, 0) <= 600 THEN used + coalesce(size, 0) ELSE used END, CASE WHEN n < 10 AND used + coalesce(size, 0) <= 600 THEN n + 1 ELSE n END, n < 10 AND used + coalesce(size, 0) <= 600 FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+SELECT user_id, event_id, CAST(n AS INTEGER) AS place, total - max(n) OVER (PARTITION BY user_id) AS more FROM f JOIN (SELECT DISTINCT user_id, total FROM e) USING (user_id) WHERE fits"""
+)
+def turn_budget(s, d):
+    """Each user's events in order of time while they fit 10 lines and a sum of 600."""
+    rows = E.table(s, d, "events").select("user_id", "event_id", "ts", F.floor("value").alias("size"))
+    return BU.within(rows, "user_id", ["ts", "event_id"], "size", 10, 600).select("user_id", "event_id", "place", "more")
+
+
+@query(
+    """WITH RECURSIVE t AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 50 > 0 THEN c_custkey - 1 - c_custkey % 3 END AS parent FROM customer UNION ALL SELECT -1 - s_suppkey, -1 - xor(s_suppkey, 1) FROM supplier),
+w(node, depth, path) AS (SELECT node, CAST(0 AS BIGINT), [node] FROM t WHERE parent IS NULL OR parent NOT IN (SELECT node FROM t) UNION ALL SELECT t.node, depth + 1, list_append(path, t.node) FROM w JOIN t ON t.parent = w.node)
+SELECT node, row_number() OVER (ORDER BY path) AS place, depth FROM w"""
+)
+def tree_order(s, d):
+    """Customers as trees, numbered before their children; suppliers in circles, which have no place."""
+    c = E.table(s, d, "customer").select(F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") % 50 > 0, F.col("c_custkey") - 1 - F.col("c_custkey") % 3).alias("parent"))
+    circles = E.table(s, d, "supplier").select((-1 - F.col("s_suppkey")).alias("node"), (-1 - F.col("s_suppkey").bitwiseXOR(F.lit(1))).alias("parent"))
+    return G.preorder(c.unionByName(circles))

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions.text import numbered
+from factloom.operators import budget as BU
 from factloom.operators import fences as N
+from factloom.operators import graph as G
 from factloom.plans import policies as PO
 from factloom.sources import text_claims as TC
+from factloom.streaming.injector import MAX_BYTES, MAX_LINES, budget
+from factloom.streaming.session import DAY, OUTPUT, PROVIDER, TURN, sessions
 
 
 def _plain(text):
@@ -79,3 +84,72 @@ def test_c1_live_document_patterns(spark):
     told = {(r.check_id, r.evidence[0].detail) for r in PO.live_sources(disk, ["docs/*.md", "docs/*.txt", "gone/*.html"]).collect()}
     assert told == {("anchor-live-document-invalid", "docs/*.txt"), ("anchor-live-document-missing", "gone/*.html")}
     assert PO.live_sources(disk, []).count() == 0
+
+
+def _walk(tree):
+    kids = {}
+    for node, parent in tree:
+        kids.setdefault(parent if parent in dict(tree) else None, []).append(node)
+    out, stack = [], [(n, 0) for n in sorted(kids.get(None, []), reverse=True)]
+    while stack:
+        node, depth = stack.pop()
+        out.append((node, len(out) + 1, depth))
+        stack += [(n, depth + 1) for n in sorted(kids.get(node, []), reverse=True)]
+    return sorted(out)
+
+
+def test_g7_order_of_trees_is_that_of_a_plain_walk(spark):
+    r = random.Random(5)
+    names = [f"n{i:03}" for i in range(150)]
+    bushy = [(n, r.choice(names[:i]) if i and r.random() > 0.05 else None) for i, n in enumerate(names)]
+    deep = [(n, names[i - 1] if i else "absent") for i, n in enumerate(names)]
+    circle = [("a", None), ("b", "a"), ("x", "y"), ("y", "x"), ("z", "z"), ("below", "x")]
+    for tree in (bushy, deep, circle, [("a", None)]):
+        got = G.preorder(spark.createDataFrame(tree, "node string, parent string"))
+        assert sorted(map(tuple, got.collect())) == _walk(tree)
+    assert G.preorder(spark.createDataFrame([], "node string, parent string")).count() == 0
+
+
+def test_w6_budget_fold_is_the_plain_budget(spark):
+    r = random.Random(7)
+    rows = [(g, i, r.choice([0, 1, 3, 40, 400, 900, 3000])) for g in ("hot", None, "small") for i in range(400 if g == "hot" else 12)]
+    df = spark.createDataFrame(rows, "g string, i int, n int")
+    for max_rows, max_size in ((10, 2000), (3, 50), (10, 0)):
+        want = []
+        for g in ("hot", None, "small"):
+            own, used, kept = sorted(x for x in rows if x[0] == g), 0, []
+            for x in own:
+                if len(kept) < max_rows and used + x[2] <= max_size:
+                    used += x[2]
+                    kept.append(x)
+            want += [(*x, p, len(own) - len(kept)) for p, x in enumerate(kept, 1)]
+        assert sorted(map(tuple, BU.within(df, "g", ["i"], "n", max_rows, max_size).collect()), key=str) == sorted(want, key=str)
+    lines = [(None if i else "g", i, len("x" * (7 * i)) + 1) for i in range(40)]  # as the injector counts
+    own = BU.within(spark.createDataFrame([("g", i, n) for _, i, n in lines], "g string, i int, n int"), "g", ["i"], "n", MAX_LINES, MAX_BYTES)
+    assert sorted(r.i for r in own.collect()) == budget(["x" * (7 * i) for i in range(40)])
+    assert BU.within(df.limit(0), "g", ["i"], "n", 10, 10).count() == 0
+
+
+def test_r2_k14_sessions_reset_restart_and_expire(spark, tmp_path):
+    turn = lambda n, start=None: ([("s", True, start, None, None, None)] if start is not None else []) + [("s", False, None, f"p{i:02}", "k", "m") for i in range(n)]
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+
+    def run(name, turns, ttl=DAY):
+        spark.createDataFrame(turns, TURN).coalesce(1).write.mode("append").json(f"{tmp_path}/{name}/in")
+        stream = spark.readStream.schema(TURN).json(f"{tmp_path}/{name}/in")
+        into = lambda df, i: df.write.mode("overwrite").json(f"{tmp_path}/{name}/out{i}")
+        query = sessions(stream, ttl).writeStream.foreachBatch(into).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}/cp").trigger(availableNow=True).start()
+        query.awaitTermination()
+        i = query.lastProgress["batchId"]
+        return sorted((r.path, r.baseline, r.more) for r in spark.read.schema(OUTPUT).json(f"{tmp_path}/{name}/out{i}").collect())
+
+    try:  # each run is a new query on the same checkpoint: a restart
+        assert run("a", turn(14, "c1")) == [(f"p{i:02}", "c1", 4) for i in range(10)]
+        assert run("a", turn(14)) == [(f"p{i:02}", "c1", 0) for i in range(10, 14)]
+        assert run("a", turn(2, "")) == [("p00", None, 0), ("p01", None, 0)]  # anew, without a baseline
+        assert run("b", turn(1, "c1"), 1000) == [("p00", "c1", 0)]
+        time.sleep(1.5)
+        assert run("b", turn(1), 1000) == [("p00", None, 0)]  # forgotten
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
