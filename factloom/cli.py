@@ -24,8 +24,9 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="factloom")
     parser.add_argument("--root", default=".")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("inventory", "summary", "schema", "tree", "pack", "mermaid", "provenance"):
+    for name in ("inventory", "summary", "schema", "chapters", "pack", "mermaid", "provenance"):
         commands.add_parser(name)
+    commands.add_parser("tree").add_argument("--nested", action="store_true")
     commands.add_parser("preflight").add_argument("--task")
     delta = commands.add_parser("delta")
     delta.add_argument("--ref", default="HEAD")
@@ -69,7 +70,9 @@ def main(argv: list[str] | None = None) -> int:
         elif args.command == "inventory":
             print(catalog.inventory())
         elif args.command == "tree":
-            _print(catalog.tree().orderBy("node"))
+            _print(catalog.nested_tree().orderBy("place") if args.nested else catalog.tree().orderBy("node"))
+        elif args.command == "chapters":
+            _print(catalog.chapters().orderBy("id"))
         elif args.command == "pack":
             for name, df in catalog.pack().items():
                 print(f"# {name}")

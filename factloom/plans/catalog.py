@@ -315,6 +315,16 @@ class Catalog:
         top = every.select(F.col("node").alias("parent")).withColumn("there", F.lit(True))
         return owned.join(top, "parent", "left").select("node", "kind", "path", F.when(F.col("there"), F.col("parent")).alias("parent"), "unit_id")
 
+    def nested_tree(self) -> DataFrame:
+        """The tree's rows with place and depth, each node before what it holds."""
+        tree = G.written(self.tree(), "tree")
+        return tree.join(G.preorder(tree), "node")
+
+    def chapters(self) -> DataFrame:
+        """id, path, owner of the declared units that own some node of the tree."""
+        owning = self.tree().where("unit_id is not null").select(F.col("unit_id").alias("id")).distinct()
+        return self.structure["units"].join(owning, "id", "left_semi").select("id", "path", "owner")
+
     def pack(self) -> dict[str, DataFrame]:
         """Six projections of the product: dependencies, symbols, ownership, concepts, evidence and roadmap."""
         roots = self.wiki.get("product_roots") or ["src"]

@@ -74,6 +74,6 @@ def sessions(turns: DataFrame, ttl: int = DAY) -> DataFrame:
     A row with ``started`` begins the session anew: its baseline (null or empty: there is none) is kept and told with what is shown, and all that
     was shown may be shown again, in this turn already. Of several starts in one turn the greatest baseline stays. Rows without a path, and
     repeats within a turn, show nothing. ``ttl`` is in milliseconds since an entry was last written. The stream's session must set the state
-    store to PROVIDER.
+    store to PROVIDER, and a stream that is to end by itself must turn off batches without data, which processing time asks for without end.
     """
     return turns.groupBy("session").transformWithStateInPandas(Sessions(ttl), OUTPUT, "Append", "ProcessingTime")

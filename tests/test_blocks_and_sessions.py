@@ -13,6 +13,7 @@ from factloom.operators import budget as BU
 from factloom.operators import fences as N
 from factloom.operators import graph as G
 from factloom.plans import policies as PO
+from factloom.plans.catalog import Catalog
 from factloom.sources import text_claims as TC
 from factloom.streaming.injector import MAX_BYTES, MAX_LINES, budget
 from factloom.streaming.session import DAY, OUTPUT, PROVIDER, TURN, sessions
@@ -132,8 +133,11 @@ def test_w6_budget_fold_is_the_plain_budget(spark):
 
 def test_r2_k14_sessions_reset_restart_and_expire(spark, tmp_path):
     turn = lambda n, start=None: ([("s", True, start, None, None, None)] if start is not None else []) + [("s", False, None, f"p{i:02}", "k", "m") for i in range(n)]
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    # with processing time, batches without data would never end
+    wanted = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
 
     def run(name, turns, ttl=DAY):
         spark.createDataFrame(turns, TURN).coalesce(1).write.mode("append").json(f"{tmp_path}/{name}/in")
@@ -152,4 +156,23 @@ def test_r2_k14_sessions_reset_restart_and_expire(spark, tmp_path):
         time.sleep(1.5)
         assert run("b", turn(1), 1000) == [("p00", None, 0)]  # forgotten
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_g7_g8_nested_tree_and_chapters(spark, tmp_path):
+    unit = "{{path: {}, kind: k, owner: o, purpose: p, canonical_placement: c}}".format
+    files = {
+        ".facts/config.yml": "wiki: {product_roots: [src]}\n",
+        ".facts/structure.yml": f"version: 1\nkind: structure_map\nunits:\n  src: {unit('src')}\n  docs: {unit('docs')}\n",
+        "docs/x.md": "x\n",
+        "src/pkg/b.py": "def g(): pass\n",
+        "src/pkg/a.py": "def f(): pass\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    catalog = Catalog(spark, str(tmp_path))
+    rows = catalog.nested_tree().orderBy("place").collect()
+    assert [(r.depth, r.node) for r in rows] == [(0, "src"), (1, "src/pkg"), (2, "src/pkg/a.py"), (3, "src/pkg/a.py::::f"), (2, "src/pkg/b.py"), (3, "src/pkg/b.py::::g")]
+    assert [r.id for r in catalog.chapters().collect()] == ["src"]
