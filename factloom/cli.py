@@ -8,6 +8,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators.presets import listed
 from .operators.select import QueryError
 from .plans.catalog import Catalog
 from .schemas import OPEN_GAPS
@@ -24,7 +25,7 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="factloom")
     parser.add_argument("--root", default=".")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("inventory", "summary", "schema", "chapters", "pack", "mermaid", "provenance"):
+    for name in ("inventory", "summary", "schema", "chapters", "pack", "mermaid", "provenance", "policies", "calibrate"):
         commands.add_parser(name)
     commands.add_parser("tree").add_argument("--nested", action="store_true")
     commands.add_parser("preflight").add_argument("--task")
@@ -38,6 +39,10 @@ def main(argv: list[str] | None = None) -> int:
     query = commands.add_parser("query")
     query.add_argument("kind")
     query.add_argument("--select", action="append", default=[])
+    preset = commands.add_parser("preset")
+    preset.add_argument("name", nargs="?")
+    preset.add_argument("--context", default="example")
+    preset.add_argument("--shared")
     impact = commands.add_parser("impact")
     impact.add_argument("target")
     args = parser.parse_args(argv)
@@ -68,7 +73,19 @@ def main(argv: list[str] | None = None) -> int:
         elif args.command == "summary":
             _print(catalog.summary())
         elif args.command == "inventory":
-            print(catalog.inventory())
+            for piece in catalog.inventory_pieces():
+                print(piece, end="")
+            print()
+        elif args.command == "policies":
+            _print(catalog.policies().orderBy("id"))
+        elif args.command == "calibrate":
+            _print(catalog.calibration().orderBy("kind", "subject", "object", "source", "line"))
+        elif args.command == "preset" and args.name is None:
+            _print(listed(catalog.presets(args.shared)).select("name", "description", "place").orderBy("name"))
+        elif args.command == "preset":
+            units, rules = catalog.rendered(args.name, args.context, args.shared)
+            _print(units.orderBy("ord"))
+            _print(rules.orderBy("unit", "forbidden"))
         elif args.command == "tree":
             _print(catalog.nested_tree().orderBy("place") if args.nested else catalog.tree().orderBy("node"))
         elif args.command == "chapters":

@@ -88,9 +88,10 @@ def shared_head(a: Column, b: Column) -> Column:
     return F.array_position(F.concat(pairs, F.array(F.lit(False))), False) - 1
 
 
-def glob_pattern(pattern: Column) -> Column:
-    """``glob_regex`` for a column of patterns, where * and ? cross slashes: for tables of rules."""
-    pieces = F.regexp_extract_all(pattern, F.lit(r"(?s)(\[!?+\]?+[^\]]*\]|.)"), 1)
+def glob_pattern(pattern: Column, crosses: bool = True) -> Column:
+    """``glob_regex`` for a column of patterns: for tables of rules."""
+    deep = "" if crosses else r"\*\*/?|"
+    pieces = F.regexp_extract_all(pattern, F.lit(rf"(?s)({deep}\[!?+\]?+[^\]]*\]|.)"), 1)
 
     def said(piece: Column) -> Column:
         inner = F.substr(piece, F.lit(2), F.length(piece) - 2)
@@ -98,7 +99,11 @@ def glob_pattern(pattern: Column) -> Column:
         body = F.regexp_replace(F.when(negated, F.substr(inner, F.lit(2))).otherwise(inner), r"([\\\[\]&^])", r"\\$1")
         listed = F.concat(F.lit("["), F.when(negated, "^").otherwise(""), body, F.lit("]"))
         plain = F.when(piece.rlike(r"[A-Za-z0-9/_\- ]"), piece).when(piece.rlike(r"[\x00-\x7F]"), F.concat(F.lit("\\"), piece)).otherwise(piece)
-        return F.when(piece == "*", ".*").when(piece == "?", ".").when(F.length(piece) > 2, listed).otherwise(plain)
+        some = "." if crosses else "[^/]"
+        said = F.when(piece == "*", some + "*").when(piece == "?", some)
+        if not crosses:
+            said = said.when(piece == "**/", "(?:.*/)?").when(piece == "**", ".*")
+        return said.when(F.length(piece) > 2, listed).otherwise(plain)
 
     return F.concat(F.lit("(?s)^(?:"), F.array_join(F.transform(pieces, said), ""), F.lit(r")\z"))
 

@@ -63,7 +63,9 @@ def artifact_counts(paths: DataFrame, units: DataFrame) -> DataFrame:
 def nearest(paths: DataFrame, units: DataFrame, k: int = 3) -> DataFrame:
     """path, rank, unit_id: the k units that share most leading components; if none shares one, the first k by id."""
     # a unit shares n components with a path exactly if its n-th ancestor is one of the path's
-    heads = units.select("id", F.explode(ancestors(F.col("prefix"))).alias("head")).where("head <> ''")
+    heads = units.select("id", F.explode(ancestors(F.col("prefix"))).alias("head")).where("head <> ''").distinct()
+    # those behind the first k ids of a head are behind these in every path too, so a hot head brings k rows a path
+    heads = heads.withColumn("r", F.row_number().over(W.partitionBy("head").orderBy("id"))).where(F.col("r") <= k).drop("r")
     keys = paths.select("path").distinct().select("path", F.explode(ancestors(F.col("path"))).alias("head")).where("head <> ''")
     shared = keys.join(heads, "head").groupBy("path", "id").agg(F.max(F.size(F.split("head", "/"))).alias("shared"))
     order = W.partitionBy("path").orderBy(F.desc("shared"), "id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cached_property, reduce
 from pathlib import Path
 from typing import Any
@@ -13,25 +13,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, parent, under
-from ..operators import code as K
+from ..operators import claims as C
 from ..operators import delta as D
 from ..operators import graph as G
 from ..operators import matching as M
 from ..operators import obligations as B
 from ..operators import ownership as O
+from ..operators import presets as R
 from ..operators import select as S
 from ..operators import status as ST
 from ..schemas import empty, family_world
 from ..sources import advisory as A
 from ..sources import declared
+from ..sources import languages as L
 from ..sources import repository as repo
 from ..sources import text_claims as T
-from ..sources.python_events import python_events
 from . import policies as P
 
 #: Where a repository declares itself, below its control folder.
 CONTROL = ".facts"
 KINDS = ("units", "symbols", "imports", "calls", "doc_claims", "wiki_claims", "html_claims", "tasks", "work_items")
+#: What the rows of a kind are sorted by; all their other columns follow.
+_END = [f"{e}_{c}" for e in ("caller", "callee") for c in ("path", "class", "symbol")]
+ORDER = {"symbols": ["module", "line", "name", "kind"], "imports": ["module", "line", "target"], "calls": _END, "doc_claims": ["source", "line", "path", "fragment", "kind"], "html_claims": ["source", "line", "path", "fragment", "kind"], "wiki_claims": ["source", "line", "concept", "kind", "path"]}
 
 
 class Catalog:
@@ -42,8 +46,9 @@ class Catalog:
         self.config_error: str | None = None
         try:
             self.config = self._yaml("config.yml")
-        except declared.DeclarationError as e:  # told by check() as its only finding
-            self.config, self.config_error = {}, str(e)
+            self.languages = L.chosen(self.config.get("languages"))
+        except (declared.DeclarationError, KeyError) as e:  # told by check() as its only finding
+            self.config, self.config_error, self.languages = {}, str(e.args[0]), L.chosen(None)
         self.wiki = self.config.get("wiki") or {}
         book = self.wiki.get("book_root")
         book = "wiki" if book is None else book.removeprefix("./").rstrip("/")
@@ -57,7 +62,7 @@ class Catalog:
 
     @cached_property
     def files(self) -> DataFrame:
-        found = repo.files(self.spark, self.root, self.roots, self.derived)
+        found = repo.files(self.spark, self.root, self.roots, self.derived, self.control)
         for prefix in self.exclude:  # before extraction: resolution sees the smaller set
             found = found.where(~under(F.col("path"), F.lit(prefix)))
         return found.cache()
@@ -68,11 +73,11 @@ class Catalog:
 
     @cached_property
     def contents(self) -> DataFrame:
-        return repo.contents(self.spark, self.root, self.files).cache()
+        return repo.contents(self.spark, self.root, self.files, sorted({*repo.TEXT_SUFFIXES, *L.extensions(self.languages)})).cache()
 
     @cached_property
     def events(self) -> DataFrame:
-        return python_events(self.contents).cache()
+        return L.events(self.contents, self.languages).cache()
 
     @cached_property
     def structure(self) -> dict[str, DataFrame]:
@@ -84,15 +89,15 @@ class Catalog:
         return {
             "files": lambda: self.files,
             "units": lambda: self.structure["units"],
-            "symbols": lambda: K.symbols(self.events),
-            "imports": lambda: K.imports(self.events),
-            "calls": lambda: K.calls(self.events),
+            "symbols": lambda: L.symbols(self.events, self.languages),
+            "imports": lambda: L.imports(self.events, self.languages),
+            "calls": lambda: L.calls(self.events, self.languages),
             "doc_claims": lambda: T.doc_claims(self.contents, self.disk, (*self._unread(), *(self.config.get("skip_docs") or ())), self.derived),
             "wiki_claims": lambda: T.wiki_claims(self.contents, self.disk, self.wiki.get("path", f"{self.control}/wiki"), self.derived),
             "html_claims": lambda: T.html_claims(self.contents, self.disk, self._sources("authoritative") + self._sources("supporting"), self.derived),
             "tasks": lambda: repo.tasks(self.contents, (self.config.get("workflow") or {}).get("root", ".trellis"))[0],
             "work_items": lambda: declared.program(self.spark, doc) if (doc := self._yaml("program.yml")) else empty(self.spark, "work_items"),
-            "skipped": lambda: K.skipped(self.events, "symbols"),
+            "skipped": lambda: L.skipped(self.events),
         }
 
     @cached_property
@@ -183,17 +188,17 @@ class Catalog:
         """
         if ref in self._deltas:
             return self._deltas[ref]
-        before = repo.contents_at(self.spark, self.root, ref)
-        base = python_events(before) if before is not None else self.events.limit(0)
+        before = repo.contents_at(self.spark, self.root, ref, L.extensions(self.languages))
+        base = L.events(before, self.languages).cache() if before is not None else self.events.limit(0)
         none = F.lit(None).cast("string")
         shapes = {
-            "symbol": (K.symbols, ["module", "name", "kind"], ("module", "name"), F.col("kind"), none),
-            "import": (K.imports, ["module", "target", "target_path"], ("module", "target"), F.col("target_path"), none),
-            "call": (K.calls, list(M.CALL), ("caller_path", "callee_symbol"), none, B.call_key(*M.CALL)),
+            "symbol": (L.symbols, ["module", "name", "kind"], ("module", "name"), F.col("kind"), none),
+            "import": (L.imports, ["module", "target", "target_path"], ("module", "target"), F.col("target_path"), none),
+            "call": (L.calls, list(M.CALL), ("caller_path", "callee_symbol"), none, B.call_key(*M.CALL)),
         }
         parts = []
         for family, (extract, keys, (scope, name), detail, key) in shapes.items():
-            op = D.diff(extract(base), extract(self.events), keys).where("op <> 'same'")
+            op = D.diff(extract(base, self.languages), extract(self.events, self.languages), keys).where("op <> 'same'")
             parts.append(op.select(F.concat_ws("_", F.lit(family), "op").alias("family"), F.col(scope).alias("scope"), F.col(name).alias("name"), detail.alias("detail"), key.alias("call_key")))
         self._deltas[ref] = G.written(reduce(DataFrame.unionByName, parts), "delta")
         return self._deltas[ref]
@@ -384,13 +389,57 @@ class Catalog:
     def _book(self) -> str:
         return self.derived[0] if self.derived else ""
 
+    def inventory_pieces(self) -> Iterator[str]:
+        """The inventory's text in pieces: the driver holds one partition of one kind at a time."""
+        yield "{"
+        for i, kind in enumerate(sorted(KINDS)):
+            df = self.table(kind)
+            first = ORDER.get(kind, [])
+            rows = df.orderBy(*first, *[c for c in df.columns if c not in first])
+            yield ("," if i else "") + f'\n  "{kind}": ['
+            some = False
+            for r in rows.toLocalIterator():
+                text = json.dumps(r.asDict(recursive=True), indent=2, sort_keys=True)
+                yield ("," if some else "") + "\n    " + text.replace("\n", "\n    ")
+                some = True
+            yield "\n  ]" if some else "]"
+        yield "\n}"
+
     def inventory(self) -> str:
         """All blocks as JSON with sorted keys and rows, the same bytes for the same facts."""
-        blocks = {}
-        for kind in KINDS:
-            df = self.table(kind)
-            blocks[kind] = [r.asDict(recursive=True) for r in df.orderBy(*[c for c in df.columns]).collect()]
-        return json.dumps(blocks, indent=2, sort_keys=True)
+        return "".join(self.inventory_pieces())
+
+    def policies(self) -> DataFrame:
+        return declared.policy_rows(self.spark, self._yaml("policies.yml"))
+
+    def calibration(self) -> DataFrame:
+        """kind, subject, object, concept, tier, source, line of every claim of the corpus that another program left in the control folder.
+
+        The corpus is ``cache/semantic`` there: never listed, checked or part of a digest. A claim that no node or call bears out is
+        unconfirmed, since both families are open; its concept is never confirmed.
+        """
+        place = f"{self.control}/cache/semantic"
+        pages = self.disk.where(~F.col("is_dir") & under(F.col("path"), F.lit(place)))
+        claims, _ = T.structural_claims(repo.contents(self.spark, self.root, pages, (".md",)))
+        claims = G.written(claims, "claims")
+        tree = G.written(self.tree().select(F.col("node").alias("subject")), "tree")
+        pairs = P.call_pairs(self.table("calls")).join(tree, "subject", "left_semi")
+        there = C.tiers(claims.where("kind <> 'calls'"), tree, ["subject"], closed=False)
+        called = C.tiers(claims.where("kind = 'calls'"), pairs, ["subject", "object"], closed=False)
+        return there.unionByName(called).select("kind", "subject", "object", "concept", "tier", "source", "line")
+
+    def presets(self, shared: str | None = None) -> DataFrame:
+        """The repository's presets and those of a shared folder, with what is wrong with any and whether they can only advise here."""
+        folders = [Path(self.root) / self.control / "presets", *([Path(shared)] if shared else [])]
+        return R.with_advisory(R.presets(declared.preset_texts(self.spark, folders)), R.ecosystems(self.disk))
+
+    def rendered(self, name: str, context: str = "example", shared: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """Planned units and rules of a preset for a context."""
+        found = self.presets(shared)
+        one = R.chosen(found, name).first()
+        if one is None or one["wrong"]:
+            raise S.QueryError(f"preset {name!r} {one['wrong']}" if one else f"unknown preset {name!r}; there are {', '.join(r['name'] for r in R.listed(found).orderBy('name').collect())}")
+        return R.rendered(found.where((F.col("name") == name) & (F.col("place") == one["place"])), context)
 
     def mermaid(self) -> str:
         edges = self.pack()["dependencies"].collect()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
+from pathlib import Path
 from typing import Any
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schemas import rows
 
@@ -150,9 +153,22 @@ def waivers(spark: SparkSession, document: dict) -> tuple[DataFrame, list[str]]:
     return spark.createDataFrame(out, "id string, reason string, owner string, expires string"), wrong
 
 
-def preset_rows(preset: dict, context: str, base: str) -> tuple[list[tuple], list[tuple]]:
-    """A preset's roles for one context: (unit, path) rows and (unit, forbidden unit) rows."""
-    roles = preset.get("roles") or preset.get("layers") or []
-    units = [(f"{context}-{r['id']}", f"{base}/{context}/{r['id']}") for r in roles]
-    rules = [(f"{context}-{r['id']}", f"{context}-{t}") for r in roles for t in r.get("must_not_depend_on") or []]
-    return units, rules
+def preset_texts(spark: SparkSession, folders: list[Path]) -> DataFrame:
+    """place, name, body (JSON; the YAML's own text where it does not load) of the .yml files of folders, the first going before the others."""
+    out = []
+    for place, folder in enumerate(folders):
+        for path in sorted(folder.glob("*.yml")) if folder.is_dir() else []:
+            text = path.read_text(errors="replace")
+            try:
+                text = json.dumps(load(text), default=str)
+            except DeclarationError:
+                pass
+            out.append((place, path.stem, text))
+    return spark.createDataFrame(out, "place int, name string, body string")
+
+
+def policy_rows(spark: SparkSession, document: dict) -> DataFrame:
+    """id, severity, status, enforcement (planned, gated or advisory) of declared policies."""
+    entries = [(str(k), *((v.get("severity"), v.get("status")) if isinstance(v, dict) else (None, None))) for k, v in (document.get("policies") or {}).items()]
+    told = spark.createDataFrame([(i, *(None if x is None else str(x) for x in rest)) for i, *rest in entries], "id string, severity string, status string")
+    return told.withColumn("enforcement", F.when(F.col("status") == "planned", "planned").when(F.col("severity") == "error", "gated").otherwise("advisory"))

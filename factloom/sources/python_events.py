@@ -5,9 +5,6 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
-
 EVENTS = "path string, kind string, class string, symbol string, line int, ord long, name string, attr string, module string, level int, shadowed boolean"
 
 _FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -61,17 +58,3 @@ def events_of(source: str) -> Iterator[tuple]:
             yield "from", "", "", node.lineno, None, None, node.module, node.level, False
             for alias in node.names:
                 yield "from_name", "", "", node.lineno, alias.name, alias.asname, node.module, node.level, False
-
-
-def python_events(contents: DataFrame) -> DataFrame:
-    """One parse of each .py file (path, content); an unreadable one gives the event unreadable."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                found = events_of(content) if content is not None else [("unreadable", "", "", 0, None, None, None, 0, False)]
-                out += [(path, *e[:4], i, *e[4:]) for i, e in enumerate(found)]
-            yield pd.DataFrame(out, columns=["path", "kind", "class", "symbol", "line", "ord", "name", "attr", "module", "level", "shadowed"])
-
-    return contents.where("endswith(path, '.py')").select("path", "content").mapInPandas(run, EVENTS)

@@ -4,23 +4,30 @@ from __future__ import annotations
 
 import os
 import subprocess
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import under
 
-#: Never listed by a walk.
+#: Never listed by a walk: folders of these names, and what a machine keeps for itself in the control folder.
 IGNORED_PARTS = (".git", "__pycache__")
+IGNORED_LOCAL = ("receipts", "cache", ".install-state.json", ".status-seen.json")
+#: Seconds that git may take.
+PATIENCE = 600
+#: Files that a task reads at a time.
+SHARE = 2000
 TEXT_SUFFIXES = (".py", ".md", ".html", ".json", ".yml", ".yaml", ".toml", ".txt")
 
 
 def _git(root: str, *args: str, data: bytes | None = None) -> bytes | None:
+    """What git says; None where there is no git or it refuses. A git that does not end in time is an error, not an absent one."""
     try:
-        done = subprocess.run(["git", "-c", "core.quotepath=off", "-C", root, *args], input=data, capture_output=True, timeout=60)
-    except (OSError, subprocess.TimeoutExpired):
+        done = subprocess.run(["git", "-c", "core.quotepath=off", "-C", root, *args], input=data, capture_output=True, timeout=PATIENCE)
+    except OSError:
         return None
     return done.stdout if done.returncode == 0 else None
 
@@ -34,12 +41,15 @@ def tracked(root: str) -> list[str] | None:
     return _lines(_git(root, "ls-files", "--cached", "--others", "--exclude-standard"))
 
 
-def walked(root: str) -> list[str]:
+def walked(root: str, derived: Sequence[str] = (), control: str = ".facts") -> list[str]:
+    """Paths below root without derived output and without what belongs to this machine alone."""
+    left_out = {f"{control}/{n}" for n in IGNORED_LOCAL}
     out = []
     for folder, names, files in os.walk(root):
-        names[:] = sorted(n for n in names if n not in IGNORED_PARTS)
         base = os.path.relpath(folder, root).replace(os.sep, "/")
-        out += [f if base == "." else f"{base}/{f}" for f in files if not f.endswith(".pyc")]
+        prefix = "" if base == "." else base + "/"
+        names[:] = sorted(n for n in names if n not in IGNORED_PARTS and prefix + n not in left_out and prefix + n not in derived)
+        out += [prefix + f for f in files if not f.endswith(".pyc") and prefix + f not in left_out]
     return out
 
 
@@ -54,10 +64,10 @@ def within(files: DataFrame, roots: Sequence[str] = (".",), derived: Sequence[st
     return files.where(inside & ~outside).distinct()
 
 
-def files(spark: SparkSession, root: str, roots: Sequence[str] = (".",), derived: Sequence[str] = ("wiki",)) -> DataFrame:
+def files(spark: SparkSession, root: str, roots: Sequence[str] = (".",), derived: Sequence[str] = ("wiki",), control: str = ".facts") -> DataFrame:
     """path of every file in scope: from git, else from a walk."""
     found = tracked(root)
-    listed = spark.createDataFrame([(p,) for p in (walked(root) if found is None else found)], "path string")
+    listed = spark.createDataFrame([(p,) for p in (walked(root, derived, control) if found is None else found)], "path string")
     return within(listed, roots, derived)
 
 
@@ -72,38 +82,75 @@ def disk_paths(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "path string, is_dir boolean")
 
 
+def _seen(root: str) -> None:
+    if not os.path.isdir(root):
+        raise FileNotFoundError(f"{root} is not there on this executor: a repository must lie in a folder that all executors share")
+
+
 def contents(spark: SparkSession, root: str, listed: DataFrame, suffixes: Sequence[str] = TEXT_SUFFIXES) -> DataFrame:
-    """path, content (null where unreadable) of the listed text files. A repository lives on the driver's disk."""
-    rows = []
-    for r in listed.toLocalIterator():
-        if r["path"].endswith(tuple(suffixes)):
-            try:
-                text = (Path(root) / r["path"]).read_bytes().decode("utf-8", "ignore")
-            except OSError:
-                text = None
-            rows.append((r["path"], text))
-    return spark.createDataFrame(rows, "path string, content string")
+    """path, content (null where unreadable) of the listed text files, read by the tasks that use them.
+
+    Executors must see ``root``; one that does not fails instead of giving nulls.
+    """
+    at = str(Path(root).resolve())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _seen(at)
+        for batch in batches:
+            out = []
+            for path in batch["path"]:
+                try:
+                    out.append((Path(at) / path).read_bytes().decode("utf-8", "ignore"))
+                except OSError:
+                    out.append(None)
+            yield pd.DataFrame({"path": batch["path"], "content": pd.Series(out, index=batch.index, dtype=object)})
+
+    text = F.lit(False)
+    for e in suffixes:
+        text = text | F.col("path").endswith(e)
+    return listed.where(text).select("path").mapInPandas(run, "path string, content string")
+
+
+def _blobs(root: str, shas: list[str]) -> list[str | None]:
+    """Contents of blobs, null where git has none."""
+    data = _git(root, "cat-file", "--batch", data="".join(f"{s}\n" for s in shas).encode())
+    if data is None:
+        return [None] * len(shas)
+    out: list[str | None] = []
+    at = 0
+    for _ in shas:
+        head, _, _ = data[at : at + 200].partition(b"\n")
+        fields, at = head.split(), at + len(head) + 1
+        if len(fields) != 3:
+            out.append(None)
+            continue
+        size = int(fields[2])
+        out.append(data[at : at + size].decode("utf-8", "ignore"))
+        at += size + 1
+    return out
 
 
 def contents_at(spark: SparkSession, root: str, ref: str = "HEAD", suffixes: Sequence[str] = (".py",)) -> DataFrame | None:
-    """path, content at a commit, all or nothing: None where one blob cannot be read."""
+    """path, content at a commit, all or nothing: None where the commit or one blob cannot be read. Modules of other repositories are no files.
+
+    The driver lists names and hashes; tasks ask git for the blobs, SHARE at a time. Executors must see ``root``.
+    """
     listing = _lines(_git(root, "ls-tree", "-r", ref))
     if listing is None:
         return None
-    blobs = [(path, head.split()[2]) for head, path in (x.split("\t", 1) for x in listing) if path.endswith(tuple(suffixes))]
-    data = _git(root, "cat-file", "--batch", data="".join(f"{sha}\n" for _, sha in blobs).encode())
-    if data is None:
-        return None
-    rows, at = [], 0
-    for path, _ in blobs:
-        head, _, rest = data[at:].partition(b"\n")
-        fields = head.split()
-        if len(fields) != 3:
-            return None
-        size = int(fields[2])
-        rows.append((path, rest[:size].decode("utf-8", "ignore")))
-        at += len(head) + 1 + size + 1
-    return spark.createDataFrame(rows, "path string, content string")
+    heads = [(path, head.split()) for head, path in (x.split("\t", 1) for x in listing) if path.endswith(tuple(suffixes))]
+    blobs = spark.createDataFrame([(path, h[2]) for path, h in heads if h[1] == "blob"], "path string, sha string")
+    at = str(Path(root).resolve())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _seen(at)
+        for batch in batches:
+            for i in range(0, len(batch), SHARE):
+                share = batch.iloc[i : i + SHARE]
+                yield pd.DataFrame({"path": share["path"], "content": pd.Series(_blobs(at, list(share["sha"])), index=share.index, dtype=object)})
+
+    read = blobs.mapInPandas(run, "path string, content string").cache()
+    return None if not read.where("content is null").isEmpty() else read
 
 
 def changed_paths(spark: SparkSession, root: str, base: str = "HEAD") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.paths import collapse, glob_regex, parent, under
+from ..functions.paths import ancestors, collapse, glob_folder, glob_pattern, glob_regex, parent, under
 from ..functions.text import numbered
 from ..operators import fences as N
 
@@ -93,10 +93,11 @@ def wiki_claims(contents: DataFrame, disk: DataFrame, root: str, derived: Sequen
     found = resolved(references(candidates(stated).where(F.col("kind") == want), wiki=True), disk, derived)
     globbed = F.col("path").contains("*")
     claims = found.select("source", "line", F.regexp_replace(F.substring_index("source", "/", -1), r"\.[^.]*$", "").alias("concept"), F.col("section").alias("kind"), "path", F.when(globbed, "glob").otherwise("literal").alias("path_kind"), "exists").distinct()
-    patterns = [r["path"] for r in claims.where("path_kind = 'glob'").select("path").distinct().toLocalIterator()]
-    for pattern in patterns:  # authored in wiki pages, few
-        hit = not disk.where(F.col("path").rlike(glob_regex(pattern, crosses=False))).isEmpty()
-        claims = claims.withColumn("exists", F.when(F.col("path") == pattern, hit).otherwise(F.col("exists")))
+    # a pattern meets what lies below the folder it names, and its expression decides
+    patterns = claims.where("path_kind = 'glob'").select("path").distinct().select(F.col("path").alias("pattern"), glob_folder(F.col("path")).alias("folder"), glob_pattern(F.col("path"), crosses=False).alias("meant"))
+    below = disk.select("path", F.explode(ancestors(parent(F.col("path")))).alias("folder"))
+    hit = patterns.join(below, "folder").where(F.expr("path rlike meant")).select(F.col("pattern").alias("path"), F.lit(True).alias("hit")).distinct()
+    claims = claims.join(hit, "path", "left").withColumn("exists", F.when(F.col("path_kind") == "glob", F.coalesce("hit", F.lit(False))).otherwise(F.col("exists"))).select(*claims.columns)
     return claims.where(_known(F.col("path")) | (F.col("path_kind") == "glob") | F.col("exists"))
 
 

@@ -23,8 +23,8 @@ from factloom.plans import policies as PO
 from factloom.plans.catalog import Catalog
 from factloom.sources import advisory as A
 from factloom.sources import declared
+from factloom.sources import languages as L
 from factloom.sources import text_claims as TC
-from factloom.sources.python_events import python_events
 from factloom.streaming.injector import budget
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -221,7 +221,7 @@ class C:
 
 def events(spark):
     files = [("pkg/__init__.py", ""), ("pkg/a.py", SOURCE), ("pkg/b.py", "def g(): pass\nclass K: pass\ndef g(): pass\n"), ("loose.py", "import pkg.a\ndef q(): pass\n"), ("bad.py", "def ("), ("gone.py", None)]
-    return python_events(spark.createDataFrame(files, "path string, content string"))
+    return L.events(spark.createDataFrame(files, "path string, content string"), L.chosen(None))
 
 
 def test_s8_s27_symbols_imports_and_skipped(spark):
