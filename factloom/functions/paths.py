@@ -88,10 +88,39 @@ def shared_head(a: Column, b: Column) -> Column:
     return F.array_position(F.concat(pairs, F.array(F.lit(False))), False) - 1
 
 
+def _glob_pieces(pattern: Column, crosses: bool = True) -> Column:
+    """The stars, single wild characters, classes and literal characters of a glob, in order."""
+    deep = "" if crosses else r"\*\*/?|"
+    return F.regexp_extract_all(pattern, F.lit(rf"(?s)({deep}\[!?+\]?+[^\]]*\]|.)"), 1)
+
+
+def glob_anchor(pattern: Column) -> Column:
+    """Where a text that a glob (* crosses slashes) matches must hold the glob's longest literal run before its first star or after its last.
+
+    run; back (counted from the end), skip (characters between that side and the run), size (of the run); whole (how long the text is, -1: any).
+    """
+    pieces = _glob_pieces(pattern)
+    first, last = (F.array_position(p, "*").cast("int") for p in (pieces, F.reverse(pieces)))
+    # a literal NUL counts as wild, which only leaves the run shorter
+    fixed = lambda own: F.array_join(F.transform(own, lambda p: F.when((p == "?") | (F.length(p) > 1), "\x00").otherwise(p)), "")
+    longest = lambda side: F.aggregate(F.split(side, "\\x00"), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    head = fixed(F.when(first > 0, F.slice(pieces, F.lit(1), first - 1)).otherwise(pieces))
+    tail = fixed(F.when(last > 0, F.slice(pieces, F.size(pieces) - last + 2, last - 1)).otherwise(pieces))
+
+    def place(side: Column, back: bool) -> Column:
+        run = longest(side)
+        before = F.call_function("instr", side, run) - 1
+        skip = F.length(side) - before - F.length(run) if back else before
+        skip = F.when(F.length(run) > 0, skip).otherwise(0)
+        return F.struct(run.alias("run"), F.lit(back).alias("back"), skip.cast("int").alias("skip"), F.length(run).alias("size"), F.when(first > 0, -1).otherwise(F.size(pieces)).alias("whole"))
+
+    ahead, behind = place(head, False), place(tail, True)
+    return F.when(ahead["size"] >= behind["size"], ahead).otherwise(behind)
+
+
 def glob_pattern(pattern: Column, crosses: bool = True) -> Column:
     """``glob_regex`` for a column of patterns: for tables of rules."""
-    deep = "" if crosses else r"\*\*/?|"
-    pieces = F.regexp_extract_all(pattern, F.lit(rf"(?s)({deep}\[!?+\]?+[^\]]*\]|.)"), 1)
+    pieces = _glob_pieces(pattern, crosses)
 
     def said(piece: Column) -> Column:
         inner = F.substr(piece, F.lit(2), F.length(piece) - 2)

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors, glob_folder, glob_pattern, is_glob, normalise
+from ..functions.paths import ancestors, glob_anchor, glob_pattern, is_glob, normalise
+from .graph import written
 
 RULES = "id string, kind string, scope string, name string, call_key string, requirement string, origin string, ord long"
 KINDS = tuple(f"{family}_{op}" for family in ("symbol", "import", "call") for op in ("added", "removed"))
@@ -83,28 +84,50 @@ def effective(manual: DataFrame, derived: DataFrame) -> DataFrame:
     return every.groupBy("key").agg(F.max_by(F.struct(*manual.columns), F.struct(rank, F.col("id"))).alias("rule")).select("rule.*")
 
 
+def meeting(globs: DataFrame, texts: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs of a glob (glob and ``on``; with its pattern) and a text (text and ``on``) that holds the glob's longest literal run at its place.
+
+    A text is looked up once for each place that some glob's run has, not for each glob. Globs whose first and last characters are stars have no such
+    run: they meet every text with equal ``on``.
+    """
+    key = ["back", "skip", "size", "whole"]
+    asked = globs.select(*on, "glob").distinct().select(*on, "glob", glob_pattern(F.col("glob")).alias("pattern"), glob_anchor(F.col("glob")).alias("anchor")).select(*on, "glob", "pattern", "anchor.*")
+    places = F.broadcast(asked.select(*key).distinct())  # as many as globs have shapes
+    n = F.length("text")
+    held = texts.select(*on, "text").distinct().join(places, (n >= F.col("skip") + F.col("size")) & ((F.col("whole") < 0) | (F.col("whole") == n)))
+    at = F.when(F.col("back"), n - F.col("skip") - F.col("size")).otherwise(F.col("skip")) + 1
+    return asked.join(held.withColumn("run", F.substr("text", at, F.col("size"))), [*on, *key, "run"]).select(*on, "glob", "pattern", "text")
+
+
+def matched(globs: DataFrame, texts: DataFrame, on: list[str]) -> DataFrame:
+    """The globs (glob and ``on``) that match some text with equal ``on``, each once. An inner join, so that a run of very many texts can be split."""
+    return meeting(globs, texts, on).where(F.rlike("text", F.col("pattern"))).select(*on, "glob").distinct()
+
+
 def fired(rules: DataFrame, delta: DataFrame) -> DataFrame:
     """The rules that some fact of the delta (family, scope, name, call_key) fires."""
-    facts = delta.select(F.col("family").alias("f"), F.explode(ancestors(F.col("scope"))).alias("at"), F.col("name").alias("called")).distinct()
+    # written once each: every shape of rule reads both
+    rules = written(rules, "rules")
+    rest = rules.where("call_key is null")
+    at = delta.select(F.col("family").alias("f"), F.explode(ancestors(F.col("scope"))).alias("at"), F.col("name").alias("called"))
+    facts = written(at.join(rest.select(F.col("kind").alias("f"), F.col("scope").alias("at")).distinct(), ["f", "at"], "left_semi").distinct(), "facts")
     exact = delta.where("call_key is not null").select(F.col("family").alias("f"), F.col("call_key").alias("k")).distinct()
     by_call = rules.where("call_key is not null").join(exact, (F.col("kind") == F.col("f")) & (F.col("call_key") == F.col("k")), "left_semi")
-    rest = rules.where("call_key is null")
     same = (F.col("kind") == F.col("f")) & (F.col("scope") == F.col("at"))
     anyone = rest.where("name is null").join(facts.select("f", "at").distinct(), same, "left_semi")
     named = rest.where(~is_glob(F.col("name"))).join(facts, same & (F.col("name") == F.col("called")), "left_semi")
     # rules of one kind, scope and pattern are checked once
-    patterns = rest.where(is_glob(F.col("name"))).select("kind", "scope", "name").distinct().withColumn("pattern", glob_pattern(F.col("name")))
-    hit = patterns.join(facts, same & F.rlike("called", F.col("pattern")), "left_semi").select("kind", "scope", "name")
+    asked = rest.where(is_glob(F.col("name"))).select("kind", "scope", F.col("name").alias("glob"))
+    hit = matched(asked, facts.select(F.col("f").alias("kind"), F.col("at").alias("scope"), F.col("called").alias("text")), ["kind", "scope"]).withColumnRenamed("glob", "name")
     globbed = rest.where(is_glob(F.col("name"))).join(hit, ["kind", "scope", "name"], "left_semi").select(*rest.columns)
     return by_call.unionByName(anyone).unionByName(named).unionByName(globbed)
 
 
 def unmet(rules: DataFrame, changed: DataFrame) -> DataFrame:
     """The rules whose requirement no changed path (path) is or matches."""
+    rules = written(rules, "fired")
     asked = rules.select("requirement").distinct()
     paths = changed.select(F.col("path").alias("p")).distinct()
     literal = asked.join(paths, F.col("requirement") == F.col("p"), "left_semi")
-    below = paths.select("p", F.explode(ancestors(F.col("p"))).alias("folder"))
-    globs = asked.where(is_glob(F.col("requirement"))).select("requirement", glob_folder(F.col("requirement")).alias("folder"), glob_pattern(F.col("requirement")).alias("pattern"))
-    matched = globs.alias("g").join(below.alias("b"), (F.col("g.folder") == F.col("b.folder")) & F.rlike("p", F.col("pattern")), "left_semi").select("requirement")
-    return rules.join(literal.union(matched).distinct(), "requirement", "left_anti").select(*rules.columns)
+    globs = matched(asked.where(is_glob(F.col("requirement"))).select(F.col("requirement").alias("glob")), paths.select(F.col("p").alias("text")), [])
+    return rules.join(literal.union(globs).distinct(), "requirement", "left_anti").select(*rules.columns)
