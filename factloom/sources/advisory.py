@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +15,9 @@ KEYS = ("caller_path", "caller_class", "caller_symbol", "callee_path", "callee_c
 def relative(path: Column, root: str) -> Column:
     """A path below ``root`` as the catalog spells it; null for what lies outside or is empty."""
     below = root.rstrip("/") + "/"
-    plain = F.replace(F.regexp_replace(path, "^file://", ""), F.lit("\\"), F.lit("/"))
-    inner = F.when(plain.startswith(below), F.substr(plain, F.lit(len(below) + 1))).when(~plain.startswith("/"), F.regexp_replace(plain, r"^(\./)+", ""))
+    plain = F.replace(F.when(path.startswith("file://"), F.substr(path, F.lit(8))).otherwise(path), F.lit("\\"), F.lit("/"))
+    own = F.when(plain.startswith("./"), F.regexp_replace(plain, r"^(\./)+", "")).otherwise(plain)
+    inner = F.when(plain.startswith(below), F.substr(plain, F.lit(len(below) + 1))).when(~plain.startswith("/"), own)
     return F.when((inner != "") & (inner != "..") & ~inner.startswith("../"), inner)
 
 
@@ -72,28 +71,29 @@ FLAT = {
 RESOLUTION = ("resolution", "resolution_tag", "resolutionTag", "kind", "type")
 
 
-def _is(value: Column, *kinds: str) -> Column:
-    """Whether a variant is of one of these kinds; absent ones are of none."""
-    told = F.schema_of_variant(value)
-    return F.coalesce(reduce(lambda a, k: a | told.startswith(k), kinds, F.lit(False)), F.lit(False))
+def _object(value: Column, names: tuple[str, ...]) -> Column:
+    """These fields of a variant that is an object, as variants (null: not there), all taken in one pass; null for what is no object."""
+    return F.try_variant_get(value, "$", "struct<" + ",".join(f"`{n}`:variant" for n in names) + ">")
+
+
+def _first(fields: str, names: tuple[str, ...]) -> Column:
+    """The first of these fields that is there, whatever it holds."""
+    return F.coalesce(*[F.col(fields)[n] for n in names])
 
 
-def _first(fields: Column, names: tuple[str, ...]) -> Column:
-    """The first of these fields (a map of variants) that is there, whatever it holds."""
-    there = F.filter(F.transform(F.array(*map(F.lit, names)), lambda n: F.try_element_at(fields, n)), lambda x: x.isNotNull())
-    return F.try_element_at(there, F.lit(1))
+def _said(found: Column, *kinds: str) -> Column:
+    """A variant of one of these kinds as a text, trimmed; null for others."""
+    return F.trim(F.when(F.schema_of_variant(found).isin(*kinds), F.try_variant_get(found, "$", "string")))
 
 
 def _text(found: Column) -> Column:
     """A variant that is a text, trimmed; null for what is none or blank."""
-    said = F.trim(F.when(_is(found, "STRING"), F.try_variant_get(found, "$", "string")))
-    return F.when(said != "", said)
+    return F.nullif(_said(found, "STRING"), F.lit(""))
 
 
 def _number(found: Column) -> Column:
     """A variant that is a positive whole number, also written as text; else null."""
-    said = F.when(_is(found, "STRING", "BIGINT", "INT", "SMALLINT", "TINYINT"), F.trim(F.try_variant_get(found, "$", "string")))
-    number = said.try_cast("long")
+    number = _said(found, "STRING", "BIGINT", "INT", "SMALLINT", "TINYINT").try_cast("long")
     return F.when((number > 0) & (number <= 2147483647), number.cast("int"))
 
 
@@ -110,32 +110,35 @@ def edges_from_json(documents: DataFrame, root: str) -> tuple[DataFrame, DataFra
     whole = documents.select("source", mark.alias("mark"), F.try_variant_get(framed, "$", "map<string,variant>").alias("framed"))
     parsed = whole.select("source", F.when(F.try_element_at("framed", F.col("mark")).isNotNull() & (F.size("framed") == 2), F.try_element_at("framed", F.lit("doc"))).alias("doc"))
     doc = F.col("doc")
-    listed = lambda path: F.when(_is(F.variant_get(doc, path, "variant"), "ARRAY"), F.variant_get(doc, path, "variant"))
-    rows = F.coalesce(F.when(_is(doc, "ARRAY"), doc), *[listed(f"$.{c}") for c in CONTAINERS], listed("$.graph.edges"))
-    told = parsed.select("source", "doc", F.when(doc.isNull(), "invalid-json").when(rows.isNull(), "unsupported-schema").alias("reason"), rows.alias("rows"))
-    whole = told.where("reason is not null").select("source", F.lit(None).cast("int").alias("entry"), "reason")
-    exploded = told.select("source", "rows").lateralJoin(documents.sparkSession.tvf.variant_explode(F.col("rows").outer())).select("source", F.col("pos").alias("entry"), F.col("value").alias("edge"))
-    roles, fields = ("caller", "callee"), lambda c: F.try_variant_get(c, "$", "map<string,variant>")
+    listed = lambda path: F.try_variant_get(doc, path, "array<variant>")
+    rows = F.coalesce(listed("$"), *[listed(f"$.{c}") for c in CONTAINERS], listed("$.graph.edges"))
+    told = parsed.select("source", F.when(doc.isNull(), "invalid-json").when(rows.isNull(), "unsupported-schema").alias("unread"), rows.alias("rows"))
+    # an outer one: for others a filter on the rows would be pushed down to where the document is parsed, and parse it again
+    exploded = told.select("source", "unread", F.posexplode_outer("rows").alias("entry", "edge"))
+    roles = ("caller", "callee")
+    flat = {(r, part): tuple(n.format(r) for n in FLAT[part]) for r in roles for part in FLAT}
+    inner = tuple(n for names in NESTED.values() for n in names)
     # step by step, so that no field is looked up twice
-    opened = exploded.select("source", "entry", fields(F.col("edge")).alias("own"))
-    nested = opened.select("source", "entry", "own", *[fields(F.when(_is(F.col("own")[r], "OBJECT"), F.col("own")[r])).alias(r) for r in roles])
+    opened = exploded.select("source", "unread", "entry", _object(F.col("edge"), (*roles, *RESOLUTION, *(n for names in flat.values() for n in names))).alias("own"))
+    nested = opened.select("source", "unread", "entry", "own", *[_object(F.col("own")[r], inner).alias(r) for r in roles])
     found = nested.select(
         "source",
+        "unread",
         "entry",
         F.col("own").isNotNull().alias("is_object"),
-        _first(F.col("own"), RESOLUTION).alias("resolution"),
-        *[_first(F.col(r), NESTED[part]).alias(f"{r}_{part}_in") for r in roles for part in NESTED],
-        *[_first(F.col("own"), tuple(n.format(r) for n in FLAT[part])).alias(f"{r}_{part}_by") for r in roles for part in FLAT],
+        _first("own", RESOLUTION).alias("resolution"),
+        *[_first(r, NESTED[part]).alias(f"{r}_{part}_in") for r in roles for part in NESTED],
+        *[_first("own", flat[r, part]).alias(f"{r}_{part}_by") for r in roles for part in FLAT],
     )
     read = lambda r, part: F.coalesce(*[(_number if part == "line" else _text)(F.col(f"{r}_{part}_{how}")) for how in ("in", "by")])
-    raw = found.select("source", "entry", "is_object", F.coalesce(_text(F.col("resolution")), F.lit("heuristic")).alias("resolution"), *[read(r, part).alias(f"{r}_{part if part != 'path' else 'raw'}") for r in roles for part in NESTED])
+    raw = found.select("source", "unread", "entry", "is_object", F.coalesce(_text(F.col("resolution")), F.lit("heuristic")).alias("resolution"), *[read(r, part).alias(f"{r}_{part if part != 'path' else 'raw'}") for r in roles for part in NESTED])
     defaults = {f"{r}_class": F.coalesce(f"{r}_class", F.lit("")) for r in roles} | {f"{r}_line": F.coalesce(f"{r}_line", F.lit(0)) for r in roles}
     ends = raw.withColumns(defaults | {f"{r}_path": relative(F.col(f"{r}_raw"), root) for r in roles})
-    reason = F.when(~F.col("is_object"), "not-object")
+    reason = F.when(F.col("entry").isNull(), F.col("unread")).when(~F.col("is_object"), "not-object")
     for role in ("caller", "callee"):
         for wrong, said in ((f"{role}_raw", "missing-path"), (f"{role}_path", "outside-repo"), (f"{role}_symbol", "missing-symbol")):
             reason = reason.when(F.col(wrong).isNull(), f"{role} {said}")
     # written once for both results; a filter on the reason would else be pushed down into every lookup
-    judged = written(ends.withColumn("reason", reason), "edges")
-    good = judged.where("reason is null").groupBy("source", *KEYS).agg(F.min_by("caller_line", "entry").alias("line"))
-    return good, whole.unionByName(judged.where("reason is not null").select("source", "entry", "reason"))
+    judged = written(ends.select("source", "entry", *KEYS, F.col("caller_line").alias("line"), reason.alias("reason")), "edges")
+    good = judged.where("reason is null and entry is not null").groupBy("source", *KEYS).agg(F.min_by("line", "entry").alias("line"))
+    return good, judged.where("reason is not null").select("source", "entry", "reason")
